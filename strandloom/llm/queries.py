@@ -15,6 +15,29 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_pii": op8_pii}
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.chat import chat_digest
+
+    return chat_digest(table(spark, sf_dir, "conversations"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.warc import warc_digest
+
+    return warc_digest(table(spark, sf_dir, "pages"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.flac import media_digest
+
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_chat_formatting": op4_chat_formatting,
+    "op6_warc": op6_warc,
+    "op8_pii": op8_pii,
+    "op10_media_columns": op10_media_columns,
+}
 
 ORACLE_SQL: dict[str, str] = {}
