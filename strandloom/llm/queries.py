@@ -9,12 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from strandloom.llm.common import table
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from strandloom.llm.bpe import tokenize
+
+    return tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.pii import pii_digest
 
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from strandloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.chat import chat_digest
 
@@ -34,8 +50,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_warc": op6_warc,
+    "op7_bpe": op7_bpe,
     "op8_pii": op8_pii,
     "op10_media_columns": op10_media_columns,
 }
