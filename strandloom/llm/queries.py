@@ -43,6 +43,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_digest(table(spark, sf_dir, "pages"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.simhash import simhash_digest
+
+    return simhash_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.flac import media_digest
 
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
     "op8_pii": op8_pii,
+    "op9_simhash": op9_simhash,
     "op10_media_columns": op10_media_columns,
 }
 
