@@ -37,6 +37,12 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(table(spark, sf_dir, "conversations"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.toxicity import toxicity_digest
+
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.warc import warc_digest
 
@@ -58,6 +64,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
     "op8_pii": op8_pii,
