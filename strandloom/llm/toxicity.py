@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.llm.common import by_bytes, record_batch, text_or_empty
+from strandloom.llm.common import by_bytes, record_batch, text_or_empty, written
 
 #: Insults that need no mining.
 LEXICON = (
@@ -145,11 +145,10 @@ def features(found: dict[int, int], words: int, strengths: np.ndarray) -> np.nda
     return row
 
 
-def fit(labelled: DataFrame, rows_for_fit: int = ROWS_FOR_FIT) -> ToxicityModel:
-    """A model from labelled rows (text, toxic 0 or 1, key: any integer).
+def fit(labelled: DataFrame) -> ToxicityModel:
+    """A model from labelled rows (text, toxic 0 or 1), as labelled_rows() bounds them.
 
-    Voters are mined over all labelled rows; the two models are fitted on the rows_for_fit rows of the smallest key hashes,
-    a bounded sample that depends on the keys only. Without toxic or other rows the lexicon alone votes, each with the same weight.
+    Without toxic or without other rows the lexicon alone votes, each word with the same weight.
     """
     mined = mine_voters(labelled)
     voters = tuple(dict.fromkeys([*LEXICON, *(p for p, _ in mined)]))
@@ -160,8 +159,7 @@ def fit(labelled: DataFrame, rows_for_fit: int = ROWS_FOR_FIT) -> ToxicityModel:
             found = [votes(t, voters) for t in batch.column("text").to_pylist()]
             yield record_batch({"toxic": batch.column("toxic"), "ids": [list(f) for f, _ in found], "counts": [list(f.values()) for f, _ in found], "words": [w for _, w in found]}, schema)
 
-    sample = labelled.orderBy(F.xxhash64("key"), "key").limit(rows_for_fit).select("toxic", "text")
-    rows = sample.mapInArrow(run, "toxic int, ids array<int>, counts array<int>, words long").collect()
+    rows = labelled.select("toxic", "text").mapInArrow(run, "toxic int, ids array<int>, counts array<int>, words long").collect()
     truth = np.array([r["toxic"] for r in rows], float)
     if not len(truth) or truth.min() == truth.max():
         return ToxicityModel(LEXICON, (1.0,) * len(LEXICON), (2.0,) * len(LEXICON), 1.0, -2.5)
@@ -199,16 +197,20 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text",
     return df.select(*keep, text_or_empty(text_col).alias("__text")).mapInArrow(run, ddl)
 
 
-def labelled_rows(documents: DataFrame, labels: DataFrame, held_out: bool = True) -> DataFrame:
-    """text, toxic and key of the labelled rows to learn from: with held_out, none whose crc32 of the id leaves 0 modulo 5.
+def labelled_rows(documents: DataFrame, labels: DataFrame, held_out: bool = True, rows_for_fit: int = ROWS_FOR_FIT) -> DataFrame:
+    """text and toxic of the labelled rows to learn from: with held_out, none whose crc32 of the id leaves 0 modulo 5.
 
-    A document with several labels counts as toxic if one says so; null labels are left out.
+    The classifier is fitted on a bounded sample: the rows_for_fit labelled ids with the smallest hashes, which is small
+    enough to send to every task, so that no text is shuffled. A document with several labels counts as toxic if one
+    says so; null labels are left out, and so are labels without a document.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("key"), F.col("toxic").cast("int").alias("toxic")).filter("key is not null and toxic is not null")
     if held_out:
         own = own.filter(F.crc32(F.col("key").cast("string")) % 5 != 0)
     own = own.groupBy("key").agg(F.max("toxic").alias("toxic"))
-    return own.join(documents.select(F.col("doc_id").cast("long").alias("key"), text_or_empty("text").alias("text")), "key")
+    sample = own.orderBy(F.xxhash64("key"), "key").limit(rows_for_fit)
+    texts = documents.select(F.col("doc_id").cast("long").alias("key"), text_or_empty("text").alias("text"))
+    return written(texts.join(F.broadcast(sample), "key").select("text", "toxic"), "labelled")
 
 
 def toxicity_digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
