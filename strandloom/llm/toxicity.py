@@ -64,7 +64,7 @@ def mine_voters(labelled: DataFrame, most: int = MOST_VOTERS, least_docs: int =
         return []
     counts = rows.select("toxic", F.explode("patterns").alias("p")).groupBy("p").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (good + 1))
-    sure = counts.filter((F.col("t") >= min(least_docs, max(5, bad // 20))) & (odds > 2.0)).withColumn("odds", odds)
+    sure = counts.filter((F.col("t") >= min(least_docs, max(3, bad // 20))) & (odds > 2.0)).withColumn("odds", odds)
     return [(r["p"], float(r["odds"])) for r in sure.orderBy(F.desc(F.col("t") * F.col("odds")), "p").limit(most).select("p", "odds").collect()]
 
 
