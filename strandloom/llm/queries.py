@@ -37,6 +37,12 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_digest(table(spark, sf_dir, "embeddings"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.suffix_dedup import suffix_digest
+
+    return suffix_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.chat import chat_digest
 
@@ -70,6 +76,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_topk_search": op2_topk_search,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
