@@ -25,7 +25,7 @@ LEXICON = (
 )
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"\w+")
-ROWS_FOR_FIT = 40_000
+ROWS_FOR_FIT = 20_000
 MOST_VOTERS = 400
 
 
