@@ -131,6 +131,21 @@ def _blocks(count: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+WORK = ["pair", "key", "i", "j"]
+
+
+def _in_parts(dealt: DataFrame, item: str, part: int) -> DataFrame:
+    """Of rows (item, pair, key): pair, key, i, j, second and item, with each shard of two items or more cut into parts.
+
+    A row of part p takes part in the works (p, j) as first and (i, p) as second; in (p, p) it meets its own part.
+    """
+    sizes = dealt.groupBy("pair", "key").count().filter(F.col("count") > 1)
+    dealt = dealt.join(sizes, ["pair", "key"]).withColumn("parts", F.ceil(F.col("count") / part).cast("int"))
+    dealt = dealt.withColumn("own_part", F.pmod(F.xxhash64(item), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select("pair", "key", F.least("own_part", "other").alias("i"), F.greatest("own_part", "other").alias("j"), (F.col("own_part") > F.col("other")).alias("second"), item)
+
+
 def near_links(fps: DataFrame, radius: int, part: int = PART) -> DataFrame:
     """(a, b): links within the radius that join what all such links join, among distinct fingerprints in column fp.
 
@@ -143,14 +158,7 @@ def near_links(fps: DataFrame, radius: int, part: int = PART) -> DataFrame:
         F.struct(F.lit(n).alias("pair"), (value(*x) * (1 << y[1]) + value(*y)).alias("key"))
         for n, (x, y) in enumerate(combinations(blocks, 2))
     ]
-    dealt = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.pair", "k.key")
-    sizes = dealt.groupBy("pair", "key").count().filter(F.col("count") > 1)
-    dealt = dealt.join(sizes, ["pair", "key"]).withColumn("parts", F.ceil(F.col("count") / part).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    # part i is the first of the work (i, j) and the second of (h, i); (i, i) is what lies inside it
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("pair", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "fp")
-    work = ["pair", "key", "i", "j"]
+    dealt = _in_parts(fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.pair", "k.key"), "fp", part)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         links: list[tuple[int, int]] = []
@@ -170,7 +178,7 @@ def near_links(fps: DataFrame, radius: int, part: int = PART) -> DataFrame:
             links += shard_links(first, second, radius)
         yield pd.DataFrame([(signed(a), signed(b)) for a, b in links], columns=["a", "b"], dtype="int64")
 
-    return dealt.repartition(*work).sortWithinPartitions(*work, "second", "fp").mapInPandas(run, "a long, b long")
+    return dealt.repartition(*WORK).sortWithinPartitions(*WORK, "second", "fp").mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, words: int = 5, radius: int = 4, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -190,6 +198,111 @@ def near_duplicates(df: DataFrame, words: int = 5, radius: int = 4, text_col: st
     return docs.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+SKETCH = 128
+SHARDS = 12
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SIGNATURE = "doc_id long, own long, fp long, sketch binary, keys array<long>"
+
+
+def signature(text: str, words: int) -> tuple[int, int, bytes, list[int]]:
+    """Hash of the set of shingles, fingerprint, a byte of each of 128 minima of the shingles under different hashes, and shard keys.
+
+    Each key hashes two minima of its own. Texts of similarity s share a given key with probability s^2: of 12, at least one in all
+    but 5 of a million pairs at 0.8.
+    """
+    hashes = shingle_hashes(text, words)
+    kinds = np.unique(hashes)
+    fp = fingerprint(hashes)
+    own = xxhash.xxh64_intdigest(kinds.tobytes(), SEED)
+    if not len(kinds):
+        return own, fp, bytes(SKETCH), [0] * SHARDS
+    least = np.array([(kinds * odd).min() for odd in _ODD]) if len(kinds) > 64 else (kinds[:, None] * _ODD[None, :]).min(0)
+    keys = [xxhash.xxh64_intdigest(least[2 * i : 2 * i + 2].tobytes(), i) for i in range(SHARDS)]
+    mixed = least * np.uint64(0x9E3779B97F4A7C15)
+    return own, fp, (mixed >> np.uint64(56)).astype(np.uint8).tobytes(), keys
+
+
+def signatures(df: DataFrame, words: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "__text"):
+            rows = [signature(t, words) for t in batch.column("__text").to_pylist()]
+            yield record_batch(
+                {"doc_id": batch.column("__id"), "own": [signed(r[0]) for r in rows], "fp": [signed(r[1]) for r in rows], "sketch": [r[2] for r in rows], "keys": [[signed(k) for k in r[3]] for r in rows]},
+                schema,
+            )
+
+    return df.select(F.col(id_col).cast("long").alias("__id"), text_or_empty(text_col).alias("__text")).mapInArrow(run, SIGNATURE)
+
+
+def similar_links(distinct: DataFrame, radius: int, similarity: float, part: int = PART) -> DataFrame:
+    """(a, b): links between column own of distinct signatures whose fingerprints lie within the radius and whose minima agree so often.
+
+    Shards are those that share a key. In each, a BK-tree finds what lies within the radius, and the sketches' share of equal
+    bytes, less what chance gives, estimates the similarity.
+    """
+    dealt = _in_parts(distinct.select("own", F.posexplode("keys").alias("pair", "key")), "own", part)
+    dealt = dealt.join(distinct.select("own", "fp", "sketch"), "own").select(*WORK, "second", "own", "fp", "sketch")
+    least = similarity + (1 - similarity) / 256
+
+    def links_of(first: list[tuple], second: list[tuple]) -> list[tuple[int, int]]:
+        rows = [*first, *second]
+        sketches = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), SKETCH)
+        at: dict[int, list[int]] = {}
+        for i, r in enumerate(rows):
+            at.setdefault(r[1], []).append(i)
+        tree, tops, links = BkTree(), {i: i for i in range(len(rows))}, []
+        inside = set(range(len(first)))
+        for n, (_, fp, _) in enumerate(rows):
+            if not second or n >= len(first):
+                near = [i for value in tree.near(fp, radius) for i in at[value] if i < n and (not second or i in inside)]
+                near = [i for i in near if _top(tops, i) != _top(tops, n)]
+                if near:
+                    close = (sketches[near] == sketches[n]).mean(1) >= least
+                    for i in np.array(near)[close].tolist():
+                        x, y = _top(tops, i), _top(tops, n)
+                        if x != y:
+                            tops[max(x, y)] = min(x, y)
+                            links.append((rows[i][0], rows[n][0]))
+            if (not second or n < len(first)) and at[fp][0] == n:
+                tree.add(fp)
+        return links
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links: list[tuple[int, int]] = []
+        now, first, second = None, [], []
+        for pdf in batches:
+            for pair, key, i, j, late, own, fp, sketch in pdf.itertuples(index=False):
+                if (pair, key, i, j) != now:
+                    if now is not None and (now[2] == now[3] or second):
+                        links += links_of(first, second)
+                    now, first, second = (pair, key, i, j), [], []
+                (second if late else first).append((own, int(fp) & 0xFFFFFFFFFFFFFFFF, sketch))
+        if now is not None and (now[2] == now[3] or second):
+            links += links_of(first, second)
+        yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return dealt.repartition(*WORK).sortWithinPartitions(*WORK, "second", "own").mapInPandas(run, "a long, b long")
+
+
+def keep_one(df: DataFrame, words: int = 5, radius: int = 20, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of df whose id is the smallest of their group; groups are what links of similar texts join.
+
+    Two texts are linked if their sets of shingles are equal, or alike to that similarity as SimHash fingerprints and 128 minima
+    show it. Texts without words are one group, a null text is one. A null id is the smallest. Rows that repeat an id and
+    a text stand or fall together. All columns stay; an empty table gives an empty one.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    signs = written(signatures(df.withColumn("__key", key), words, text_col, "__key"), "signatures")
+    distinct = written(signs.groupBy("own").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "distinct")
+    found = connected_components(similar_links(distinct, radius, similarity)).withColumnRenamed("id", "own")
+    joined = distinct.select("own", "least").join(found, "own", "left").withColumn("component", F.coalesce("component", "own"))
+    keepers = joined.groupBy("component").agg(F.min("least").alias("__key")).select("__key").distinct()
+    return df.withColumn("__key", key).join(keepers, "__key", "left_semi").drop("__key")
+
+
 def simhash_digest(documents: DataFrame) -> DataFrame:
     out = near_duplicates(documents, words=4, radius=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -357,3 +358,27 @@ def suffix_digest(documents: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     row = lambda doc, text, ranges: (_id(doc), len(text), sum(b - a for a, b in ranges), len(ranges), hashlib.sha256(_rest(text, ranges)).hexdigest())
     return _cut(_prepared(documents), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", schema, row)
+
+
+def with_repeats_removed(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """documents with the repeats taken out of the text; n_chars, if there is one, counts what is left.
+
+    A null text stays null. What is left of a character that a cut went through goes too. Repeats are as in remove_repeats().
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST))
+    whole = documents.withColumn("__doc", key).withColumn("__text", text_or_empty(text_col))
+
+    @F.pandas_udf("long")
+    def own(texts: pd.Series) -> pd.Series:
+        return pd.Series(_keys([t.encode() for t in texts]), dtype="int64")
+
+    @F.pandas_udf("string")
+    def rest(texts: pd.Series, ranges: pd.Series) -> pd.Series:
+        return pd.Series([t if r is None or t is None else _rest(t.encode(), _merged(r)).decode("utf-8", "ignore") for t, r in zip(texts, ranges)], dtype="object")
+
+    of = repeated_ranges(whole.select(F.col("__doc").alias("doc"), "__text")).groupBy("doc", "own").agg(F.collect_list(F.struct("start", "stop")).alias("__ranges"))
+    of = of.withColumnRenamed("doc", "__doc").withColumnRenamed("own", "__own")
+    joined = whole.withColumn("__own", own("__text")).join(of, ["__doc", "__own"], "left").withColumn(text_col, rest(F.col(text_col), "__ranges"))
+    if "n_chars" in documents.columns:
+        joined = joined.withColumn("n_chars", F.length(text_col).cast("long"))
+    return joined.select(*[F.col(f"`{c}`") for c in documents.columns])

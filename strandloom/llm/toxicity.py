@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -175,6 +176,15 @@ def fit(labelled: DataFrame) -> ToxicityModel:
     return ToxicityModel(voters, tuple(strengths.tolist()), tuple(w[:-2].tolist()), float(w[-2]), float(w[-1]))
 
 
+def _score(text: str, model: ToxicityModel, weights: np.ndarray, strengths: np.ndarray) -> float:
+    found, words = votes(text, model.voters)
+    z = model.bias
+    if found:
+        row = features(found, words, strengths)
+        z += float(row[:-1] @ weights + row[-1] * model.share_weight)
+    return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
 def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep and score (0 to 1) of each row's whole text; a null text counts as empty, rows stand for themselves."""
     schema_in = df.select(*keep).schema
@@ -184,19 +194,23 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, strong = np.array(model.weights), np.array(model.strengths)
         for batch in by_bytes(batches, "__text"):
-            scores = []
-            for text in batch.column("__text").to_pylist():
-                found, words = votes(text, model.voters)
-                z = model.bias
-                if found:
-                    row = features(found, words, strong)
-                    z += float(row[:-1] @ weights + row[-1] * model.share_weight)
-                scores.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
+            scores = [_score(t, model, weights, strong) for t in batch.column("__text").to_pylist()]
             yield record_batch({**{c: batch.column(c) for c in keep}, "score": scores}, arrow)
 
     return df.select(*keep, text_or_empty(text_col).alias("__text")).mapInArrow(run, ddl)
 
 
+def with_score(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """All columns of df, and __score."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        weights, strong = np.array(model.weights), np.array(model.strengths)
+        return pd.Series([_score(t or "", model, weights, strong) for t in texts], dtype="float64")
+
+    return df.withColumn("__score", score(F.col(text_col).cast("string")))
+
+
 def labelled_rows(documents: DataFrame, labels: DataFrame, held_out: bool = True, rows_for_fit: int = ROWS_FOR_FIT) -> DataFrame:
     """text and toxic of the labelled rows to learn from: with held_out, none whose crc32 of the id leaves 0 modulo 5.
 
