@@ -1,4 +1,261 @@
-"""Registered queries and the SQL that they are held against."""
+"""Registered queries, one for each operator, and the SQL that they are held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from strandloom.functions import links as fl, sequences as fs
+from strandloom.operators import bundle, graph, pairs, repeats
+from strandloom.plans import derived
+from strandloom.plans.derived import SQL
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def _pairs(spark, sf):
+    return pairs.mate_pairs(derived.alignments(spark, sf))
+
+
+def _links(spark, sf):
+    return pairs.links(_pairs(spark, sf), derived.contigs(spark, sf))
+
+
+def _bundled(spark, sf):
+    return bundle.bundled_links(_links(spark, sf))
+
+
+def _coverage(spark, sf):
+    return pairs.coverage(_pairs(spark, sf), derived.contigs(spark, sf))
+
+
+def _r(name: str):
+    return F.round(F.col(name), 6).alias(name)
+
+
+@query("s01_alignments", SQL + "select contig, s as start, e as \"end\", read, strand, line_no from aln")
+def s01(spark, sf):
+    return derived.alignments(spark, sf).drop("mapq")
+
+
+@query("p01_mate_pairs", SQL + "select read, c1, s1, e1, t1, c2, s2, e2, t2 from pairs")
+def p01(spark, sf):
+    m = lambda n: [F.col(f"m{n}.{x}").alias(f"{y}{n}") for x, y in (("contig", "c"), ("start", "s"), ("end", "e"), ("strand", "t"))]
+    return pairs.both(_pairs(spark, sf)).select("read", *m(1), *m(2))
+
+
+@query("p02_insert_sizes", SQL + "select read, contig, insert_size from intra")
+def p02(spark, sf):
+    return pairs.intra_pairs(_pairs(spark, sf))
+
+
+@query("a01_intra_pairs", SQL + "select contig, count(*) as n from intra group by contig")
+def a01(spark, sf):
+    return pairs.intra_pairs(_pairs(spark, sf)).groupBy("contig").agg(F.count("*").alias("n"))
+
+
+@query("a02_library_stats", SQL + "select round(mean, 6) as mean, round(stdev, 6) as stdev, n from lib")
+def a02(spark, sf):
+    return pairs.library_stats(_pairs(spark, sf)).select(_r("mean"), _r("stdev"), "n")
+
+
+@query("a03_coverage", SQL + "select contig, round(coverage, 6) as coverage from cov")
+def a03(spark, sf):
+    return _coverage(spark, sf).select("contig", _r("coverage"))
+
+
+@query("p05_length_filter", SQL + "select read, x.length as length1, y.length as length2 from pairs join ctg x on x.contig = c1 join ctg y on y.contig = c2 where least(x.length, y.length) > 1200")
+def p05(spark, sf):
+    return pairs.long_pairs(_pairs(spark, sf), derived.contigs(spark, sf), 1200).select("read", "length1", "length2")
+
+
+@query("p06_p07_links", SQL + "select read, a, oa, b, ob, round(mean, 6) as mean, round(stdev, 6) as stdev from links")
+def p06(spark, sf):
+    return _links(spark, sf).select("read", "a", "oa", "b", "ob", _r("mean"), _r("stdev"))
+
+
+@query("a04_buckets", SQL + "select a, oa, b, ob, count(*) as n, string_agg(read, ',' order by read) as reads from links group by a, oa, b, ob")
+def a04(spark, sf):
+    rows = bundle.buckets(_links(spark, sf))
+    return rows.select(*bundle.KEYS, F.size("links").cast("long").alias("n"), F.array_join(F.transform("links", lambda x: x["read"]), ",").alias("reads"))
+
+
+@query("p08_p09_g01_bundled_links", SQL + "select a, oa, b, ob, round(mean, 6) as mean, round(stdev, 6) as stdev, bsize from bundled")
+def g01(spark, sf):
+    return _bundled(spark, sf).select(*bundle.KEYS, _r("mean"), _r("stdev"), "bsize")
+
+
+@query("g01_all_bundles", SQL + "select a, oa, b, ob, round(mean, 6) as mean, round(stdev, 6) as stdev, bsize from bundles union all select a, oa, b, ob, round(mean, 6), round(stdev, 6), 1 from iv where n <= 3 and place = 1")
+def g01_all(spark, sf):
+    return bundle.bundle_all(_links(spark, sf)).select(*bundle.KEYS, _r("mean"), _r("stdev"), "bsize")
+
+
+@query("a05_weighted_merge", SQL + "select a, oa, b, ob, round(sum(mean / (stdev * stdev)) / sum(1 / (stdev * stdev)), 6) as mean, round(1 / sqrt(sum(1 / (stdev * stdev))), 6) as stdev from links group by a, oa, b, ob")
+def a05(spark, sf):
+    rows = bundle.buckets(_links(spark, sf)).withColumn("m", bundle.merged(F.col("links")))
+    return rows.select(*bundle.KEYS, F.round("m.mean", 6).alias("mean"), F.round("m.stdev", 6).alias("stdev"))
+
+
+@query("a08_first_link", SQL + "select a, oa, b, ob, min(read) as read from links group by a, oa, b, ob")
+def a08(spark, sf):
+    return _links(spark, sf).groupBy(*bundle.KEYS).agg(F.min("read").alias("read"))
+
+
+@query("k03_graph_nodes", SQL + "select row_number() over (order by contig) as id, contig from (select a as contig from bundles union select b from bundles union select a from links union select b from links)")
+def k03(spark, sf):
+    return graph.node_ids(graph.nodes(bundle.bundle_all(_links(spark, sf)))).select(F.col("id").cast("long").alias("id"), "contig")
+
+
+@query("a09_degree", SQL + "select contig, degree from deg")
+def a09(spark, sf):
+    return graph.degrees(_bundled(spark, sf))
+
+
+@query("a12_percentiles", SQL + "select round((select quantile_cont(coverage, 0.75) from cov), 6) as coverage, round((select quantile_cont(degree, 0.75) from deg), 6) as degree, round((select quantile_cont(skew, 0.75) from skewed), 6) as skew")
+def a12(spark, sf):
+    p = lambda t, c: t.agg(F.round(F.percentile(c, F.lit(0.75)), 6).alias(c))
+    edges, cov = _bundled(spark, sf), _coverage(spark, sf)
+    return p(cov, "coverage").crossJoin(p(graph.degrees(edges), "degree")).crossJoin(p(repeats.skew(edges, cov), "skew"))
+
+
+@query("a15_skew", SQL + "select contig, round(skew, 6) as skew from skewed")
+def a15(spark, sf):
+    return repeats.skew(_bundled(spark, sf), _coverage(spark, sf)).select("contig", _r("skew"))
+
+
+@query("a16_mean_coverage", SQL + "select round(avg(coverage), 6) as mean from cov")
+def a16(spark, sf):
+    return _coverage(spark, sf).agg(F.round(F.avg("coverage"), 6).alias("mean"))
+
+
+@query("p11_outliers", SQL + "select contig, 'coverage' as signal from cov where coverage >= (select quantile_cont(coverage, 0.75) from cov) union all select contig, 'degree' from deg where degree >= (select quantile_cont(degree, 0.75) from deg)")
+def p11(spark, sf):
+    named = lambda t, c: repeats.percentile_outliers(t, c).select("contig", F.lit(c).alias("signal"))
+    return named(_coverage(spark, sf), "coverage").unionByName(named(graph.degrees(_bundled(spark, sf)), "degree"))
+
+
+@query("u02_outlier_intersection", SQL + "select contig from cov where coverage >= (select quantile_cont(coverage, 0.75) from cov) intersect select contig from deg where degree >= (select quantile_cont(degree, 0.75) from deg) intersect select contig from ctg where length >= (select quantile_cont(length, 0.75) from ctg)")
+def u02(spark, sf):
+    signal = derived.contigs(spark, sf).withColumnRenamed("length", "invalidated")
+    return repeats.signal_outliers(_bundled(spark, sf), _coverage(spark, sf), signal)
+
+
+@query("p13_negative_distance", SQL + "select l.a, l.oa, l.b, l.ob, l.mean < 0 and abs(l.mean) >= x.length as long_a, l.mean < 0 and abs(l.mean) >= y.length as long_b from bundled l join ctg x on x.contig = l.a join ctg y on y.contig = l.b")
+def p13(spark, sf):
+    return repeats.negative_distance(_bundled(spark, sf), derived.contigs(spark, sf)).select(*bundle.KEYS, "long_a", "long_b")
+
+
+def _given(spark, sf):
+    """A fixed set of central and other repeats, so that the filter can be checked by itself."""
+    edges, cov = _bundled(spark, sf), _coverage(spark, sf)
+    deg = graph.degrees(edges)
+    central = deg.crossJoin(F.broadcast(deg.agg(F.percentile("degree", F.lit(0.9)).alias("cut")))).filter("degree >= cut").select("contig", (F.col("degree") / 1000.0).alias("score"))
+    return edges, central, repeats.percentile_outliers(cov, "coverage", 0.9).select("contig")
+
+
+_STAY = SQL + """, kept as (
+    select l.* from bundled l
+    where not ((((select avg(score) from central) <> 0 and (select stddev_pop(score) from central) <> 0) and a in (select contig from central)) or b in (select contig from central))
+        and a not in (select contig from others) and b not in (select contig from others)
+), far as (
+    select k.*, k.mean < 0 and abs(k.mean) >= x.length as long_a, k.mean < 0 and abs(k.mean) >= y.length as long_b
+    from kept k join ctg x on x.contig = k.a join ctg y on y.contig = k.b
+)
+"""
+
+
+@query("p14_filtered_links", _STAY + "select a, oa, b, ob, bsize from far where not long_a and not long_b")
+def p14(spark, sf):
+    edges, central, others = _given(spark, sf)
+    return repeats.filter_links(edges, derived.contigs(spark, sf), central, others)[0].select(*bundle.KEYS, "bsize")
+
+
+@query("u01_repeat_union", _STAY + "select contig from central union select contig from others union select a from far where long_a union select b from far where long_b")
+def u01(spark, sf):
+    edges, central, others = _given(spark, sf)
+    return repeats.filter_links(edges, derived.contigs(spark, sf), central, others)[1]
+
+
+@query("u03_graph_minus_repeats", SQL + "select a, oa, b, ob from bundled where a not in (select contig from others) and b not in (select contig from others)")
+def u03(spark, sf):
+    edges, _, others = _given(spark, sf)
+    return graph.without_nodes(edges, others).select(*bundle.KEYS)
+
+
+@query("g07_induced", SQL + "select a, oa, b, ob from bundled where a in (select contig from others) and b in (select contig from others)")
+def g07(spark, sf):
+    edges, _, others = _given(spark, sf)
+    return graph.induced(edges, others).select(*bundle.KEYS)
+
+
+@query("p10_congruence", SQL + "select l.a, l.oa, l.b, l.ob, (case when x.orient = 'FOW' then 'E' else 'B' end) || (case when y.orient = 'FOW' then 'B' else 'E' end) = l.oa || l.ob as valid from bundled l join orient x on x.contig = l.a join orient y on y.contig = l.b")
+def p10(spark, sf):
+    orient = derived.contigs(spark, sf).select("contig", F.when(F.col("length") % 2 == 0, "FOW").otherwise("REV").alias("orient"))
+    rows = _bundled(spark, sf).join(orient.select(F.col("contig").alias("a"), F.col("orient").alias("x")), "a").join(orient.select(F.col("contig").alias("b"), F.col("orient").alias("y")), "b")
+    return rows.select(*bundle.KEYS, fl.congruent(F.col("x"), F.col("y"), F.concat("oa", "ob")).alias("valid"))
+
+
+@query("a17_longest_contig", SQL + "select contig, length from ctg order by length desc, contig limit 1")
+def a17(spark, sf):
+    return derived.contigs(spark, sf).orderBy(F.desc("length"), "contig").limit(1)
+
+
+@query("o08_top_contig", SQL + "select a as contig, count(*) as n_out from bundled group by a order by n_out desc, a limit 1")
+def o08(spark, sf):
+    return _bundled(spark, sf).groupBy(F.col("a").alias("contig")).agg(F.count("*").alias("n_out")).orderBy(F.desc("n_out"), "contig").limit(1)
+
+
+_REACH = SQL.replace("with aln", "with recursive aln", 1) + ", reach as (select a as node, a as other from edges union select b, b from edges union select r.node, e.b from reach r join (select a, b from edges union select b, a from edges) e on e.a = r.other), comp as (select node as contig, min(other) as component from reach group by node)"
+
+
+@query("g02_components", _REACH + " select contig, component from comp")
+def g02(spark, sf):
+    return graph.components(derived.event_edges(spark, sf))
+
+
+@query("p15_large_components", _REACH + " select component, count(*) as n from comp group by component having count(*) >= 4")
+def p15(spark, sf):
+    return graph.components(derived.event_edges(spark, sf)).groupBy("component").agg(F.count("*").alias("n")).filter("n >= 4")
+
+
+@query("g06_in_out_degree", SQL + "select contig, cast(sum(i) as bigint) as n_in, cast(sum(o) as bigint) as n_out from (select b as contig, 1 as i, 0 as o from edges union all select a, 0, 1 from edges) group by contig")
+def g06(spark, sf):
+    return graph.in_out_degrees(derived.event_edges(spark, sf))
+
+
+@query("f03_revcomp", "select p_partkey, reverse(translate(upper(p_name), 'ACGTNRMYSWK', 'TGCANNNNNNN')) as seq from part")
+def f03(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", fs.reverse_complement(F.regexp_replace(F.upper("p_name"), " ", "_")).alias("seq")).withColumn("seq", F.regexp_replace("seq", "_", " "))
+
+
+@query("f06_wrap", "select doc_id, regexp_replace(regexp_replace(replace(text, chr(10), ' '), '(.{80})', '\\1' || chr(10), 'g'), chr(10) || '$', '') as wrapped from documents")
+def f06(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", fs.wrapped(F.regexp_replace("text", "\n", " ")).alias("wrapped"))
+
+
+@query("f08_pair_normalise", SQL + "select distinct least(a, b) as u, greatest(a, b) as v from bundled")
+def f08(spark, sf):
+    return _bundled(spark, sf).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+@query("p20_gfa_signs", SQL + "select a, b, case oa when 'E' then '+' else '-' end as sign_a, case ob when 'B' then '+' else '-' end as sign_b from bundled")
+def p20(spark, sf):
+    x, y = fl.gfa_signs(F.concat("oa", "ob"))
+    return _bundled(spark, sf).select("a", "b", x.alias("sign_a"), y.alias("sign_b"))
+
+
+@query("p19_edge_cost", SQL + "select a, oa, b, ob, round(case when bsize = 0 then 10.0 else 1.0 / bsize end, 6) as cost from bundled")
+def p19(spark, sf):
+    return _bundled(spark, sf).select(*bundle.KEYS, F.round(fl.edge_cost(F.col("bsize")), 6).alias("cost"))
