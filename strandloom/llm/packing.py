@@ -24,7 +24,7 @@ from strandloom.llm.common import by_bytes, record_batch, text_or_empty, written
 
 CAPACITY = 2048
 END_ID = 0
-MOST_CACHED = 600_000
+MOST_CACHED = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, rank_in_chunk long"
 
 
@@ -134,6 +134,7 @@ def token_pieces(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, text_
                     rows.append((doc, piece, at // 4, n, zlib.crc32(part), chunk, seen[n]))
                     seen[n] += 1
             yield record_batch(dict(zip(schema.names, zip(*rows))), schema)
+        _KNOWN.clear()  # an idle worker holds no memory that the next stage needs
 
     return df.select(F.col(id_col).cast("long").alias("__id"), text_or_empty(text_col).alias("__text")).mapInArrow(run, PIECES)
 

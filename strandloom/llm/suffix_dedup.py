@@ -24,7 +24,7 @@ from strandloom.llm.common import by_bytes, record_batch, text_or_empty, written
 
 SPAN = 100
 GRAM = 32
-BATCH = 2 << 20
+BATCH = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _POWERS: list[np.ndarray] = []
 
@@ -84,7 +84,7 @@ def phrases(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GR
 #: A row's document is known by doc (its id; null is the least long) and own (a hash of its text).
 LEAST = -(1 << 63)
 MOST_IN_SHARD = 20_000
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 COUNT_BITS = 8
 
 _KEYS = [("doc", pa.int64()), ("own", pa.int64())]
