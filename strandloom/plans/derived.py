@@ -64,6 +64,20 @@ with aln as (
 ), skewed as (
     select node as contig, sum(case when x.coverage >= 2 * y.coverage then 1.0 else 0.0 end) / count(*) as skew
     from near left join cov x on x.contig = node left join cov y on y.contig = neigh group by node
+), ord as (
+    select o_orderkey, o_custkey, 'o' || lpad(cast(o_orderkey as varchar), 9, '0') as o,
+        lag('o' || lpad(cast(o_orderkey as varchar), 9, '0')) over (partition by o_custkey order by o_orderdate, o_orderkey) as before
+    from orders where o_orderkey in (select l_orderkey from lineitem)
+), item as (
+    select 'o' || lpad(cast(l_orderkey as varchar), 9, '0') as o, cast(l_quantity as integer) as bsize,
+        row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as rn
+    from lineitem where l_orderkey in (select o_orderkey from orders)
+), flow as (
+    select o || ':0' as a, o || ':1' || lpad(cast(rn as varchar), 2, '0') as b, bsize from item
+    union all select o || ':1' || lpad(cast(rn as varchar), 2, '0'), o || ':2', bsize from item
+    union all select before || ':2', o || ':0', 5 from ord where before is not null
+), lines as (
+    select o, count(*) as n from item group by o
 ), central as (
     select contig, degree / 1000.0 as score from deg where degree >= (select quantile_cont(degree, 0.9) from deg)
 ), others as (
@@ -104,3 +118,21 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("node", F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(":"), F.col("event_type")))
     before = F.lag("node").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return rows.select(before.alias("a"), F.col("node").alias("b")).filter("a is not null").distinct()
+
+
+def order_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a, oa, b, ob, bsize: each order leads from its beginning through its items to its end, and on to the customer's next order.
+
+    An order of several items is a bubble; a customer's orders are a path.
+    """
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").join(items.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
+    name = lambda c: F.concat(F.lit("o"), F.lpad(F.col(c).cast("string"), 9, "0"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    item = items.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    item = item.select(name("l_orderkey").alias("o"), F.col("l_quantity").cast("int").alias("bsize"), F.lpad(F.row_number().over(order).cast("string"), 2, "0").alias("rn"))
+    mid = F.concat("o", F.lit(":1"), "rn")
+    steps = item.select(F.explode(F.array(F.struct(F.concat("o", F.lit(":0")).alias("a"), mid.alias("b"), "bsize"), F.struct(mid.alias("a"), F.concat("o", F.lit(":2")).alias("b"), "bsize"))).alias("e")).select("e.*")
+    before = F.lag(name("o_orderkey")).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    on = orders.select(before.alias("before"), name("o_orderkey").alias("o")).filter("before is not null").select(F.concat("before", F.lit(":2")).alias("a"), F.concat("o", F.lit(":0")).alias("b"), F.lit(5).alias("bsize"))
+    return steps.unionByName(on).select("a", F.lit("E").alias("oa"), "b", F.lit("B").alias("ob"), "bsize")

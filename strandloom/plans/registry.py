@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from strandloom.config import Config
 from strandloom.functions import links as fl, sequences as fs
-from strandloom.operators import bundle, graph, pairs, repeats
-from strandloom.plans import derived
+from strandloom.operators import blocks, bubbles, bundle, centrality, extras, graph, layout, motifs, orient, pairs, repeats
+from strandloom.plans import derived, scaffold
 from strandloom.plans.derived import SQL
+from strandloom.shared import written
+from strandloom.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -259,3 +262,195 @@ def p20(spark, sf):
 @query("p19_edge_cost", SQL + "select a, oa, b, ob, round(case when bsize = 0 then 10.0 else 1.0 / bsize end, 6) as cost from bundled")
 def p19(spark, sf):
     return _bundled(spark, sf).select(*bundle.KEYS, F.round(fl.edge_cost(F.col("bsize")), 6).alias("cost"))
+
+
+_NODE_COV = ", cov2 as (select b as contig, count(*) * 1.0 as coverage from walk group by b), io as (select contig, sum(i) as n_in, sum(o) as n_out from (select b as contig, 1 as i, 0 as o from edges union all select a, 0, 1 from edges) group by contig)"
+
+
+def _visits(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    return rows.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(":"), F.col("event_type")).alias("contig")).agg((F.count("*") * 1.0).alias("coverage"))
+
+
+@query("g22_plasmids", _REACH + _NODE_COV + " select component, count(*) as n from comp join io using (contig) group by component having min(least(n_in, n_out)) = 1 and max(greatest(n_in, n_out)) = 1")
+def g22(spark, sf):
+    return motifs.plasmids(derived.event_edges(spark, sf))
+
+
+@query("g23_tandem", SQL + _NODE_COV + " select x.contig from io x join edges p on p.b = x.contig join edges q on q.a = x.contig join cov2 cx on cx.contig = x.contig join cov2 cp on cp.contig = p.a join cov2 cq on cq.contig = q.b where n_in = 1 and n_out = 1 and cx.coverage >= 1.5 * cp.coverage and cx.coverage >= 1.5 * cq.coverage")
+def g23(spark, sf):
+    return motifs.tandem_repeats(derived.event_edges(spark, sf), _visits(spark, sf))
+
+
+@query("g24_interspersed", SQL + _NODE_COV + " select contig from io join cov2 using (contig) where (n_in >= 3 or n_out >= 3) and coverage >= 1.5 * (select avg(coverage) from cov2)")
+def g24(spark, sf):
+    return motifs.interspersed_repeats(derived.event_edges(spark, sf), _visits(spark, sf), 3, 1.5)
+
+
+@query("w06_agp_offsets", SQL + " select a as scaffold, row_number() over w - 1 as part, b as contig, cast(sum(length) over w as bigint) as \"end\" from (select distinct a, b from bundled) join ctg on contig = b window w as (partition by a order by b rows between unbounded preceding and current row)")
+def w06(spark, sf):
+    rows = _bundled(spark, sf).select(F.col("a").alias("scaffold"), F.col("b").alias("contig")).distinct().join(derived.contigs(spark, sf), "contig")
+    w = Window.partitionBy("scaffold").orderBy("contig")
+    return rows.select("scaffold", (F.row_number().over(w) - 1).cast("long").alias("part"), "contig", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
+
+
+@query("w08_scaffold_numbers", SQL + " select path, kind, 'scaffold_' || row_number() over (order by kind, path) || (case when kind = 1 then '_variant' else '' end) as scaffold from (select distinct contig as path, cast(length % 3 as integer) as kind from ctg)")
+def w08(spark, sf):
+    return layout.scaffold_names(derived.contigs(spark, sf).select((F.col("length") % 3).cast("int").alias("kind"), F.col("contig").alias("path")))
+
+
+@query("f11_six_digits")
+def f11(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", fl.six_digits(F.col("l_extendedprice") / 7).alias("x"))
+
+
+@query("k02_link_rows", SQL + " select a || chr(9) || oa || chr(9) || b || chr(9) || ob || chr(9) || bsize as value from bundled")
+def k02(spark, sf):
+    return writers.tsv(_bundled(spark, sf), "a", "oa", "b", "ob", "bsize")
+
+
+@query("k14_gfa", SQL + " select 'H' || chr(9) || 'VN:Z:1.0' as value union all select 'S' || chr(9) || contig || chr(9) || '*' || chr(9) || 'LN:i:' || length from ctg union all select 'L' || chr(9) || a || chr(9) || (case oa when 'E' then '+' else '-' end) || chr(9) || b || chr(9) || (case ob when 'B' then '+' else '-' end) || chr(9) || bsize from bundled")
+def k14(spark, sf):
+    return writers.gfa_rows(derived.contigs(spark, sf), _bundled(spark, sf))
+
+
+@query("x02_bfs_distances", SQL.replace("with aln", "with recursive aln", 1) + ", both_ways as (select a, b from edges union select b, a from edges), d as (select a as source, a as contig, 0 as distance from (select min(b) as a from edges) union select d.source, e.b, d.distance + 1 from d join both_ways e on e.a = d.contig where d.distance < 20) select source, contig, min(distance) as distance from d group by source, contig")
+def x02(spark, sf):
+    edges = derived.event_edges(spark, sf)
+    return extras.bfs_distances(edges, edges.agg(F.min("b").alias("contig")))
+
+
+@query("x11_parallel_edges", SQL + " select least(a, b) as a, greatest(a, b) as b, count(*) as n from bundled group by all having count(*) > 1")
+def x11(spark, sf):
+    return extras.parallel_edges(_bundled(spark, sf), directed=False)
+
+
+@query("x11_loops", SQL + " select a, b from edges where a = b")
+def x11b(spark, sf):
+    return extras.loops(derived.event_edges(spark, sf))
+
+
+def _links_with_ids(spark, sf):
+    return orient.with_link_ids(_bundled(spark, sf))
+
+
+@query("g04_betweenness")
+def g04(spark, sf):
+    return centrality.betweenness(_bundled(spark, sf)).select("component", "contig", _r("score"))
+
+
+@query("g05_peeling")
+def g05(spark, sf):
+    return centrality.high_centrality(_bundled(spark, sf)).select("contig", _r("score"), "round")
+
+
+@query("g08_orientation")
+def g08(spark, sf):
+    return orient.orient_contigs(_links_with_ids(spark, sf), derived.contigs(spark, sf))
+
+
+@query("g09_valid_links")
+def g09(spark, sf):
+    links = _links_with_ids(spark, sf)
+    return orient.valid_links(links, orient.orient_contigs(links, derived.contigs(spark, sf))).select(*bundle.KEYS, "bsize")
+
+
+def _flow(spark, sf):
+    edges = written(derived.order_flow(spark, sf), "flow")
+    return edges, written(bubbles.find_bubbles(edges), "bubbles")
+
+
+_MANY = ", big as (select o from lines where n > 1), rim as (select o, o || ':0' as source, o || ':2' as sink from big), inside as (select o, string_agg(o || ':1' || lpad(cast(rn as varchar), 2, '0'), ',' order by rn) as mid from item group by o)"
+
+
+@query("g10_blocks", SQL + _MANY + " select source || ',' || mid || ',' || sink as members from rim join inside using (o) union all select least(a, b) || ',' || greatest(a, b) from flow where substr(a, 1, 10) <> substr(b, 1, 10) or substr(a, 1, 10) not in (select o from big)")
+def g10(spark, sf):
+    return blocks.blocks(derived.order_flow(spark, sf)).select(F.array_join("members", ",").alias("members"))
+
+
+@query("g12_seppairs", SQL + _MANY + " select source as u, sink as v from rim union all select o || ':101', o || ':102' from lines where n = 2")
+def g12(spark, sf):
+    return blocks.separation_pairs(derived.order_flow(spark, sf)).select("u", "v")
+
+
+@query("g13_bubbles", SQL + _MANY + " select source, sink, source || ',' || mid || ',' || sink as members from rim join inside using (o)")
+def g13(spark, sf):
+    return bubbles.find_bubbles(derived.order_flow(spark, sf)).select("source", "sink", F.array_join("members", ",").alias("members"))
+
+
+_NEW = ", f as (select *, substr(a, 1, 10) as ao, substr(b, 1, 10) as bo from flow), g as (select distinct case when ao in (select o from big) then ao || ':0' else a end as a, ao in (select o from big) as a_bubble, case when bo in (select o from big) then bo || ':0' else b end as b, bo in (select o from big) as b_bubble, bsize from f where ao <> bo or ao not in (select o from big))"
+
+
+@query("g14_collapse", SQL + _MANY + _NEW + " select a, a_bubble, b, b_bubble, 'EB' as ends, bsize from g")
+def g14(spark, sf):
+    edges, found = _flow(spark, sf)
+    rows = bubbles.collapse(edges, found)
+    return rows.select(F.col("a.name").alias("a"), F.col("a.bubble").alias("a_bubble"), F.col("b.name").alias("b"), F.col("b.bubble").alias("b_bubble"), "ends", "bsize")
+
+
+_WAY = """, stop as (
+    select o_custkey, o || ':0' as node, true as bubble, o from ord where o in (select o from big)
+    union all select o_custkey, node, false, o from ord join (select o, unnest([o || ':0', o || ':101', o || ':2']) as node from lines where n = 1) using (o)
+), stops as (
+    select s.*, row_number() over (partition by s.o_custkey order by r.k, node) - 1 as i, count(*) over (partition by s.o_custkey) as n
+    from stop s join (select o, row_number() over (partition by orders.o_custkey order by o_orderdate, o_orderkey) as k from ord join orders using (o_orderkey)) r using (o)
+), rims as (
+    select o_custkey, max(case when i = 0 then row(bubble, node) end) as lo, max(case when i = n - 1 then row(bubble, node) end) as hi from stops group by o_custkey
+) select case when lo < hi then lo[2] else hi[2] end as path, case when lo < hi then 'B' else 'E' end as path_end,
+    case when lo < hi then i else n - 1 - i end as place, node as contig, case when lo < hi then 'B' else 'E' end as entry, case when lo < hi then 'E' else 'B' end as exit
+from stops join rims using (o_custkey) where n > 1
+"""
+
+
+@query("g15_g16_layout", SQL + _MANY + _WAY)
+def g15(spark, sf):
+    edges, found = _flow(spark, sf)
+    paths = layout.trace_paths(layout.match_ends(layout.end_edges(bubbles.collapse(edges, found))))
+    return paths.select(F.col("path.node.name").alias("path"), F.col("path.end").alias("path_end"), "place", F.col("node.name").alias("contig"), "entry", "exit")
+
+
+_BEST = ", ranked as (select o, rn, row_number() over (partition by o order by bsize desc, rn) as r from item)"
+
+
+@query("g17_heaviest_path", SQL + _MANY + _BEST + " select source, source || ',' || o || ':1' || lpad(cast(rn as varchar), 2, '0') || ',' || sink as path from rim join ranked using (o) where r = 1")
+def g17(spark, sf):
+    edges, found = _flow(spark, sf)
+    return layout.bubble_paths(edges, found).select("source", F.array_join("heaviest", ",").alias("path"))
+
+
+@query("g18_variants", SQL + _MANY + _BEST + " select source, o || ':1' || lpad(cast(rn as varchar), 2, '0') as way from rim join ranked using (o) where r > 1")
+def g18(spark, sf):
+    edges, found = _flow(spark, sf)
+    return layout.bubble_paths(edges, found).select("source", F.explode("others").alias("way")).select("source", F.array_join("way", ",").alias("way"))
+
+
+@query("g25_bubble_classes", SQL + _MANY + " select source, sink, cast(n + 2 as integer) as n, case when n = 2 then 'four' else 'complex' end as kind from rim join lines using (o)")
+def g25(spark, sf):
+    return motifs.bubble_classes(bubbles.find_bubbles(derived.order_flow(spark, sf)))
+
+
+@query("g26_cycle_basis")
+def g26(spark, sf):
+    return motifs.cycle_basis(derived.event_edges(spark, sf))
+
+
+@query("k15_agp")
+def k15(spark, sf):
+    links, contigs = _links_with_ids(spark, sf), derived.contigs(spark, sf)
+    return scaffold.scaffold_stage(links, contigs, Config())["agp"]
+
+
+@query("x01_page_rank")
+def x01(spark, sf):
+    return extras.page_rank(_bundled(spark, sf), rounds=10).select("contig", _r("rank"))
+
+
+@query("x07_spanning_forest")
+def x07(spark, sf):
+    return extras.spanning_forest(_bundled(spark, sf).withColumn("weight", fl.edge_cost(F.col("bsize")))).select("a", "b", _r("weight"))
+
+
+@query("x08_strong_components")
+def x08(spark, sf):
+    return extras.strong_components(derived.event_edges(spark, sf))
