@@ -28,6 +28,7 @@ PREFIXES = (4, 5, 6)
 WORD = re.compile(r"\w+")
 ROWS_FOR_FIT = 20_000
 MOST_VOTERS = 400
+BLOCK = 2000
 
 
 @dataclass(frozen=True)
@@ -96,32 +97,41 @@ def label_model(matrix: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.
     Voters that go together more than the label explains share one vote: each counts 1 / (1 + the sum of its correlations).
     """
     n, m = matrix.shape
-    posterior = np.clip(matrix.sum(1) / max(1.0, np.percentile(matrix.sum(1), 95)), 0.02, 0.98) if n else np.zeros(0)
+    cast = matrix.sum(1)
+    posterior = np.clip(cast / max(1.0, np.percentile(cast, 95)), 0.02, 0.98) if n else np.zeros(0)
     weight, odds = np.ones(m), np.zeros(m)
     for r in range(rounds):
         toxic = posterior.sum()
-        rate_t = (posterior @ matrix + 0.5) / (toxic + 1)
-        rate_o = ((1 - posterior) @ matrix + 0.05) / (n - toxic + 1)
+        rate_t = (posterior.astype(np.float32) @ matrix + 0.5) / (toxic + 1)
+        rate_o = ((1 - posterior).astype(np.float32) @ matrix + 0.05) / (n - toxic + 1)
         odds = np.log(rate_t / rate_o)
         if r == 5:  # what the label leaves unexplained
-            left = matrix - posterior[:, None] * rate_t - (1 - posterior[:, None]) * rate_o
-            scale = np.sqrt((left**2).sum(0)) + 1e-9
-            together = np.clip((left.T @ left) / np.outer(scale, scale), 0, 1)
+            together = np.zeros((m, m))
+            for at in range(0, n, BLOCK):
+                p = posterior[at : at + BLOCK, None]
+                left = matrix[at : at + BLOCK] - p * rate_t - (1 - p) * rate_o
+                together += left.T @ left
+            scale = np.sqrt(np.diag(together)) + 1e-9
+            together = np.clip(together / np.outer(scale, scale), 0, 1)
             np.fill_diagonal(together, 0)
             weight = 1 / (1 + np.where(together > 0.2, together, 0).sum(1))
         missing = np.log(np.clip(1 - rate_t, 1e-6, 1) / np.clip(1 - rate_o, 1e-6, 1))
-        z = np.log(prior / (1 - prior)) + matrix @ (weight * odds) + (1 - matrix) @ (weight * missing)
+        z = np.log(prior / (1 - prior)) + matrix @ (weight * odds - missing).astype(np.float32) + missing.sum()
         posterior = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return posterior, weight * odds
 
 
 def linear_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
     """Weights of a logistic regression on soft labels, the intercept last (not shrunk), by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, shrink = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, ridge), 1e-3)
+    w, shrink = np.zeros(x.shape[1] + 1), np.append(np.full(x.shape[1], ridge), 1e-3)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (y - p) - shrink * w)
+        curve, slope = np.diag(shrink), -shrink * w
+        for at in range(0, len(x), BLOCK):
+            part = np.hstack([x[at : at + BLOCK], np.ones((len(x[at : at + BLOCK]), 1))])
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            curve = curve + (part * (p * (1 - p))[:, None]).T @ part
+            slope = slope + part.T @ (y[at : at + BLOCK] - p)
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -164,12 +174,15 @@ def fit(labelled: DataFrame) -> ToxicityModel:
     truth = np.array([r["toxic"] for r in rows], float)
     if not len(truth) or truth.min() == truth.max():
         return ToxicityModel(LEXICON, (1.0,) * len(LEXICON), (2.0,) * len(LEXICON), 1.0, -2.5)
-    matrix = np.zeros((len(rows), len(voters)))
+    matrix = np.zeros((len(rows), len(voters)), np.float32)
     for i, r in enumerate(rows):
         matrix[i, r["ids"]] = 1.0
     posterior, strengths = label_model(matrix, float(truth.mean()))
     strengths = np.clip(strengths, 0, None)
-    x = np.array([features(dict(zip(r["ids"], r["counts"])), r["words"], strengths) for r in rows])
+    del matrix
+    x = np.zeros((len(rows), len(voters) + 1), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = features(dict(zip(r["ids"], r["counts"])), r["words"], strengths)
     # the labels say how far the posterior is to be believed: they are one voter more, and the most accurate one
     w = linear_fit(x, 0.3 * posterior + 0.7 * truth)
     w[-1] -= best_cut(x @ w[:-1] + w[-1], truth)
