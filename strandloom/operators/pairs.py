@@ -17,7 +17,7 @@ def mate_pairs(alignments: DataFrame) -> DataFrame:
     """
     name = read_name(F.col("read"))
     rows = alignments.select(name.alias("name"), has_suffix(F.col("read")).alias("suffixed"), F.substring("read", -1, 1).alias("last"), "line_no", F.struct("contig", "start", "end", "strand").alias("rec"))
-    seen = F.row_number().over(Window.partitionBy("name", "suffixed").orderBy("line_no"))
+    seen = F.row_number().over(Window.partitionBy("name").orderBy("suffixed", "line_no"))
     rows = rows.withColumn("mate", F.when(F.col("suffixed"), F.when(F.col("last") == "1", 1).otherwise(2)).otherwise(F.when(seen == 1, 1).otherwise(2)))
     last = lambda m: F.max_by(F.when(F.col("mate") == m, F.col("rec")), F.when(F.col("mate") == m, F.col("line_no")))
     return rows.groupBy("name").agg(last(1).alias("m1"), last(2).alias("m2")).withColumnRenamed("name", "read")

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; set here only where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; set here only where it is unset, as in tests, and then emptied at exit."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/checkpoints/strandloom"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/strandloom/{spark.sparkContext.applicationId}"
+    if found:
+        return f"{found.rstrip('/')}/strandloom/{spark.sparkContext.applicationId}"
+    found = "/tmp/checkpoints/strandloom"
+    spark.conf.set("spark.checkpoint.dir", found)
+    own = f"{found}/strandloom/{spark.sparkContext.applicationId}"
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
