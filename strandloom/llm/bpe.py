@@ -27,7 +27,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 
 @cache
-def _byte_chars() -> dict[str, int]:
+def byte_chars() -> dict[str, int]:
     """The vocabulary file's character for each byte: printable Latin-1 as itself, the others from U+0100 on in order."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -40,7 +40,7 @@ class Bpe:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        chars, vocab = _byte_chars(), spec["model"]["vocab"]
+        chars, vocab = byte_chars(), spec["model"]["vocab"]
         raw = lambda token: bytes(chars[c] for c in token)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens: list[bytes] = [b""] * (1 + max(*vocab.values(), *self.special.values()))

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
+from strandloom.llm.bpe import byte_chars
 from strandloom.llm.common import by_bytes, record_batch, text_or_empty, written
 
 CAPACITY = 2048
@@ -91,30 +92,59 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> lis
     return moves
 
 
-@cache
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer.from_file(path)
+class Pieces:
+    """Ids of the pieces of texts between blanks, as little-endian unsigned 32-bit numbers.
+
+    This vocabulary's words never hold white space, so pieces have their ids for themselves. A piece of Latin letters and marks after
+    them is a word and a run of marks, which the library's BPE model encodes straight away: normalising such a piece is lower-casing it.
+    Whatever else there is goes through the whole tokenizer.
+    """
 
+    MARKS = ".,!?;:"
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.shown = {b: c for c, b in byte_chars().items()}
+
+    def word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            shown = word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
+            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes() if word else b""
+        return ids
+
+    def learn(self, pieces: list[str]) -> None:
+        other = []
+        for p in pieces:
+            small = p.lower()
+            word = small.rstrip(self.MARKS)
+            if (word.isalpha() or not word) and (p.isascii() or max(p) < "\u0100"):
+                self.known[p] = self.word(word) + self.word(small[len(word) :])
+            else:
+                other.append(p)
+        for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            self.known[p] = array("I", e.ids).tobytes()
 
-_KNOWN: dict[str, dict[str, bytes]] = {}
+    def of(self, texts: list[str]) -> list[bytes]:
+        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        new = {p for pieces in cut for p in pieces if p not in self.known}
+        if len(self.known) + len(new) > MOST_CACHED:
+            self.forget()
+            new = {p for pieces in cut for p in pieces}
+        self.learn([*new])
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.words.clear()
 
-def token_bytes(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers, as the tokenizers library gives them.
 
-    This vocabulary's words never hold white space, so the pieces between blanks have their ids for themselves; the library
-    encodes each piece once, while its ids are kept.
-    """
-    known = _KNOWN.setdefault(path, {})
-    cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-    new = [*{p for pieces in cut for p in pieces if p not in known}]
-    if len(known) + len(new) > MOST_CACHED:
-        known.clear()
-        new = [*{p for pieces in cut for p in pieces}]
-    if new:
-        for p, e in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):
-            known[p] = array("I", e.ids).tobytes()
-    return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+@cache
+def pieces_of(path: str) -> Pieces:
+    return Pieces(path)
 
 
 def token_pieces(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -123,10 +153,10 @@ def token_pieces(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, text_
     end = array("I", [END_ID]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
+        chunk, seen, coder = TaskContext.get().partitionId(), [0] * (capacity + 1), pieces_of(vocabulary)
         for batch in by_bytes(batches, "__text", 2 << 20):
             rows = []
-            for doc, ids in zip(batch.column("__id").to_pylist(), token_bytes(vocabulary, batch.column("__text").to_pylist())):
+            for doc, ids in zip(batch.column("__id").to_pylist(), coder.of(batch.column("__text").to_pylist())):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -134,7 +164,7 @@ def token_pieces(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, text_
                     rows.append((doc, piece, at // 4, n, zlib.crc32(part), chunk, seen[n]))
                     seen[n] += 1
             yield record_batch(dict(zip(schema.names, zip(*rows))), schema)
-        _KNOWN.clear()  # an idle worker holds no memory that the next stage needs
+        coder.forget()  # an idle worker holds no memory that the next stage needs
 
     return df.select(F.col(id_col).cast("long").alias("__id"), text_or_empty(text_col).alias("__text")).mapInArrow(run, PIECES)
 
