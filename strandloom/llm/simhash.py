@@ -72,17 +72,16 @@ class BkTree:
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
 
-    def near(self, value: int, radius: int) -> list[int]:
-        found, todo = [], [0] if self.values else []
+    def search(self, value: int, radius: int) -> Iterator[int]:
+        todo = [0] if self.values else []
         while todo:
             node = todo.pop()
             d = (self.values[node] ^ value).bit_count()
             if d <= radius:
-                found.append(self.values[node])
+                yield self.values[node]
             edges = self.children[node]
             if edges:
                 todo += [child for edge, child in edges.items() if d - radius <= edge <= d + radius]
-        return found
 
     def add(self, value: int) -> None:
         self.values.append(value)
@@ -110,7 +109,7 @@ def shard_links(first: list[int], second: list[int], radius: int) -> list[tuple[
     tree, tops, links = BkTree(), _tops([*first, *second]), []
 
     def join(v: int) -> None:
-        for other in tree.near(v, radius):
+        for other in tree.search(v, radius):
             x, y = _top(tops, v), _top(tops, other)
             if x != y:
                 tops[max(x, y)] = min(x, y)
@@ -245,29 +244,30 @@ def similar_links(distinct: DataFrame, radius: int, similarity: float, part: int
     """
     dealt = _in_parts(distinct.select("own", F.posexplode("keys").alias("pair", "key")), "own", part)
     dealt = dealt.join(distinct.select("own", "fp", "sketch"), "own").select(*WORK, "second", "own", "fp", "sketch")
-    least = similarity + (1 - similarity) / 256
+    least = (similarity + (1 - similarity) / 256) * SKETCH
 
     def links_of(first: list[tuple], second: list[tuple]) -> list[tuple[int, int]]:
+        """Links that join what is alike among the rows of both parts; a search ends where all earlier rows are joined already."""
         rows = [*first, *second]
         sketches = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), SKETCH)
-        at: dict[int, list[int]] = {}
-        for i, r in enumerate(rows):
-            at.setdefault(r[1], []).append(i)
         tree, tops, links = BkTree(), {i: i for i in range(len(rows))}, []
-        inside = set(range(len(first)))
-        for n, (_, fp, _) in enumerate(rows):
-            if not second or n >= len(first):
-                near = [i for value in tree.near(fp, radius) for i in at[value] if i < n and (not second or i in inside)]
-                near = [i for i in near if _top(tops, i) != _top(tops, n)]
-                if near:
-                    close = (sketches[near] == sketches[n]).mean(1) >= least
-                    for i in np.array(near)[close].tolist():
-                        x, y = _top(tops, i), _top(tops, n)
-                        if x != y:
-                            tops[max(x, y)] = min(x, y)
-                            links.append((rows[i][0], rows[n][0]))
-            if (not second or n < len(first)) and at[fp][0] == n:
+        at: dict[int, list[int]] = {}
+        groups = 0  # of the rows before this one
+        for n, (own, fp, _) in enumerate(rows):
+            joined = 0
+            for value in tree.search(fp, radius):
+                for i in at[value]:
+                    x, y = _top(tops, i), _top(tops, n)
+                    if x != y and np.count_nonzero(sketches[i] == sketches[n]) >= least:
+                        tops[max(x, y)] = min(x, y)
+                        links.append((rows[i][0], own))
+                        joined += 1
+                if joined == groups:
+                    break
+            groups += 1 - joined
+            if fp not in at:
                 tree.add(fp)
+            at.setdefault(fp, []).append(n)
         return links
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
