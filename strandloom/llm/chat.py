@@ -45,11 +45,12 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     parents = jump.filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
     paths = nodes.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist"))
     reach, most = 1, max(1, nodes.count())
-    while reach <= most and not jump.filter("up is not null").isEmpty():
-        going = jump.filter("up is not null")
+    going = jump.filter("up is not null")  # who has someone so many steps above: fewer each round
+    while reach <= most and not going.isEmpty():
         further = paths.join(going, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("dist") + reach).alias("dist"))
         paths = written(paths.unionByName(further), "paths")
-        jump = written(jump.join(going.select("tree", F.col("node").alias("up"), F.col("up").alias("beyond")), ["tree", "up"], "left").select("tree", "node", F.col("beyond").alias("up")), "jump")
+        beyond = going.select("tree", F.col("node").alias("up"), F.col("up").alias("beyond"))
+        going = written(going.join(beyond, ["tree", "up"]).select("tree", "node", F.col("beyond").alias("up")), "jump")
         reach *= 2
     whole = paths.join(roots, ["tree", "node"], "left_semi").select("tree", "leaf").distinct()
     return paths.join(whole, ["tree", "leaf"], "left_semi")
