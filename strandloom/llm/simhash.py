@@ -133,13 +133,19 @@ def _blocks(count: int) -> list[tuple[int, int]]:
 WORK = ["pair", "key", "i", "j"]
 
 
-def _in_parts(dealt: DataFrame, item: str, part: int) -> DataFrame:
+def _in_parts(dealt: DataFrame, item: str, part: int, part_bytes: int | None = None) -> DataFrame:
     """Of rows (item, pair, key): pair, key, i, j, second and item, with each shard of two items or more cut into parts.
 
     A row of part p takes part in the works (p, j) as first and (i, p) as second; in (p, p) it meets its own part.
+    With part_bytes, a part holds about so many bytes at most, as column bytes gives them.
     """
-    sizes = dealt.groupBy("pair", "key").count().filter(F.col("count") > 1)
-    dealt = dealt.join(sizes, ["pair", "key"]).withColumn("parts", F.ceil(F.col("count") / part).cast("int"))
+    parts = F.ceil(F.col("count") / part)
+    if part_bytes:
+        sizes = dealt.groupBy("pair", "key").agg(F.count("*").alias("count"), F.sum("bytes").alias("sum"))
+        parts = F.greatest(parts, F.ceil(F.col("sum") / part_bytes))
+    else:
+        sizes = dealt.groupBy("pair", "key").count()
+    dealt = dealt.join(sizes.filter(F.col("count") > 1), ["pair", "key"]).withColumn("parts", parts.cast("int"))
     dealt = dealt.withColumn("own_part", F.pmod(F.xxhash64(item), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.select("pair", "key", F.least("own_part", "other").alias("i"), F.greatest("own_part", "other").alias("j"), (F.col("own_part") > F.col("other")).alias("second"), item)
@@ -199,19 +205,19 @@ def near_duplicates(df: DataFrame, words: int = 5, radius: int = 4, text_col: st
 
 SKETCH = 128
 SHARDS = 12
+PART_BYTES = 16 << 20
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SIGNATURE = "doc_id long, own long, fp long, sketch binary, keys array<long>"
 
 
 def signature(text: str, words: int) -> tuple[int, int, bytes, list[int]]:
-    """Hash of the set of shingles, fingerprint, a byte of each of 128 minima of the shingles under different hashes, and shard keys.
+    """Hash of the set of shingles, the set's fingerprint, a byte of each of 128 minima of the shingles under different hashes, and shard keys.
 
     Each key hashes two minima of its own. Texts of similarity s share a given key with probability s^2: of 12, at least one in all
     but 5 of a million pairs at 0.8.
     """
-    hashes = shingle_hashes(text, words)
-    kinds = np.unique(hashes)
-    fp = fingerprint(hashes)
+    kinds = np.unique(shingle_hashes(text, words))
+    fp = fingerprint(kinds)
     own = xxhash.xxh64_intdigest(kinds.tobytes(), SEED)
     if not len(kinds):
         return own, fp, bytes(SKETCH), [0] * SHARDS
@@ -236,15 +242,34 @@ def signatures(df: DataFrame, words: int, text_col: str = "text", id_col: str =
     return df.select(F.col(id_col).cast("long").alias("__id"), text_or_empty(text_col).alias("__text")).mapInArrow(run, SIGNATURE)
 
 
-def similar_links(distinct: DataFrame, radius: int, similarity: float, part: int = PART) -> DataFrame:
-    """(a, b): links between column own of distinct signatures whose fingerprints lie within the radius and whose minima agree so often.
+def shingle_sets(df: DataFrame, words: int, text_col: str = "text") -> DataFrame:
+    """own and kinds, the sorted hashes of the set of shingles as bytes, of each row."""
+    schema = pa.schema([("own", pa.int64()), ("kinds", pa.binary())])
 
-    Shards are those that share a key. In each, a BK-tree finds what lies within the radius, and the sketches' share of equal
-    bytes, less what chance gives, estimates the similarity.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "__text"):
+            kinds = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column("__text").to_pylist()]
+            own = np.array([xxhash.xxh64_intdigest(k, SEED) for k in kinds], np.uint64)
+            yield record_batch({"own": own.view(np.int64), "kinds": kinds}, schema)
+
+    return df.select(text_or_empty(text_col).alias("__text")).mapInArrow(run, "own long, kinds binary")
+
+
+def least_agreeing(similarity: float) -> float:
+    """How many bytes of two sketches agree at least, but for some two in ten million pairs of that similarity."""
+    p = similarity + (1 - similarity) / 256
+    return SKETCH * p - 5.5 * (SKETCH * p * (1 - p)) ** 0.5
+
+
+def candidate_links(distinct: DataFrame, radius: int, similarity: float, part: int = PART) -> DataFrame:
+    """(a, b): links that join what may be alike among column own of distinct signatures.
+
+    Shards are those that share a key. In each, a BK-tree finds what lies within the radius, and the sketches leave out what
+    agrees in too few bytes to be as similar.
     """
     dealt = _in_parts(distinct.select("own", F.posexplode("keys").alias("pair", "key")), "own", part)
     dealt = dealt.join(distinct.select("own", "fp", "sketch"), "own").select(*WORK, "second", "own", "fp", "sketch")
-    least = (similarity + (1 - similarity) / 256) * SKETCH
+    least = least_agreeing(similarity)
 
     def links_of(first: list[tuple], second: list[tuple]) -> list[tuple[int, int]]:
         """Links that join what is alike among the rows of both parts; a search ends where all earlier rows are joined already."""
@@ -287,17 +312,78 @@ def similar_links(distinct: DataFrame, radius: int, similarity: float, part: int
     return dealt.repartition(*WORK).sortWithinPartitions(*WORK, "second", "own").mapInPandas(run, "a long, b long")
 
 
-def keep_one(df: DataFrame, words: int = 5, radius: int = 20, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def alike_links(sketches: np.ndarray, sets: list[np.ndarray], second: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that join what is alike among some sets (the rows from second on against all earlier ones), by exact Jaccard similarity."""
+    n = len(sets)
+    group, sizes, links, least = np.arange(n), np.array([len(s) for s in sets]), [], least_agreeing(similarity)
+    for b in range(max(1, second), n):
+        agree = (sketches[:b] == sketches[b]).sum(1)
+        small, large = np.minimum(sizes[:b], sizes[b]), np.maximum(sizes[:b], sizes[b])
+        todo = np.flatnonzero((agree >= least) & (small >= similarity * large - 1))
+        todo = todo[np.argsort(-agree[todo], kind="stable")]
+        while len(todo := todo[group[todo] != group[b]]):
+            a, todo = int(todo[0]), todo[1:]
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            either = int(sizes[a] + sizes[b]) - both
+            if either and both / either >= similarity:
+                links.append((a, b))
+                group[group == group[b]] = group[a]
+    return links
+
+
+def exact_links(distinct: DataFrame, candidates: DataFrame, sets: DataFrame, similarity: float, part: int = PART, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(a, b): links that join all sets (own, kinds) of that Jaccard similarity that lie in one component (id, component) of candidates.
+
+    A small component is one task's work. A large one is dealt to the shards of its members' keys, as a pair of candidates shares one.
+    """
+    bytes_of = sets.select("own", F.length("kinds").cast("long").alias("bytes"))
+    members = written(candidates.withColumnRenamed("id", "own").join(bytes_of, "own"), "members")
+    large = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("sum")).filter((F.col("n") > part) | (F.col("sum") > part_bytes)).select("component")
+    small = members.join(large, "component", "left_anti").select("own", "bytes", F.lit(-1).alias("pair"), F.col("component").alias("key"))
+    keys = distinct.select("own", F.posexplode("keys").alias("pair", "key"))
+    wide = members.join(large, "component", "left_semi").join(keys, "own").select("own", "bytes", "pair", F.xxhash64("component", "key").alias("key"))
+    dealt = _in_parts(small.unionByName(wide), "own", part, part_bytes)
+    dealt = dealt.join(distinct.select("own", "sketch"), "own").join(sets, "own").select(*WORK, "second", "own", "sketch", "kinds")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links: list[tuple[int, int]] = []
+        now, rows, second = None, [], 0
+
+        def close() -> None:
+            if now is None or now[2] != now[3] and second in (0, len(rows)):
+                return
+            sketches = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), SKETCH)
+            found = alike_links(sketches, [np.frombuffer(r[2], np.uint64) for r in rows], second if now[2] != now[3] else 0, similarity)
+            links.extend((rows[a][0], rows[b][0]) for a, b in found)
+
+        for pdf in batches:
+            for pair, key, i, j, late, own, sketch, kinds in pdf.itertuples(index=False):
+                if (pair, key, i, j) != now:
+                    close()
+                    now, rows, second = (pair, key, i, j), [], 0
+                rows.append((own, sketch, kinds))
+                second += not late
+        close()
+        yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return dealt.repartition(*WORK).sortWithinPartitions(*WORK, "second", "own").mapInPandas(run, "a long, b long")
+
+
+def keep_one(df: DataFrame, words: int = 5, radius: int = 28, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of df whose id is the smallest of their group; groups are what links of similar texts join.
 
-    Two texts are linked if their sets of shingles are equal, or alike to that similarity as SimHash fingerprints and 128 minima
-    show it. Texts without words are one group, a null text is one. A null id is the smallest. Rows that repeat an id and
+    Two texts are linked if their sets of shingles have that Jaccard similarity or more. Fingerprints and minima only find the
+    candidates: at a similarity of 0.8, a pair has fingerprints over 28 bits apart less than once in 100,000. Texts without words are one group, a null text is one. A null id is the smallest. Rows that repeat an id and
     a text stand or fall together. All columns stay; an empty table gives an empty one.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     signs = written(signatures(df.withColumn("__key", key), words, text_col, "__key"), "signatures")
     distinct = written(signs.groupBy("own").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "distinct")
-    found = connected_components(similar_links(distinct, radius, similarity)).withColumnRenamed("id", "own")
+    candidates = written(connected_components(candidate_links(distinct, radius, similarity)), "candidates")
+    least = distinct.join(candidates.select(F.col("id").alias("own")), "own").select(F.col("least").alias("__key")).distinct()
+    sets = shingle_sets(df.withColumn("__key", key).join(least, "__key", "left_semi"), words, text_col)
+    sets = written(sets.join(candidates.select(F.col("id").alias("own")), "own", "left_semi").groupBy("own").agg(F.first("kinds").alias("kinds")), "sets")
+    found = connected_components(exact_links(distinct, candidates, sets, similarity)).withColumnRenamed("id", "own")
     joined = distinct.select("own", "least").join(found, "own", "left").withColumn("component", F.coalesce("component", "own"))
     keepers = joined.groupBy("component").agg(F.min("least").alias("__key")).select("__key").distinct()
     return df.withColumn("__key", key).join(keepers, "__key", "left_semi").drop("__key")

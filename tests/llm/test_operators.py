@@ -367,6 +367,33 @@ def test_keep_one(spark):
     assert simhash.keep_one(df.filter("doc_id < 0")).count() == 0
 
 
+def jaccard_by_force(a, b, n=5):
+    of = [{tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for t in (a, b)]
+    return len(of[0] & of[1]) / len(of[0] | of[1])
+
+
+@pytest.mark.parametrize("part", [2000, 9])
+def test_keep_one_takes_the_exact_similarity(spark, monkeypatch, part):
+    for of in (simhash.exact_links, simhash.candidate_links):
+        monkeypatch.setattr(of, "__defaults__", (part, *of.__defaults__[1:]))
+    rng, rows, expected = random.Random(5), [], []
+    for n in range(60):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+        common = [92, 93, 91, 94][n % 4]  # Jaccard 0.786, 0.802, 0.770, 0.818
+        near = words[:common] + [f"w{rng.randrange(10**9)}" for _ in range(104 - common)]
+        a, b = " ".join(words), " ".join(near)
+        rows += [(2 * n, a), (2 * n + 1, b)]
+        expected += [2 * n] if jaccard_by_force(a, b) >= 0.8 else [2 * n, 2 * n + 1]
+    assert 60 < len(expected) < 120
+    words = [f"v{i}" for i in range(300)]
+    footer = " ".join(words[-6:])
+    rows += [(200, " ".join(words)), (201, " ".join([*words, *[footer] * 200]))]  # one footer repeated: sets nearly equal
+    chain = [f"c{i}" for i in range(150)]
+    rows += [(300 + i, " ".join(chain[3 * i : 3 * i + 104])) for i in range(15)]  # one component, linked from next to next
+    got = sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert jaccard_by_force(rows[-17][1], rows[-16][1]) >= 0.8 and got == [*expected, 200, 300]
+
+
 # 10. media columns
 
 
