@@ -156,10 +156,10 @@ def features(found: dict[int, int], words: int, strengths: np.ndarray) -> np.nda
     return row
 
 
-def fit(labelled: DataFrame) -> ToxicityModel:
-    """A model from labelled rows (text, toxic 0 or 1), as labelled_rows() bounds them.
+def fit(labelled: DataFrame, sample: DataFrame) -> ToxicityModel:
+    """A model from all labelled rows (text, toxic 0 or 1) and the bounded sample of them that labelled_rows() gives.
 
-    Without toxic or without other rows the lexicon alone votes, each word with the same weight.
+    Voters are mined over all rows; the label model and the classifier are fitted on the sample. Without toxic or without other rows the lexicon alone votes, each word with the same weight.
     """
     mined = mine_voters(labelled)
     voters = tuple(dict.fromkeys([*LEXICON, *(p for p, _ in mined)]))
@@ -170,7 +170,7 @@ def fit(labelled: DataFrame) -> ToxicityModel:
             found = [votes(t, voters) for t in batch.column("text").to_pylist()]
             yield record_batch({"toxic": batch.column("toxic"), "ids": [list(f) for f, _ in found], "counts": [list(f.values()) for f, _ in found], "words": [w for _, w in found]}, schema)
 
-    rows = labelled.select("toxic", "text").mapInArrow(run, "toxic int, ids array<int>, counts array<int>, words long").collect()
+    rows = sample.select("toxic", "text").mapInArrow(run, "toxic int, ids array<int>, counts array<int>, words long").collect()
     truth = np.array([r["toxic"] for r in rows], float)
     if not len(truth) or truth.min() == truth.max():
         return ToxicityModel(LEXICON, (1.0,) * len(LEXICON), (2.0,) * len(LEXICON), 1.0, -2.5)
@@ -224,11 +224,11 @@ def with_score(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> D
     return df.withColumn("__score", score(F.col(text_col).cast("string")))
 
 
-def labelled_rows(documents: DataFrame, labels: DataFrame, held_out: bool = True, rows_for_fit: int = ROWS_FOR_FIT) -> DataFrame:
-    """text and toxic of the labelled rows to learn from: with held_out, none whose crc32 of the id leaves 0 modulo 5.
+def labelled_rows(documents: DataFrame, labels: DataFrame, held_out: bool = True, rows_for_fit: int = ROWS_FOR_FIT) -> tuple[DataFrame, DataFrame]:
+    """text and toxic of the labelled rows to learn from, and of a sample: with held_out, none whose crc32 of the id leaves 0 modulo 5.
 
-    The classifier is fitted on a bounded sample: the rows_for_fit labelled ids with the smallest hashes, which is small
-    enough to send to every task, so that no text is shuffled. A document with several labels counts as toxic if one
+    The sample is bounded: the rows_for_fit labelled ids with the smallest hashes, which is small enough to send to every
+    task. All rows are a join of their own, read once for the count of patterns. A document with several labels counts as toxic if one
     says so; null labels are left out, and so are labels without a document.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("key"), F.col("toxic").cast("int").alias("toxic")).filter("key is not null and toxic is not null")
@@ -237,11 +237,12 @@ def labelled_rows(documents: DataFrame, labels: DataFrame, held_out: bool = True
     own = own.groupBy("key").agg(F.max("toxic").alias("toxic"))
     sample = own.orderBy(F.xxhash64("key"), "key").limit(rows_for_fit)
     texts = documents.select(F.col("doc_id").cast("long").alias("key"), text_or_empty("text").alias("text"))
-    return written(texts.join(F.broadcast(sample), "key").select("text", "toxic"), "labelled")
+    rows = texts.join(own, "key").select("text", "toxic")
+    return rows, written(texts.join(F.broadcast(sample), "key").select("text", "toxic"), "labelled")
 
 
 def toxicity_digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    model = fit(labelled_rows(documents, labels))
+    model = fit(*labelled_rows(documents, labels))
     scored = score_toxicity(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     return scored.select(
         "doc_id",

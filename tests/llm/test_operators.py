@@ -216,6 +216,25 @@ def test_toxicity(spark):
     assert toxicity.toxicity_digest(more, df.filter("doc_id < 0").select("doc_id", "toxic")).count() == len(out)
 
 
+def test_toxicity_mines_beyond_the_sample(spark, monkeypatch):
+    rng = random.Random(2)
+    plain = [w for w in WORDS if w not in ("idiot", "scum")]
+    rows = []
+    for i in range(400):
+        own = (["zyxomma"] if i % 40 == 0 else ["idiot", "scum"]) * 2 if i % 5 == 0 else []
+        words = [rng.choice(plain) for _ in range(40)] + own
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(i % 5 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity.labelled_rows, "__defaults__", (True, 40))  # of its 40 rows, too few have the rare word
+    monkeypatch.setattr(toxicity, "fit", lambda *rows, of=toxicity.fit: seen.append(of(*rows)) or seen[-1])
+    seen = []
+    out = {r["doc_id"]: r["score"] for r in toxicity.toxicity_digest(df, df.select("doc_id", "toxic")).collect()}
+    assert "zyxomma" in seen[0].voters
+    clean = max(out[i] for i, text, y in rows if not y)
+    assert all(out[i] > clean for i in range(0, 400, 40))
+
+
 # 6. WARC
 
 
