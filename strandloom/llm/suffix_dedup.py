@@ -57,8 +57,11 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def phrases(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, trigger's hash, phrase's hash) of each phrase of some texts on end; ends are the texts' ends.
 
-    First windows count from the text's beginning. A phrase with n windows has n + span - 1 bytes.
+    First windows count from the text's beginning. A phrase with n windows has n + span - 1 bytes. The data must be shorter than
+    16 MiB, as a gram's place takes 24 bits; stretches() cuts longer texts.
     """
+    if len(data) >= 1 << 24:
+        raise ValueError("texts too long to be parsed at once")
     none = np.zeros(0, np.int64)
     if len(data) < span:
         return none, none, none, none, none
@@ -81,6 +84,16 @@ def phrases(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GR
     return text[first], place, count, grams[trigger[first]].view(np.int64), (whole ^ (trigger[first] - first).astype(np.uint64)).view(np.int64)
 
 
+def stretches(texts: list[bytes], most: int = BATCH, span: int = SPAN) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (text, start, bytes) to be parsed at once. A text of more than that many windows is cut into stretches that overlap
+    by a window's length less one, so that each window stands in one of them."""
+    cut = [(i, a, t[a : a + most + span - 1]) for i, t in enumerate(texts) for a in range(0, max(1, len(t) - span + 1), most)]
+    if sum(len(t) for _, _, t in cut) <= most:
+        yield cut
+    else:
+        yield from ([c] for c in cut)
+
+
 #: A row's document is known by doc (its id; null is the least long) and own (a hash of its text).
 LEAST = -(1 << 63)
 MOST_IN_SHARD = 20_000
@@ -101,7 +114,7 @@ def _keys(texts: list[bytes]) -> np.ndarray:
 def parse(docs: DataFrame) -> DataFrame:
     """A row for each phrase of __text: trigger h, phrase x, document, and at: the first window's place and the windows' number, packed.
 
-    known is 1 for phrases that the batch at hand holds earlier; those are dealt out by place from here on, so that copies of one text
+    known is 1 for phrases that the stretches at hand hold earlier; those are dealt out by place from here on, so that copies of one text
     don't meet in one task. Rows repeated as a whole are one document.
     """
 
@@ -110,18 +123,20 @@ def parse(docs: DataFrame) -> DataFrame:
             texts = [t.encode() for t in batch.column("__text").to_pylist()]
             ids = batch.column("doc").to_numpy()
             own = _keys(texts)
-            text, place, count, h, x = phrases(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]))
-            doc, key, at = ids[text], own[text], place << COUNT_BITS | count
-            order = np.lexsort((at, key, doc, x, h))
-            h, x, doc, key, at = h[order], x[order], doc[order], key[order], at[order]
-            same = np.zeros(len(h), bool)
-            same[1:] = (h[1:] == h[:-1]) & (x[1:] == x[:-1])
-            again = np.zeros(len(h), bool)
-            again[1:] = same[1:] & (doc[1:] == doc[:-1]) & (key[1:] == key[:-1]) & (at[1:] == at[:-1])
-            spread = _mixed((doc ^ key).view(np.uint64) + at.view(np.uint64)).view(np.int64)
-            keep = np.flatnonzero(~again)
-            back = keep[np.lexsort((at[keep], key[keep], doc[keep]))]  # a document's rows together, which shuffles in fewer bytes
-            yield record_batch({"h": np.where(same, spread, h)[back], "x": x[back], "doc": doc[back], "own": key[back], "at": at[back], "known": same[back].astype(np.int8)}, _PARSE)
+            for parts in stretches(texts):
+                part, place, count, h, x = phrases(np.frombuffer(b"".join(t for _, _, t in parts), np.uint8), np.cumsum([len(t) for _, _, t in parts]))
+                text, start = (np.array([p[i] for p in parts], np.int64)[part] for i in (0, 1))
+                doc, key, at = ids[text], own[text], (start + place) << COUNT_BITS | count
+                order = np.lexsort((at, key, doc, x, h))
+                h, x, doc, key, at = h[order], x[order], doc[order], key[order], at[order]
+                same = np.zeros(len(h), bool)
+                same[1:] = (h[1:] == h[:-1]) & (x[1:] == x[:-1])
+                again = np.zeros(len(h), bool)
+                again[1:] = same[1:] & (doc[1:] == doc[:-1]) & (key[1:] == key[:-1]) & (at[1:] == at[:-1])
+                spread = _mixed((doc ^ key).view(np.uint64) + at.view(np.uint64)).view(np.int64)
+                keep = np.flatnonzero(~again)
+                back = keep[np.lexsort((at[keep], key[keep], doc[keep]))]  # a document's rows together, which shuffles in fewer bytes
+                yield record_batch({"h": np.where(same, spread, h)[back], "x": x[back], "doc": doc[back], "own": key[back], "at": at[back], "known": same[back].astype(np.int8)}, _PARSE)
 
     return docs.select("doc", "__text").mapInArrow(run, _PARSE_DDL)
 

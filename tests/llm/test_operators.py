@@ -159,6 +159,16 @@ def test_suffix_dedup(spark, docs, empty, texts):
     assert len(again) == len(texts) + 1 and len({tuple(r) for r in again if r["doc_id"] == 24}) == 1
 
 
+def test_suffix_dedup_beyond_16_mib(spark):
+    rng = random.Random(8)
+    text = base64.b64encode(rng.randbytes(12_900_000)).decode()  # 17.2 million characters
+    cut = suffix_dedup.BATCH - 150
+    far, edge, twice = text[17_000_000:17_000_300], text[cut : cut + 300], text[16_900_000:16_900_300]
+    rows = [(1, text + "." + twice + "."), (2, f"<{far}>" + prose(rng, 40)), (3, f"<{edge}>")]
+    got = by_id(suffix_dedup.suffix_digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i]["n_removed"] for i in (1, 2, 3)] == [300, 300, 300]
+
+
 def test_suffix_dedup_of_a_frequent_line(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MOST_IN_SHARD", 5)  # the way of hot triggers
     rng = random.Random(5)
