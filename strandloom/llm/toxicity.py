@@ -1,8 +1,9 @@
 """Toxicity by weak supervision: many small voters, a generative model of how far to trust them, and a linear classifier.
 
 Voters are words and word beginnings: a fixed lexicon, and patterns mined from labelled rows. The label model estimates each
-voter's accuracy and which voters repeat each other by EM over their votes; a linear classifier over the voters and shares
-of votes then learns from the posterior labels. It scores whole texts.
+voter's accuracy and which voters repeat each other by EM over their votes; a given label is one voter more, of a given
+accuracy. A linear classifier over the voters and shares of votes then learns from the posterior labels alone, and is cut
+where it agrees with them best. It scores whole texts.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ WORD = re.compile(r"\w+")
 ROWS_FOR_FIT = 20_000
 MOST_VOTERS = 400
 BLOCK = 2000
+#: How often a given label is held to be right: its weight among the voters of the label model.
+LABEL_TRUST = 0.9
+FLUSH = 100_000
 
 
 @dataclass(frozen=True)
@@ -51,22 +55,40 @@ def patterns_of(text: str) -> set[str]:
 def mine_voters(labelled: DataFrame, most: int = MOST_VOTERS, least_docs: int = 8) -> list[tuple[str, float]]:
     """(pattern, log odds) of patterns that stand in toxic rows far more often than in others, strongest first.
 
-    Counted over the labelled rows with partial sums before the shuffle; what comes back is at most that many patterns.
+    Counted over all labelled rows: tasks sum up their patterns before the shuffle, in tables of bounded size. What comes back is at
+    most that many patterns; ties go to the smaller pattern. Without toxic or without other rows there are none.
     """
-    schema = pa.schema([("toxic", pa.int32()), ("patterns", pa.list_(pa.string()))])
+    schema = pa.schema([("p", pa.string()), ("t", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            yield record_batch({"toxic": batch.column("toxic"), "patterns": [sorted(patterns_of(t)) for t in batch.column("text").to_pylist()]}, schema)
+        of: tuple[dict[str, int], dict[str, int]] = {}, {}
+
+        def out() -> pa.RecordBatch:
+            every = [*dict.fromkeys([*of[0], *of[1]])]
+            toxic = [of[1].get(p, 0) for p in every]
+            rows = record_batch({"p": every, "t": toxic, "n": [of[0].get(p, 0) + t for p, t in zip(every, toxic)]}, schema)
+            of[0].clear()
+            of[1].clear()
+            return rows
 
-    rows = labelled.select("toxic", "text").mapInArrow(run, "toxic int, patterns array<string>")
-    total = labelled.agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
-    bad, good = int(total["bad"] or 0), int(total["n"] - (total["bad"] or 0))
+        for batch in by_bytes(batches, "text"):
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+                counts = of[int(toxic > 0)]
+                for p in patterns_of(text):
+                    counts[p] = counts.get(p, 0) + 1
+                counts[""] = counts.get("", 0) + 1  # the rows themselves
+                if len(of[0]) + len(of[1]) > FLUSH:
+                    yield out()
+        yield out()
+
+    rows = labelled.select("toxic", "text").mapInArrow(run, "p string, t long, n long")
+    counts = written(rows.groupBy("p").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).filter("t > 2 or p = ''"), "patterns")
+    total = counts.filter("p = ''").first()
+    bad, good = (int(total["t"]), int(total["n"] - total["t"])) if total else (0, 0)
     if not bad or not good:
         return []
-    counts = rows.select("toxic", F.explode("patterns").alias("p")).groupBy("p").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (good + 1))
-    sure = counts.filter((F.col("t") >= min(least_docs, max(3, bad // 20))) & (odds > 2.0)).withColumn("odds", odds)
+    sure = counts.filter((F.col("p") != "") & (F.col("t") >= min(least_docs, max(3, bad // 20))) & (odds > 2.0)).withColumn("odds", odds)
     return [(r["p"], float(r["odds"])) for r in sure.orderBy(F.desc(F.col("t") * F.col("odds")), "p").limit(most).select("p", "odds").collect()]
 
 
@@ -90,22 +112,23 @@ def votes(text: str, voters: tuple[str, ...]) -> tuple[dict[int, int], int]:
     return found, len(words)
 
 
-def label_model(matrix: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+def label_model(matrix: np.ndarray, labels: np.ndarray, prior: float, trust: float = LABEL_TRUST, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Posterior P(toxic) of each row, and each voter's log odds, of a rows x voters matrix of votes (1) and abstentions (0).
 
-    A generative model: given the label, a voter votes with a rate of its own, for toxic rows and for others; EM estimates both.
-    Voters that go together more than the label explains share one vote: each counts 1 / (1 + the sum of its correlations).
+    A generative model: given the true label, a voter votes with a rate of its own, for toxic rows and for others; EM estimates
+    both. Voters that go together more than the label explains share one vote: what each says, by voting or abstaining, counts
+    1 / (1 + the sum of its correlations). The given labels (0 or 1) are one voter more, right with probability trust.
     """
     n, m = matrix.shape
-    cast = matrix.sum(1)
-    posterior = np.clip(cast / max(1.0, np.percentile(cast, 95)), 0.02, 0.98) if n else np.zeros(0)
-    weight, odds = np.ones(m), np.zeros(m)
+    given = np.where(labels > 0, 1.0, -1.0) * np.log(trust / (1 - trust))
+    posterior = np.where(labels > 0, trust, 1 - trust)
+    weight, vote = np.ones(m), np.zeros(m)
     for r in range(rounds):
         toxic = posterior.sum()
-        rate_t = (posterior.astype(np.float32) @ matrix + 0.5) / (toxic + 1)
-        rate_o = ((1 - posterior).astype(np.float32) @ matrix + 0.05) / (n - toxic + 1)
-        odds = np.log(rate_t / rate_o)
-        if r == 5:  # what the label leaves unexplained
+        rate_t = np.clip((posterior.astype(np.float32) @ matrix + 0.5) / (toxic + 1), 1e-6, 1 - 1e-6)
+        rate_o = np.clip(((1 - posterior).astype(np.float32) @ matrix + 0.05) / (n - toxic + 1), 1e-6, 1 - 1e-6)
+        vote, abstain = np.log(rate_t / rate_o), np.log((1 - rate_t) / (1 - rate_o))
+        if r % 10 == 5:  # what the label leaves unexplained
             together = np.zeros((m, m))
             for at in range(0, n, BLOCK):
                 p = posterior[at : at + BLOCK, None]
@@ -115,10 +138,9 @@ def label_model(matrix: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.
             together = np.clip(together / np.outer(scale, scale), 0, 1)
             np.fill_diagonal(together, 0)
             weight = 1 / (1 + np.where(together > 0.2, together, 0).sum(1))
-        missing = np.log(np.clip(1 - rate_t, 1e-6, 1) / np.clip(1 - rate_o, 1e-6, 1))
-        z = np.log(prior / (1 - prior)) + matrix @ (weight * odds - missing).astype(np.float32) + missing.sum()
+        z = np.log(prior / (1 - prior)) + given + matrix @ (weight * (vote - abstain)).astype(np.float32) + (weight * abstain).sum()
         posterior = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return posterior, weight * odds
+    return posterior, weight * vote
 
 
 def linear_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -139,7 +161,12 @@ def linear_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 2
 
 
 def best_cut(z: np.ndarray, truth: np.ndarray) -> float:
-    """The cut of z with the highest true rate less false rate, in the middle between the two values that it lies between."""
+    """The cut of z with the highest true rate less false rate, in the middle between the two values that it lies between.
+
+    truth holds 0 and 1; where all are alike, the cut is 0.
+    """
+    if truth.min(initial=1) == truth.max(initial=0):
+        return 0.0
     order = np.argsort(-z, kind="stable")
     z, truth = z[order], truth[order]
     gain = np.cumsum(truth) / truth.sum() - np.cumsum(1 - truth) / (1 - truth).sum()
@@ -150,8 +177,7 @@ def best_cut(z: np.ndarray, truth: np.ndarray) -> float:
 
 def features(found: dict[int, int], words: int, strengths: np.ndarray) -> np.ndarray:
     row = np.zeros(len(strengths) + 1)
-    for i, c in found.items():
-        row[i] = min(1.0, c / 2 + 0.5)
+    row[list(found)] = 1.0
     row[-1] = min(3.0, sum(c * strengths[i] for i, c in found.items()) / max(1.0, strengths.max(initial=1.0)) / np.sqrt(words + 1.0)) if found else 0.0
     return row
 
@@ -159,7 +185,9 @@ def features(found: dict[int, int], words: int, strengths: np.ndarray) -> np.nda
 def fit(labelled: DataFrame, sample: DataFrame) -> ToxicityModel:
     """A model from all labelled rows (text, toxic 0 or 1) and the bounded sample of them that labelled_rows() gives.
 
-    Voters are mined over all rows; the label model and the classifier are fitted on the sample. Without toxic or without other rows the lexicon alone votes, each word with the same weight.
+    Voters are mined over all rows; the label model and the classifier are fitted on the sample. Labels choose the voters, give the
+    prior and are one voter of the label model; the classifier sees posteriors only. Without toxic or without other rows (an
+    empty table is such a case) the lexicon alone votes, each word with the same weight.
     """
     mined = mine_voters(labelled)
     voters = tuple(dict.fromkeys([*LEXICON, *(p for p, _ in mined)]))
@@ -177,15 +205,14 @@ def fit(labelled: DataFrame, sample: DataFrame) -> ToxicityModel:
     matrix = np.zeros((len(rows), len(voters)), np.float32)
     for i, r in enumerate(rows):
         matrix[i, r["ids"]] = 1.0
-    posterior, strengths = label_model(matrix, float(truth.mean()))
+    posterior, strengths = label_model(matrix, truth, float(truth.mean()))
     strengths = np.clip(strengths, 0, None)
     del matrix
     x = np.zeros((len(rows), len(voters) + 1), np.float32)
     for i, r in enumerate(rows):
         x[i] = features(dict(zip(r["ids"], r["counts"])), r["words"], strengths)
-    # the labels say how far the posterior is to be believed: they are one voter more, and the most accurate one
-    w = linear_fit(x, 0.3 * posterior + 0.7 * truth)
-    w[-1] -= best_cut(x @ w[:-1] + w[-1], truth)
+    w = linear_fit(x, posterior)
+    w[-1] -= best_cut(x @ w[:-1] + w[-1], (posterior >= 0.5).astype(float))
     return ToxicityModel(voters, tuple(strengths.tolist()), tuple(w[:-2].tolist()), float(w[-2]), float(w[-1]))
 
 
@@ -199,7 +226,10 @@ def _score(text: str, model: ToxicityModel, weights: np.ndarray, strengths: np.n
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep and score (0 to 1) of each row's whole text; a null text counts as empty, rows stand for themselves."""
+    """keep and score (0 to 1) of each row's whole text; a null text counts as empty, rows stand for themselves.
+
+    Repeated rows are scored each; an empty table gives an empty one; columns not in keep are left out.
+    """
     schema_in = df.select(*keep).schema
     arrow = pa.schema([*[pa.field(c, pa.int64()) for c in keep], ("score", pa.float64())])
     ddl = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in schema_in] + ["score double"])
@@ -214,7 +244,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text",
 
 
 def with_score(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """All columns of df, and __score."""
+    """All columns of df, and __score; a null text counts as empty, an empty table gives an empty one."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -228,25 +258,27 @@ def labelled_rows(documents: DataFrame, labels: DataFrame, held_out: bool = True
     """text and toxic of the labelled rows to learn from, and of a sample: with held_out, none whose crc32 of the id leaves 0 modulo 5.
 
     The sample is bounded: the rows_for_fit labelled ids with the smallest hashes, which is small enough to send to every
-    task. All rows are a join of their own, read once for the count of patterns. A document with several labels counts as toxic if one
-    says so; null labels are left out, and so are labels without a document.
+    task. All rows are a sort-merge join at any size, so that what is shuffled grows with the input: a text with a label
+    once. A document with several labels counts as toxic if one says so; null labels and null ids are left out, and so are
+    labels without a document. Documents that share an id are rows each.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("key"), F.col("toxic").cast("int").alias("toxic")).filter("key is not null and toxic is not null")
     if held_out:
         own = own.filter(F.crc32(F.col("key").cast("string")) % 5 != 0)
     own = own.groupBy("key").agg(F.max("toxic").alias("toxic"))
     sample = own.orderBy(F.xxhash64("key"), "key").limit(rows_for_fit)
-    texts = documents.select(F.col("doc_id").cast("long").alias("key"), text_or_empty("text").alias("text"))
-    rows = texts.join(own, "key").select("text", "toxic")
+    texts = documents.select(F.col("doc_id").cast("long").alias("key"), text_or_empty("text").alias("text")).filter("key is not null")
+    rows = texts.join(own.hint("merge"), "key").select("text", "toxic")
     return rows, written(texts.join(F.broadcast(sample), "key").select("text", "toxic"), "labelled")
 
 
 def toxicity_digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; a null id is not held out, a null text is scored as an empty one."""
     model = fit(*labelled_rows(documents, labels))
     scored = score_toxicity(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     return scored.select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )

@@ -245,6 +245,54 @@ def test_toxicity_mines_beyond_the_sample(spark, monkeypatch):
     assert all(out[i] > clean for i in range(0, 400, 40))
 
 
+def test_label_model_against_a_plain_em():
+    rng = np.random.default_rng(4)
+    truth = rng.random(600) < 0.3
+    rates = np.array([[0.6, 0.02], [0.4, 0.05], [0.5, 0.01], [0.3, 0.3]])
+    matrix = (rng.random((600, 4)) < np.where(truth[:, None], rates[:, 0], rates[:, 1])).astype(np.float32)
+    labels = np.where(rng.random(600) < 0.1, ~truth, truth).astype(float)
+    got, odds = toxicity.label_model(matrix, labels, 0.3, rounds=30)
+    p = [0.9 if y else 0.1 for y in labels]
+    for _ in range(30):
+        sums = sum(p)
+        t = [(sum(a * row[j] for a, row in zip(p, matrix)) + 0.5) / (sums + 1) for j in range(4)]
+        o = [(sum((1 - a) * row[j] for a, row in zip(p, matrix)) + 0.05) / (600 - sums + 1) for j in range(4)]
+        for i, row in enumerate(matrix):
+            toxic, other = 0.3 * (0.9 if labels[i] else 0.1), 0.7 * (0.1 if labels[i] else 0.9)
+            for j in range(4):
+                toxic *= t[j] if row[j] else 1 - t[j]
+                other *= o[j] if row[j] else 1 - o[j]
+            p[i] = toxic / (toxic + other)
+    assert np.abs(got - np.array(p)).max() < 1e-3 and np.argmin(np.abs(odds)) == 3
+    assert ((got >= 0.5) == truth).mean() > (labels == truth).mean()
+    twice, _ = toxicity.label_model(np.hstack([matrix, matrix[:, :1], matrix[:, :1]]), labels, 0.3)  # three voters as one
+    assert np.abs(twice - got).mean() < 0.02
+
+
+def test_linear_fit_and_cut():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 3))
+    y = 1 / (1 + np.exp(-(x @ [2.0, -1.0, 0.0] + 0.5)))
+    w = toxicity.linear_fit(x, y, ridge=1e-6)
+    assert np.allclose(w, [2, -1, 0, 0.5], atol=1e-3)
+    z = np.array([3.0, 1.0, 2.0, -1.0, 0.0])
+    assert toxicity.best_cut(z, np.array([1.0, 1, 1, 0, 0])) == 0.5 and toxicity.best_cut(z, np.ones(5)) == 0.0
+
+
+def test_mined_voters_against_counts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FLUSH", 10)
+    rows = [(int(i % 4 == 0), f"shared word{i % 3} {'zerbomotic' if i % 4 == 0 else 'calm'}") for i in range(60)]
+    got = dict(toxicity.mine_voters(spark.createDataFrame(rows, "toxic int, text string")))
+    bad, good = 15, 45
+    want = {}
+    for p in {p for _, t in rows for p in toxicity.patterns_of(t)}:
+        t, n = (sum(p in toxicity.patterns_of(x) for y, x in rows if y or k) for k in (0, 1))
+        odds = np.log((t + 0.5) / (bad + 1)) - np.log((n - t + 0.5) / (good + 1))
+        if t >= 3 and odds > 2:
+            want[p] = odds
+    assert got.keys() == want.keys() == {"zerbomotic", "zerb*", "zerbo*", "zerbom*"} and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
 # 6. WARC
 
 
