@@ -1,11 +1,17 @@
-"""Removal of long repeated passages: prefix-free parsing, and suffix arrays of the phrases' dictionary.
-
-A rolling hash over short grams makes triggers: of the grams in a window of 100 bytes the one with the least hash, the leftmost
-of equal ones. It depends on the window's bytes only, so equal windows have equal triggers wherever they stand. The
-windows on end that share one trigger make a phrase (they overlap by a window's length less one). The parse lists the phrases'
-places, the dictionary each distinct phrase with its first place. Each later place of a phrase is a repeat as a whole, which
-settles highly repetitive text. What is left are windows that distinct phrases of one trigger share: dictionary shards,
-dealt by trigger, sort their phrases' suffixes by prefix doubling, and equal neighbours stand in corpus order.
+"""Removal of long repeated passages: prefix-free parsing, and suffix arrays of its dictionary and its parse in corpus order.
+
+Parsing: a rolling hash over short grams makes triggers: of the grams in a window of 100 bytes the one with the least hash, the
+leftmost of equal ones. It depends on the window's bytes only, so equal windows have equal triggers wherever they stand. The
+windows on end that share one trigger make a phrase. Phrases overlap by a window's length less one, so each window lies in
+one phrase as a whole, and none is another's beginning that goes on.
+
+The parse's suffix array: as no window reaches beyond its phrase, one phrase is all that the order of the parse's suffixes needs
+to tell windows apart. parse_order() is that array cut at this depth: phrases by trigger and kind, equal ones by their place
+in the corpus. Every place of a phrase but its first is a repeat as a whole, which settles highly repetitive text.
+
+The dictionary's suffix array: the distinct phrases, each at its first place, are dealt to shards by trigger. A shard ranks
+its phrases' suffixes at 100 bytes by prefix doubling, and puts equal ones in order of their places: both arrays combined, in
+corpus order. All but the first of equal windows are repeats.
 """
 
 from __future__ import annotations
@@ -18,13 +24,13 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from strandloom.llm.common import by_bytes, record_batch, text_or_empty, written
 
 SPAN = 100
 GRAM = 32
-BATCH = 1 << 19
+BATCH = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _POWERS: list[np.ndarray] = []
 
@@ -107,10 +113,6 @@ _FOUND = pa.schema([("h", pa.int64()), *_KEYS, ("at", pa.int64()), ("repeat", pa
 _RANGES = pa.schema([*_KEYS, ("start", pa.int64()), ("stop", pa.int64())])
 
 
-def _keys(texts: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
-
-
 def parse(docs: DataFrame) -> DataFrame:
     """A row for each phrase of __text: trigger h, phrase x, document, and at: the first window's place and the windows' number, packed.
 
@@ -121,8 +123,7 @@ def parse(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "__text", BATCH):
             texts = [t.encode() for t in batch.column("__text").to_pylist()]
-            ids = batch.column("doc").to_numpy()
-            own = _keys(texts)
+            ids, own = batch.column("doc").to_numpy(), batch.column("own").to_numpy()
             for parts in stretches(texts):
                 part, place, count, h, x = phrases(np.frombuffer(b"".join(t for _, _, t in parts), np.uint8), np.cumsum([len(t) for _, _, t in parts]))
                 text, start = (np.array([p[i] for p in parts], np.int64)[part] for i in (0, 1))
@@ -138,11 +139,11 @@ def parse(docs: DataFrame) -> DataFrame:
                 back = keep[np.lexsort((at[keep], key[keep], doc[keep]))]  # a document's rows together, which shuffles in fewer bytes
                 yield record_batch({"h": np.where(same, spread, h)[back], "x": x[back], "doc": doc[back], "own": key[back], "at": at[back], "known": same[back].astype(np.int8)}, _PARSE)
 
-    return docs.select("doc", "__text").mapInArrow(run, _PARSE_DDL)
+    return docs.select("doc", "own", "__text").mapInArrow(run, _PARSE_DDL)
 
 
-def repeats_and_shared(parsed: DataFrame) -> DataFrame:
-    """Of the parse: later places of a phrase (repeat), and first places of phrases whose trigger has other phrases too.
+def parse_order(parsed: DataFrame) -> DataFrame:
+    """The parse's suffixes in order of their first phrase and then of the corpus: later places of a phrase (repeat), and first places of phrases whose trigger has other phrases too.
 
     Streams through each task's rows in order of trigger, phrase and place; it holds one row back, so a trigger of any
     number of rows takes no memory.
@@ -192,23 +193,25 @@ def repeats_and_shared(parsed: DataFrame) -> DataFrame:
 
 
 def packed(documents: DataFrame) -> DataFrame:
-    """doc, own, n_bytes and z, the text in compressed bytes: what joins by document shuffle."""
-    schema = pa.schema([*_KEYS, ("n_bytes", pa.int64()), ("z", pa.binary())])
+    """doc, own and z, the text in compressed bytes: what joins by document shuffle."""
+    schema = pa.schema([*_KEYS, ("z", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in by_bytes(batches, "__text"):
-            texts = [t.encode() for t in batch.column("__text").to_pylist()]
-            yield record_batch({"doc": batch.column("doc"), "own": _keys(texts), "n_bytes": [len(t) for t in texts], "z": [press.compress(t) for t in texts]}, schema)
+            yield record_batch({"doc": batch.column("doc"), "own": batch.column("own"), "z": [press.compress(t.encode()) for t in batch.column("__text").to_pylist()]}, schema)
 
-    return documents.select("doc", "__text").mapInArrow(run, "doc long, own long, n_bytes long, z binary")
+    return documents.select("doc", "own", "__text").mapInArrow(run, "doc long, own long, z binary")
 
 
 def phrase_texts(documents: DataFrame, shared: DataFrame) -> DataFrame:
-    """The shared phrases with their bytes: h, doc, own, at, bytes. Each text is opened once for all its phrases."""
+    """The shared phrases with their bytes: h, doc, own, at, bytes. Each text is opened once for all its phrases.
+
+    The join shuffles at any size: so no task runs two Python workers, one after the other's rows.
+    """
     schema = pa.schema([("h", pa.int64()), *_KEYS, ("at", pa.int64()), ("bytes", pa.binary())])
     asked = shared.groupBy("doc", "own").agg(F.collect_list(F.struct("h", "at")).alias("asked"))
-    rows = packed(documents).join(asked, ["doc", "own"]).select("doc", "own", "z", "asked")
+    rows = packed(documents).join(asked.hint("merge"), ["doc", "own"]).select("doc", "own", "z", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -222,7 +225,7 @@ def phrase_texts(documents: DataFrame, shared: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "h long, doc long, own long, at long, bytes binary")
 
 
-def window_ranks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def dictionary_ranks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The rank of the 100 bytes from each start among all of them, by prefix doubling: a suffix array cut at that depth.
 
     Ranks of 8 bytes give those of 16, 32 and 64; two of 64 that overlap give those of 100. data must reach 100 bytes beyond each start.
@@ -239,13 +242,14 @@ def window_ranks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def shard_repeats(doc: np.ndarray, own: np.ndarray, at: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(doc, own, start, stop) of what the windows of some phrases repeat of earlier ones of theirs."""
+    """(doc, own, start, stop) of what the windows of some phrases repeat of earlier ones: the dictionary's ranks combined with the
+    phrases' places put the windows in corpus order, and all but the first of equal rank are repeats."""
     count, place = at & ((1 << COUNT_BITS) - 1), at >> COUNT_BITS
     size = count + SPAN - 1
     begin = np.cumsum(size) - size
     phrase = np.repeat(np.arange(len(at)), count)
     inner = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count)
-    rank = window_ranks(np.frombuffer(b"".join(texts), np.uint8), begin[phrase] + inner)
+    rank = dictionary_ranks(np.frombuffer(b"".join(texts), np.uint8), begin[phrase] + inner)
     start = place[phrase] + inner
     order = np.lexsort((start, own[phrase], doc[phrase], rank))
     late = np.zeros(len(order), bool)
@@ -308,7 +312,7 @@ def hot_repeats(texts: DataFrame) -> DataFrame:
 
 def repeated_ranges(documents: DataFrame) -> DataFrame:
     """(doc, own, start, stop): byte ranges, overlapping ones among them, that together are what repeats."""
-    found = written(repeats_and_shared(parse(documents)), "phrases")
+    found = written(parse_order(parse(documents)), "phrases")
     shared = found.filter("not repeat").select("h", "doc", "own", "at")
     sizes = shared.groupBy("h").count().filter(F.col("count") > MOST_IN_SHARD).select("h")
     hot = written(sizes, "hot")
@@ -329,14 +333,24 @@ def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
     return [tuple(r) for r in out]
 
 
+def _known(doc: Column, text: Column) -> tuple[Column, Column]:
+    """A document's id, null as the least long, and a hash of its text."""
+    return F.coalesce(doc.cast("long"), F.lit(LEAST)), F.xxhash64(text)
+
+
 def _prepared(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    return documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("doc"), text_or_empty(text_col).alias("__text"))
+    text = text_or_empty(f"`{text_col}`")
+    doc, own = _known(F.col(f"`{id_col}`"), text)
+    return documents.select(doc.alias("doc"), own.alias("own"), text.alias("__text"))
+
+
+def _ranges_of(documents: DataFrame) -> DataFrame:
+    return repeated_ranges(documents).groupBy("doc", "own").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")).hint("merge")
 
 
 def _cut(documents: DataFrame, ddl: str, schema: pa.Schema, row) -> DataFrame:
     """row(doc, text, merged ranges) for each document."""
-    of = repeated_ranges(documents).groupBy("doc", "own").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    rows = packed(documents).join(of, ["doc", "own"], "left").select("doc", "z", "ranges")
+    rows = packed(documents).join(_ranges_of(documents), ["doc", "own"], "left").select("doc", "z", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -370,6 +384,7 @@ def remove_repeats(documents: DataFrame, text_col: str = "text", id_col: str = "
 
 
 def suffix_digest(documents: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, as remove_repeats() has it; a null doc_id stays null."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     row = lambda doc, text, ranges: (_id(doc), len(text), sum(b - a for a, b in ranges), len(ranges), hashlib.sha256(_rest(text, ranges)).hexdigest())
     return _cut(_prepared(documents), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", schema, row)
@@ -380,20 +395,15 @@ def with_repeats_removed(documents: DataFrame, text_col: str = "text", id_col: s
 
     A null text stays null. What is left of a character that a cut went through goes too. Repeats are as in remove_repeats().
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST))
-    whole = documents.withColumn("__doc", key).withColumn("__text", text_or_empty(text_col))
-
-    @F.pandas_udf("long")
-    def own(texts: pd.Series) -> pd.Series:
-        return pd.Series(_keys([t.encode() for t in texts]), dtype="int64")
+    doc, own = _known(F.col(f"`{id_col}`"), text_or_empty(f"`{text_col}`"))
+    text = F.col(f"`{text_col}`")
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, ranges: pd.Series) -> pd.Series:
         return pd.Series([t if r is None or t is None else _rest(t.encode(), _merged(r)).decode("utf-8", "ignore") for t, r in zip(texts, ranges)], dtype="object")
 
-    of = repeated_ranges(whole.select(F.col("__doc").alias("doc"), "__text")).groupBy("doc", "own").agg(F.collect_list(F.struct("start", "stop")).alias("__ranges"))
-    of = of.withColumnRenamed("doc", "__doc").withColumnRenamed("own", "__own")
-    joined = whole.withColumn("__own", own("__text")).join(of, ["__doc", "__own"], "left").withColumn(text_col, rest(F.col(text_col), "__ranges"))
+    of = _ranges_of(_prepared(documents, text_col, id_col)).select(F.col("doc").alias("__doc"), F.col("own").alias("__own"), F.col("ranges").alias("__ranges")).hint("merge")
+    joined = documents.withColumn("__doc", doc).withColumn("__own", own).join(of, ["__doc", "__own"], "left").withColumn(text_col, rest(text, "__ranges"))
     if "n_chars" in documents.columns:
-        joined = joined.withColumn("n_chars", F.length(text_col).cast("long"))
+        joined = joined.withColumn("n_chars", F.length(text).cast("long"))
     return joined.select(*[F.col(f"`{c}`") for c in documents.columns])
