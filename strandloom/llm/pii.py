@@ -68,20 +68,40 @@ def _confirmed(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+#: A fold that appends to one array copies it each time; it fills arrays of so many spans instead, and an array of those.
+FOLD = 256
+CHUNK = 1024
+
+
+def _placed(items: Column, kind_of_items: str, next_pos, keep, made) -> Column:
+    """Folds items into an array of made(pos, item) for those with keep(pos, item); pos starts at 0 and moves on to next_pos(pos, item).
+
+    Linear in the number of items, but for what goes on with the square of a 256th of it.
+    """
+    none = F.expr(f"cast(array() as array<{kind_of_items}>)")
+    many = F.expr(f"cast(array() as array<array<{kind_of_items}>>)")
+
+    def step(a: Column, x: Column) -> Column:
+        yes, full, grown = keep(a["pos"], x), F.size(a["part"]) >= FOLD - 1, F.concat(a["part"], F.array(made(a["pos"], x)))
+        return F.struct(
+            next_pos(a["pos"], x).cast("int").alias("pos"),
+            F.when(~yes, a["part"]).when(full, none).otherwise(grown).alias("part"),
+            F.when(yes & full, F.concat(a["out"], F.array(grown))).otherwise(a["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("pos"), none.alias("part"), many.alias("out"))
+    return F.aggregate(items, start, step, lambda a: F.flatten(F.concat(a["out"], F.array(a["part"]))))
+
+
 def _spans(kind: str) -> Column:
     """Of columns hits_<kind> and gaps_<kind> (the text before, between and after the hits): confirmed spans with code point offsets."""
     hits, gaps = F.col(f"hits_{kind}"), F.col(f"gaps_{kind}")
-    none = F.expr("cast(array() as array<struct<start:int,i:int>>)")
-    at = F.aggregate(
+    items = F.transform(
         F.sequence(F.lit(0), F.size(hits) - 1),
-        F.struct(F.lit(0).alias("pos"), none.alias("out")),
-        lambda a, i: F.struct(
-            (a["pos"] + F.length(gaps[i]) + F.length(hits[i])).alias("pos"),
-            F.concat(a["out"], F.array(F.struct((a["pos"] + F.length(gaps[i])).alias("start"), i.cast("int").alias("i")))).alias("out"),
-        ),
-        lambda a: a["out"],
+        lambda i: F.struct(i.cast("int").alias("i"), F.length(gaps[i]).alias("gap"), F.length(hits[i]).alias("hit"), F.coalesce(_confirmed(kind, hits[i]), F.lit(False)).alias("sure")),
     )
-    sure = F.filter(at, lambda s: _confirmed(kind, hits[s["i"]]))
+    place = lambda pos, x: F.struct((pos + x["gap"]).alias("start"), x["i"].alias("i"))
+    sure = _placed(items, "struct<start:int,i:int>", lambda pos, x: pos + x["gap"] + x["hit"], lambda pos, x: x["sure"], place)
 
     def span(s: Column) -> Column:
         hit = hits[s["i"]]
@@ -121,19 +141,27 @@ def redact_pii(df: DataFrame, text_col: str = "text", least_score: float = 0.0)
 
     A null text stays null; a text without spans stays as it is.
     """
-    found = find_pii(df, text_col)
-    text = F.col(f"`{text_col}`")
+    text, chunks = F.col(f"`{text_col}`"), F.col("__chunks")
+    found = find_pii(df, text_col).withColumn("__chunks", F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+
+    def part(start: Column, end: Column | None) -> Column:
+        """The text from start to end, taken from the chunks that hold it: a substring of the whole text would count all its characters."""
+        first = (start / CHUNK).cast("int")
+        last = F.size(chunks) - 1 if end is None else F.least((end / CHUNK).cast("int"), F.size(chunks) - 1)
+        held = F.array_join(F.slice(chunks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+        return held.substr(start - first * CHUNK + 1, F.length(held) if end is None else end - start)
+
     spans = F.array_sort(F.transform(F.filter("pii", lambda s: s["score"] >= least_score), lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    step = lambda a, s: F.when(
-        s["start"] >= a["pos"],
-        F.struct(s["end"].alias("pos"), F.concat(a["out"], text.substr(a["pos"] + 1, s["start"] - a["pos"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")),
-    ).otherwise(F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), a["out"].alias("out")))
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], text.substr(a["pos"] + 1, F.length(text))))
+    piece = lambda pos, s: F.struct(pos.alias("pos"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+    kept = _placed(spans, "struct<pos:int,start:int,end:int,kind:string>", lambda pos, s: F.greatest(pos, s["end"]), lambda pos, s: s["start"] >= pos, piece)
+    before = F.transform(kept, lambda k: F.concat(part(k["pos"], k["start"]), F.lit("["), F.upper(k["kind"]), F.lit("]")))
+    last = F.array_max(F.transform("pii", lambda s: F.when(s["score"] >= least_score, s["end"]).otherwise(0)))
+    done = F.concat(F.array_join(before, ""), part(last, None))
     return found.select(*[(F.when(F.size("pii") > 0, done).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")) for c in df.columns])
 
 
 def pii_digest(df: DataFrame) -> DataFrame:
-    """One row per document: counts of the base kinds and digests of the spans."""
+    """One row per document: counts of the base kinds and digests of the spans; a null text counts as empty, a null doc_id stays null."""
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = ("email", "ip", "card", "phone")
     count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")

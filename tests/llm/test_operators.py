@@ -169,6 +169,20 @@ def test_suffix_dedup_beyond_16_mib(spark):
     assert [got[i]["n_removed"] for i in (1, 2, 3)] == [300, 300, 300]
 
 
+def test_suffix_dedup_of_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    a, b = prose(rng, 60), prose(rng, 60)
+    df = spark.createDataFrame([(None, a), (4, a + b), (7, "x" + b), (7, "y" + b), (9, None)], "doc_id long, text string").withColumn("own", F.lit("clash"))
+    got = suffix_dedup.suffix_digest(df).collect()
+    size = {i: len(x.encode()) for i, x in (("a", a), ("b", b))}
+    of = {}
+    for r in got:
+        of.setdefault(r["doc_id"], []).append(r["n_removed"])
+    assert of[None] == [0] and of[9] == [0] and of[4] == [size["a"]] and of[7] == [size["b"]] * 2
+    kept = suffix_dedup.with_repeats_removed(df)
+    assert kept.columns == df.columns and sorted(r["text"] for r in kept.filter("doc_id = 7").collect()) == ["x", "y"]
+
+
 def test_suffix_dedup_of_a_frequent_line(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MOST_IN_SHARD", 5)  # the way of hot triggers
     rng = random.Random(5)
@@ -373,6 +387,16 @@ def test_pii(spark, docs, empty, texts):
     assert pii.pii_digest(empty).count() == 0
 
 
+def test_pii_of_long_texts(spark):
+    text = " ".join(f"a{i}@b.co 12 {i % 256}.0.0.1" for i in range(1500))
+    r = pii.pii_digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    mails = [m for m in re.finditer(BASE["email"], text)]
+    assert (r["n_email"], r["n_ip"], r["n_card"]) == (1500, 1500, 0)
+    assert r["spans"].startswith(",".join(f"email:{m.start()}:{m.end()}" for m in mails) + ",ip:")
+    red = pii.redact_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert red == " ".join(["[EMAIL] 12 [IP]"] * 1500)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é write to a@b.co or pay 4111111111111111, IBAN GB82WEST12345698765432"), (2, None), (3, "plain")], "doc_id long, text string")
     assert [r["text"] for r in pii.redact_pii(df).orderBy("doc_id").collect()] == ["é write to [EMAIL] or pay [CARD], IBAN [IBAN]", None, "plain"]
