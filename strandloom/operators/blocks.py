@@ -93,7 +93,8 @@ def separation_pairs(edges: DataFrame) -> DataFrame:
         rows = []
         directed = set(zip(pdf["a"], pdf["b"]))
         for i, members in enumerate(found):
-            inside = {u: [v for v in adjacency[u] if v in set(members)] for u in members}
+            own_set = set(members)
+            inside = {u: [v for v in adjacency[u] if v in own_set] for u in members}
             n_edges = sum((u, v) in directed for u in members for v in inside[u])
             pairs = []
             own = [v for v in members if count[v] > 1]

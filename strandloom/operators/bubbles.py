@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from strandloom.operators.blocks import separation_pairs
 from strandloom.schemas import BUBBLES
@@ -39,17 +39,18 @@ def find_bubbles(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, claimed = [], set()
-        directed = [(e["a"], e["b"]) for e in pdf["edges"].iloc[0]]
+        ahead: dict[str, list[str]] = {}
+        for e in pdf["edges"].iloc[0]:
+            ahead.setdefault(e["a"], []).append(e["b"])
         for p in pdf["pairs"].iloc[0]:
             members = set(p["members"])
             if members & claimed:
                 continue
             out: dict[str, list[str]] = {}
             back: dict[str, list[str]] = {}
-            for a, b in directed:
-                if a in members and b in members:
-                    out.setdefault(a, []).append(b)
-                    back.setdefault(b, []).append(a)
+            for a, b in ((a, b) for a in sorted(members) for b in ahead.get(a, ()) if b in members):
+                out.setdefault(a, []).append(b)
+                back.setdefault(b, []).append(a)
             for s, t in ((p["u"], p["v"]), (p["v"], p["u"])):
                 if is_bubble(s, t, members, out, back):
                     rows.append((pdf["component"].iloc[0], s, t, sorted(members)))
@@ -98,8 +99,3 @@ def collapse(edges: DataFrame, bubbles: DataFrame) -> DataFrame:
         every = every.unionByName(k)
     every = every.withColumn("order", order)
     return every.groupBy("x", "y").agg(F.max_by(F.struct("ends", "bsize"), "order").alias("d")).select(F.col("x").alias("a"), F.col("y").alias("b"), "d.ends", "d.bsize")
-
-
-def numbered(bubbles: DataFrame) -> DataFrame:
-    """bubble_id in order of source; bubbles are few beside the edges, and the order needs one range of them all."""
-    return bubbles.withColumn("bubble_id", F.row_number().over(Window.orderBy("source")) - 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 KEYS = ["a", "oa", "b", "ob"]
 
@@ -12,21 +12,6 @@ def buckets(links: DataFrame, order: str = "read") -> DataFrame:
     return links.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct(order, "mean", "stdev"))).alias("links"))
 
 
-def clique(links: Column) -> Column:
-    """The links whose interval mean +- 3 stdev covers the point of most overlap.
-
-    Beginnings stand in order of their whole part and then of their link. The i-th's depth is i less the ends before it; the
-    last beginning never counts; the first of the deepest is the point. A single link so has no point and no clique.
-    """
-    spans = F.transform(links, lambda x, i: F.struct((x["mean"] - 3 * x["stdev"]).alias("b"), (x["mean"] + 3 * x["stdev"]).alias("e"), i.alias("i")))
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["b"].cast("int").alias("whole"), s["i"].alias("i"), s["b"].alias("b"))))
-    ends = F.transform(spans, lambda s: s["e"])
-    opened = F.slice(order, 1, F.greatest(F.size(order) - 1, F.lit(0)))
-    depth = F.transform(opened, lambda s, i: F.struct((i + 1 - F.size(F.filter(ends, lambda e: e < s["b"]))).alias("depth"), (-i).alias("early"), s["b"].alias("b")))
-    best = F.array_max(depth)
-    return F.filter(links, lambda x: (x["mean"] - 3 * x["stdev"] <= best["b"]) & (x["mean"] + 3 * x["stdev"] >= best["b"]))
-
-
 def merged(links: Column) -> Column:
     """Mean weighted by 1 / stdev^2 and its deviation; a deviation of 0 counts as 1."""
     weight = lambda x: F.lit(1.0) / F.when(x["stdev"] == 0, F.lit(1.0)).otherwise(x["stdev"] * x["stdev"])
@@ -39,12 +24,36 @@ def merged(links: Column) -> Column:
 
 
 def bundle_all(links: DataFrame, cutoff: int = 3, order: str = "read") -> DataFrame:
-    """All bundles: of buckets above the cutoff the clique, merged; of others the first link alone, with size 1."""
-    rows = buckets(links, order).withColumn("chosen", F.when(F.size("links") > cutoff, clique(F.col("links"))).otherwise(F.slice("links", 1, 1)))
-    rows = rows.withColumn("big", F.size("links") > cutoff).filter(F.size("chosen") > 0)
-    one = F.col("chosen")[0]
-    m = F.when(F.col("big"), merged(F.col("chosen"))).otherwise(F.struct(one["mean"].alias("mean"), one["stdev"].alias("stdev")))
-    return rows.withColumn("m", m).select(*KEYS, F.col("m.mean").alias("mean"), F.col("m.stdev").alias("stdev"), F.size("chosen").alias("bsize"))
+    """All bundles: of buckets above the cutoff the clique, merged; of others the first link alone, with size 1.
+
+    A clique is what covers the point of most overlap with mean +- 3 stdev. Beginnings stand in order of their whole part and then of
+    their link; the i-th's depth is i less the ends before it, the last never counts, and the first of the deepest is the
+    point. A bucket's links are rows in order of place, with running sums over them: n log n at any size, and they spill.
+    All windows and the grouping share one shuffle by the keys.
+    """
+    own = Window.partitionBy(*KEYS)
+    lo, hi = F.col("mean") - 3 * F.col("stdev"), F.col("mean") + 3 * F.col("stdev")
+    rows = links.select(*KEYS, F.col(order).alias("place"), "mean", "stdev", lo.alias("lo"), hi.alias("hi"))
+    # at one place beginnings stand before ends, which so count as later
+    sides = F.array(F.struct(F.col("lo").alias("x"), F.lit(0).alias("end")), F.struct(F.col("hi").alias("x"), F.lit(1).alias("end")))
+    rows = rows.withColumn("side", F.explode(sides)).select(*rows.columns, "side.*")
+    rows = rows.withColumn("ended", F.sum("end").over(own.orderBy("x", "end").rowsBetween(Window.unboundedPreceding, 0))).filter("end = 0")
+    rows = rows.withColumn("i", F.row_number().over(own.orderBy(F.col("lo").cast("int"), "place"))).withColumn("n", F.count("*").over(own))
+    deep = F.struct((F.col("i") - F.col("ended")).alias("depth"), (-F.col("i")).alias("early"), F.col("lo").alias("at"))
+    rows = rows.withColumn("at", F.max(F.when(F.col("i") < F.col("n"), deep)).over(own)["at"]).withColumn("first", F.min("place").over(own))
+    big = F.col("n") > cutoff
+    rows = rows.filter((big & F.col("at").between(F.col("lo"), F.col("hi"))) | (~big & (F.col("place") == F.col("first"))))
+    weight = F.lit(1.0) / F.when(F.col("stdev") == 0, F.lit(1.0)).otherwise(F.col("stdev") * F.col("stdev"))
+    out = rows.groupBy(*KEYS).agg(
+        F.sum(F.col("mean") * weight).alias("p"), F.sum(weight).alias("q"), F.count("*").cast("int").alias("size"), F.max("n").alias("n"), F.max(F.struct("mean", "stdev")).alias("one")
+    )
+    mean, stdev = F.when(big, F.col("p") / F.col("q")).otherwise(F.col("one.mean")), F.when(big, 1 / F.sqrt("q")).otherwise(F.col("one.stdev"))
+    return out.select(*KEYS, mean.alias("mean"), stdev.alias("stdev"), F.when(big, F.col("size")).otherwise(1).alias("bsize"))
+
+
+def first_links(links: DataFrame, order: str = "read") -> DataFrame:
+    """a, oa, b, ob and the first link of each bucket in link order, which stands for buckets up to the cutoff."""
+    return links.groupBy(*KEYS).agg(F.min(order).alias(order))
 
 
 def bundled_links(links: DataFrame, cutoff: int = 3, order: str = "read") -> DataFrame:

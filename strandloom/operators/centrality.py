@@ -8,27 +8,43 @@ from strandloom.operators.graph import components, neighbours, without_nodes
 from strandloom.shared import written
 
 
-def betweenness(edges: DataFrame, min_nodes: int = 50) -> DataFrame:
+def betweenness(edges: DataFrame, min_nodes: int = 50, pairs_at_once: int = 1 << 28) -> DataFrame:
     """component, contig, score: exact normalised betweenness of each node of components with min_nodes or more, unweighted and undirected.
 
-    All sources go on together: a level's rows are (source, node, number of shortest paths), one join with the edges and
-    one grouped sum lead to the next level, and dependencies come back level by level. Nothing is held per component, so a
+    Sources go on in batches, so that a batch has about so many pairs of nodes at most: a level's rows are (source, node, number of
+    shortest paths), one join with the edges and one grouped sum lead to the next level, and dependencies come back level by
+    level. In an undirected search only this level and the one before can be met again. Nothing is held per component, so a
     giant component spreads over all tasks. Scores are sums over ordered pairs divided by (n - 1)(n - 2).
     """
+    edges = written(edges.select("a", "b").distinct(), "edges")
     parts = components(edges)
     sizes = parts.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= min_nodes)
     members = written(parts.join(sizes, "component"), "members")
     near = written(neighbours(edges).filter("node != neigh").join(members.select(F.col("contig").alias("node")), "node", "left_semi"), "neighbours")
-    level = written(members.select(F.col("contig").alias("s"), F.col("contig").alias("v"), F.lit(1.0).alias("paths")), "level")
-    levels, seen = [level], level.select("s", "v")
+    every = members.agg(F.sum("n")).first()[0] or 0  # pairs of all sources
+    batches = max(1, -(-every // pairs_at_once))
+    total = None
+    for i in range(batches):
+        some = members.filter(F.pmod(F.xxhash64("contig"), F.lit(batches)) == i)
+        own = written(_dependencies(some, near), "sums")
+        total = own if total is None else total.unionByName(own)
+    total = total.groupBy("v").agg(F.sum("depends").alias("depends")).withColumnRenamed("v", "contig")
+    pairs = (F.col("n") - 1) * (F.col("n") - 2)
+    return members.join(total, "contig", "left").select("component", "contig", F.when(pairs > 0, F.coalesce("depends", F.lit(0.0)) / pairs).otherwise(0.0).alias("score"))
+
+
+def _dependencies(sources: DataFrame, near: DataFrame) -> DataFrame:
+    """v and depends: what the sources' shortest paths give each node, summed up over the sources."""
+    level = written(sources.select(F.col("contig").alias("s"), F.col("contig").alias("v"), F.lit(1.0).alias("paths")), "level")
+    levels = [level]
     while True:
         reached = level.join(near, F.col("v") == F.col("node")).groupBy("s", F.col("neigh").alias("v")).agg(F.sum("paths").alias("paths"))
-        level = written(reached.join(seen, ["s", "v"], "left_anti"), "level")
+        met = levels[-1].select("s", "v") if len(levels) == 1 else levels[-1].select("s", "v").unionByName(levels[-2].select("s", "v"))
+        level = written(reached.join(met, ["s", "v"], "left_anti"), "level")
         if level.isEmpty():
             break
         levels.append(level)
-        seen = seen.unionByName(level.select("s", "v"))
-    below, every = None, []
+    below, total = None, None
     for level in reversed(levels):
         rows = level.withColumn("depends", F.lit(0.0))
         if below is not None:
@@ -36,13 +52,9 @@ def betweenness(edges: DataFrame, min_nodes: int = 50) -> DataFrame:
             back = share.join(near.select(F.col("node").alias("w"), F.col("neigh").alias("v")), "w").groupBy("s", "v").agg(F.sum("share").alias("share"))
             rows = level.join(back, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("depends"))
         below = written(rows, "depends")
-        every.append(below.filter("s != v").groupBy("v").agg(F.sum("depends").alias("depends")))
-    total = every[0]
-    for more in every[1:]:
-        total = total.unionByName(more)
-    total = total.groupBy("v").agg(F.sum("depends").alias("depends")).withColumnRenamed("v", "contig")
-    pairs = (F.col("n") - 1) * (F.col("n") - 2)
-    return members.join(total, "contig", "left").select("component", "contig", F.when(pairs > 0, F.coalesce("depends", F.lit(0.0)) / pairs).otherwise(0.0).alias("score"))
+        own = below.filter("s != v").groupBy("v").agg(F.sum("depends").alias("depends"))
+        total = own if total is None else total.unionByName(own)
+    return total.groupBy("v").agg(F.sum("depends").alias("depends"))
 
 
 def outliers(scores: DataFrame) -> DataFrame:
@@ -54,7 +66,7 @@ def outliers(scores: DataFrame) -> DataFrame:
 
 def high_centrality(edges: DataFrame, rounds: int = 3, min_nodes: int = 50) -> DataFrame:
     """contig, score, round: what is flagged in each round, after what earlier rounds flagged was taken out."""
-    spark, found = edges.sparkSession, None
+    spark, found, edges = edges.sparkSession, None, written(edges.select("a", "b").distinct(), "edges")
     for r in range(1, rounds + 1):
         flagged = written(outliers(betweenness(edges, min_nodes)).withColumn("round", F.lit(r)), "flagged")
         found = flagged if found is None else found.unionByName(flagged)

@@ -55,8 +55,12 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False)
     raise ValueError("a ring of negative weight")
 
 
-def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 50) -> DataFrame:
-    """contig and rank: weight goes both ways along an edge in equal shares, (1 - d) / n is added before d multiplies, and the result is scaled to 0 to 1."""
+def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 1000, threshold: float = 1e-9) -> DataFrame:
+    """contig and rank: weight goes both ways along an edge in equal shares, (1 - d) / n is added before d multiplies, and the result is scaled to 0 to 1.
+
+    Rounds go on until no rank moves by more than the threshold, or there were so many.
+    """
+    edges = written(edges.select("a", "b"), "edges")
     near = neighbours(edges)
     share = near.groupBy("node").agg(F.count("*").alias("n_near"))
     arcs = written(near.join(share, "node"), "arcs")
@@ -65,7 +69,13 @@ def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 50) -> Data
     rank = written(own.withColumn("rank", F.lit(1.0 / n)), "rank")
     for _ in range(rounds):
         sent = arcs.join(rank.withColumnRenamed("contig", "node"), "node").groupBy(F.col("neigh").alias("contig")).agg(F.sum(F.col("rank") / F.col("n_near")).alias("sent"))
-        rank = written(own.join(sent, "contig", "left").select("contig", (damping * ((1 - damping) / n + F.coalesce("sent", F.lit(0.0)))).alias("rank")), "rank")
+        then = own.join(sent, "contig", "left").join(rank.withColumnRenamed("rank", "before"), "contig")
+        then = then.select("contig", (damping * ((1 - damping) / n + F.coalesce("sent", F.lit(0.0)))).alias("rank"), "before")
+        then = written(then, "rank")
+        rank = then.select("contig", "rank")
+        moved = then.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0]
+        if moved is None or moved <= threshold:
+            break
     ends = F.broadcast(rank.agg(F.min("rank").alias("low"), F.max("rank").alias("high")))
     return rank.crossJoin(ends).select("contig", F.when(F.col("high") > F.col("low"), (F.col("rank") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(F.lit(1.0)).alias("rank"))
 
@@ -112,11 +122,22 @@ def is_acyclic(edges: DataFrame) -> bool:
 def strong_components(edges: DataFrame) -> DataFrame:
     """contig and component (its smallest member) of strongly connected components.
 
-    Each round spreads the smallest names forward; what also reaches back to its name's node within the same name is that
+    Nodes without arcs in, or out, stand alone and leave first, round by round. Then each round spreads the smallest names forward; what also reaches back to its name's node within the same name is that
     node's component and leaves. Rounds go on until no node is left.
     """
     arcs, left, found = written(simple(edges), "arcs"), written(nodes(edges), "nodes"), None
     while not left.isEmpty():
+        while True:
+            inner = arcs.select(F.col("a").alias("contig")).intersect(arcs.select(F.col("b").alias("contig")))
+            alone = written(left.join(inner, "contig", "left_anti").withColumn("component", F.col("contig")), "alone")
+            if alone.isEmpty():
+                break
+            found = alone if found is None else found.unionByName(alone)
+            left = written(left.join(alone, "contig", "left_anti"), "nodes")
+            gone = alone.select("contig")
+            arcs = written(arcs.join(gone.withColumnRenamed("contig", "a"), "a", "left_anti").join(gone.withColumnRenamed("contig", "b"), "b", "left_anti"), "arcs")
+        if left.isEmpty():
+            break
         color = written(left.withColumn("color", F.col("contig")), "color")
         while True:
             step = arcs.join(color.withColumnRenamed("contig", "a"), "a").select(F.col("b").alias("contig"), "color")
@@ -154,3 +175,20 @@ def path_counts(edges: DataFrame, source: str) -> DataFrame:
         front = written(arcs.join(front.withColumnRenamed("contig", "a"), "a").groupBy(F.col("b").alias("contig")).agg(F.sum("n").alias("n")), "front")
         total = total.unionByName(front)
     return total.groupBy("contig").agg(F.sum("n").alias("n"))
+
+
+def sources(edges: DataFrame) -> DataFrame:
+    """contig: nodes that no edge leads into."""
+    return nodes(edges).join(edges.select(F.col("b").alias("contig")), "contig", "left_anti")
+
+
+def sinks(edges: DataFrame) -> DataFrame:
+    """contig: nodes that no edge leads out of."""
+    return nodes(edges).join(edges.select(F.col("a").alias("contig")), "contig", "left_anti")
+
+
+def is_forest(edges: DataFrame) -> bool:
+    """Whether the undirected graph has no cycle: as many distinct edges as nodes less components, no loop and no parallel edge."""
+    plain = written(edges.select("a", "b"), "edges")
+    parts = components(plain).agg(F.count("*").alias("n"), F.countDistinct("component").alias("c")).first()
+    return plain.count() == parts["n"] - parts["c"]

@@ -8,7 +8,8 @@ from strandloom.shared import written
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("a").alias("contig")).unionAll(edges.select(F.col("b").alias("contig")))
+    """contig: both ends of each edge, in one pass over the edges."""
+    return edges.select(F.explode(F.array("a", "b")).alias("contig"))
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -22,14 +23,15 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def in_out_degrees(edges: DataFrame) -> DataFrame:
     """contig, n_in, n_out over distinct edges; each edge is counted once at each end, in one shuffle."""
-    once = edges.select("a", "b").distinct()
-    rows = once.select(F.col("a").alias("contig"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionAll(once.select(F.col("b").alias("contig"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    end = lambda side, i, o: F.struct(F.col(side).alias("contig"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    rows = edges.select("a", "b").distinct().select(F.explode(F.array(end("a", 0, 1), end("b", 1, 0))).alias("e")).select("e.*")
     return rows.groupBy("contig").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
     """Distinct (node, neigh), both ways; a loop makes a node its own neighbour."""
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("neigh")).unionAll(edges.select(F.col("b").alias("node"), F.col("a").alias("neigh"))).distinct()
+    way = lambda x, y: F.struct(F.col(x).alias("node"), F.col(y).alias("neigh"))
+    return edges.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e")).select("e.*").distinct()
 
 
 def without_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
@@ -47,18 +49,20 @@ def components(edges: DataFrame) -> DataFrame:
     changes. The links' number never grows; each round is written, so lineage stays short.
     """
     a, b = F.col("a"), F.col("b")
+    edges = written(edges.select("a", "b").distinct(), "edges")
     own = nodes(edges)
     now = written(edges.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
-    while True:
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    at = state(now)
+    while at[0]:
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = written(both.filter(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")).distinct(), "links")
         small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
-        then = written(small.select(F.when(b == F.col("m"), a).otherwise(b).alias("a"), F.col("m").alias("b")).distinct(), "links")
-        state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state(then) == state(now):
+        now = written(small.select(F.when(b == F.col("m"), a).otherwise(b).alias("a"), F.col("m").alias("b")).distinct(), "links")
+        before, at = at, state(now)
+        if at == before:
             break
-        now = then
     return own.join(now.select(a.alias("contig"), b.alias("component")), "contig", "left").select("contig", F.coalesce("component", "contig").alias("component"))
 
 

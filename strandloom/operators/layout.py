@@ -90,8 +90,14 @@ def heaviest_path(edges: list[tuple[str, str, int]], source: str, sink: str) ->
 
 def other_paths(edges: list[tuple[str, str, int]], members: list[str], path: list[str]) -> list[list[str]]:
     """Ways beside a path: the parts that are left without it, if one node, or if one node leads in and one out and a way joins them."""
-    left = [m for m in members if m not in set(path)]
-    inner = [(a, b) for a, b, _ in edges if a in set(left) and b in set(left)]
+    on_path = set(path)
+    left = [m for m in members if m not in on_path]
+    beside = set(left)
+    inner = [(a, b) for a, b, _ in edges if a in beside and b in beside]
+    out, into = dict.fromkeys(left, 0), dict.fromkeys(left, 0)
+    for a, b in inner:
+        out[a] += 1
+        into[b] += 1
     top = {m: m for m in left}
 
     def find(m: str) -> str:
@@ -110,7 +116,6 @@ def other_paths(edges: list[tuple[str, str, int]], members: list[str], path: lis
         if len(part) == 1:
             found.append(part)
             continue
-        out, into = {m: sum(a == m for a, _ in inner) for m in part}, {m: sum(b == m for _, b in inner) for m in part}
         ends = [m for m in part if out[m] == 1 and into[m] == 0], [m for m in part if out[m] == 0 and into[m] == 1]
         if len(ends[0]) + len(ends[1]) == 2 and len(ends[0]) == 1:
             way = heaviest_path([(a, b, 1) for a, b in inner], ends[0][0], ends[1][0])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.functions.links import congruent
 from strandloom.operators.graph import components, degrees
+from strandloom.shared import written
 
 #: What a link of these ends says of its unoriented end, given the other end's orientation: +1 forward, -1 reverse.
 VOTE_OF_TARGET = {("FOW", "EB"): 1, ("FOW", "BB"): -1, ("REV", "EE"): 1, ("REV", "BE"): -1}
@@ -64,6 +65,16 @@ class _Walk:
                 self.count(x.b)
 
 
+def longest(contigs: DataFrame) -> DataFrame:
+    """contig and length of the longest one; ties go to the smaller name."""
+    return contigs.orderBy(F.desc("length"), "contig").limit(1)
+
+
+def most_links_out(links: DataFrame) -> DataFrame:
+    """contig and n_out of the one that most links lead out of; ties go to the smaller name."""
+    return links.groupBy(F.col("a").alias("contig")).agg(F.count("*").alias("n_out")).orderBy(F.desc("n_out"), "contig").limit(1)
+
+
 def orient_contigs(links: DataFrame, contigs: DataFrame, strategy: str = "bsize") -> DataFrame:
     """component, contig, orient and invalidated (the last count written for it; null if none was), one row for each contig of a link.
 
@@ -71,8 +82,8 @@ def orient_contigs(links: DataFrame, contigs: DataFrame, strategy: str = "bsize"
     state. The longest contig of all (ties: the smaller name) is counted before its walk, and so gets a row of its own if
     it has no links. Within a component seeds are taken by length, then name; all are FOW.
     """
-    length = contigs.groupBy("contig").agg(F.max("length").alias("length"))
-    top = length.orderBy(F.desc("length"), "contig").limit(1).select(F.col("contig").alias("top"))
+    links, length = written(links, "links"), written(contigs.groupBy("contig").agg(F.max("length").alias("length")), "lengths")
+    top = longest(length).select(F.col("contig").alias("top"))
     deg = degrees(links)
     named = lambda side: length.select(F.col("contig").alias(side), F.col("length").alias(f"len_{side}")).join(deg.select(F.col("contig").alias(side), F.col("degree").alias(f"deg_{side}")), side, "right")
     parts = components(links).withColumnRenamed("contig", "a")
@@ -108,8 +119,6 @@ def valid_links(links: DataFrame, orientation: DataFrame) -> DataFrame:
 
 def with_link_ids(links: DataFrame, first: int = 0) -> DataFrame:
     """link_id in order of the keys, numbered range by range."""
-    from strandloom.shared import written
-
     order = ["a", "oa", "b", "ob"]
     parts = written(links.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.operators.graph import degrees, neighbours
+from strandloom.shared import written
 
 
 def skew(edges: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -16,10 +17,34 @@ def skew(edges: DataFrame, coverage: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("node").alias("contig")).agg((F.sum(hit) / F.count("*")).alias("skew"))
 
 
+def percentile(table: DataFrame, value: str, p: float) -> float | None:
+    """The exact percentile, interpolated between neighbours; None of an empty table. Nulls don't count.
+
+    Values are sorted by ranges; the ranges' counts, one for each partition, say in which two the ranks lie, and those alone are
+    numbered. No task and no driver holds the values.
+    """
+    parts = written(table.select(F.col(value).cast("double").alias("x")).filter("x is not null").repartitionByRange("x").withColumn("part", F.spark_partition_id()), "ranges")
+    counts = sorted((r["part"], r["count"]) for r in parts.groupBy("part").count().collect())
+    n = sum(c for _, c in counts)
+    if not n:
+        return None
+    at = p * (n - 1)
+    low, found = int(at), {}
+    before = 0
+    for part, count in counts:
+        inside = [k - before for k in {low, min(low + 1, n - 1)} if before <= k < before + count]
+        if inside:
+            rows = parts.filter(F.col("part") == part).withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("x")) - 1)
+            found |= {before + r["k"]: r["x"] for r in rows.filter(F.col("k").isin(inside)).collect()}
+        before += count
+    return found[low] + (at - low) * (found[min(low + 1, n - 1)] - found[low])
+
+
 def percentile_outliers(table: DataFrame, value: str, p: float = 0.75) -> DataFrame:
     """Rows at or above the percentile, interpolated between neighbours; none of an empty table."""
-    cut = table.agg(F.percentile(value, F.lit(p)).alias("cut"))
-    return table.crossJoin(F.broadcast(cut)).filter(F.col(value) >= F.col("cut")).select("contig", value)
+    table = written(table.select("contig", value), "scores")
+    cut = percentile(table, value, p)
+    return table.filter(F.lit(False) if cut is None else F.col(value) >= F.lit(cut))
 
 
 def signal_outliers(edges: DataFrame, coverage: DataFrame, invalidated: DataFrame) -> DataFrame:

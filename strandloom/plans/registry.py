@@ -113,7 +113,7 @@ def a05(spark, sf):
 
 @query("a08_first_link", SQL + "select a, oa, b, ob, min(read) as read from links group by a, oa, b, ob")
 def a08(spark, sf):
-    return _links(spark, sf).groupBy(*bundle.KEYS).agg(F.min("read").alias("read"))
+    return bundle.first_links(_links(spark, sf))
 
 
 @query("k03_graph_nodes", SQL + "select row_number() over (order by contig) as id, contig from (select a as contig from bundles union select b from bundles union select a from links union select b from links)")
@@ -212,12 +212,12 @@ def p10(spark, sf):
 
 @query("a17_longest_contig", SQL + "select contig, length from ctg order by length desc, contig limit 1")
 def a17(spark, sf):
-    return derived.contigs(spark, sf).orderBy(F.desc("length"), "contig").limit(1)
+    return orient.longest(derived.contigs(spark, sf))
 
 
 @query("o08_top_contig", SQL + "select a as contig, count(*) as n_out from bundled group by a order by n_out desc, a limit 1")
 def o08(spark, sf):
-    return _bundled(spark, sf).groupBy(F.col("a").alias("contig")).agg(F.count("*").alias("n_out")).orderBy(F.desc("n_out"), "contig").limit(1)
+    return orient.most_links_out(_bundled(spark, sf))
 
 
 _REACH = SQL.replace("with aln", "with recursive aln", 1) + ", reach as (select a as node, a as other from edges union select b, b from edges union select r.node, e.b from reach r join (select a, b from edges union select b, a from edges) e on e.a = r.other), comp as (select node as contig, min(other) as component from reach group by node)"
@@ -287,11 +287,25 @@ def g24(spark, sf):
     return motifs.interspersed_repeats(derived.event_edges(spark, sf), _visits(spark, sf), 3, 1.5)
 
 
-@query("w06_agp_offsets", SQL + " select a as scaffold, row_number() over w - 1 as part, b as contig, cast(sum(length) over w as bigint) as \"end\" from (select distinct a, b from bundled) join ctg on contig = b window w as (partition by a order by b rows between unbounded preceding and current row)")
+_AGP = """, part as (
+    select 0 as kind, 'p' || (length % 7) as path, row_number() over (partition by length % 7 order by contig) - 1 as part, contig, length, case when length % 2 = 0 then '+' else '-' end as strand
+    from ctg where length % 7 < 5
+), every as (
+    select kind, path, part, contig, strand, length, sum(length) over w - length + 1 as "begin", sum(length) over w as "end" from part window w as (partition by path order by part rows between unbounded preceding and current row)
+    union all select 2, contig, 1, contig, '+', length, 0, length from ctg where length % 7 >= 5
+), name as (
+    select kind, path, 'scaffold_' || row_number() over (order by kind, path) as scaffold from (select distinct kind, path from every)
+) select scaffold, cast("begin" as bigint) as "begin", cast("end" as bigint) as "end", cast(part as bigint) as part, contig, length, strand from every join name using (kind, path)"""
+
+
+@query("w06_w07_agp_offsets", SQL + _AGP)
 def w06(spark, sf):
-    rows = _bundled(spark, sf).select(F.col("a").alias("scaffold"), F.col("b").alias("contig")).distinct().join(derived.contigs(spark, sf), "contig")
-    w = Window.partitionBy("scaffold").orderBy("contig")
-    return rows.select("scaffold", (F.row_number().over(w) - 1).cast("long").alias("part"), "contig", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
+    contigs = written(derived.contigs(spark, sf), "contigs")
+    place = F.row_number().over(Window.partitionBy(F.col("length") % 7).orderBy("contig")) - 1
+    parts = contigs.filter("length % 7 < 5").select(
+        F.lit(0).alias("kind"), F.concat(F.lit("p"), (F.col("length") % 7).cast("string")).alias("path"), place.alias("part"), "contig", F.when(F.col("length") % 2 == 0, "+").otherwise("-").alias("strand")
+    )
+    return layout.agp(parts, contigs).withColumn("part", F.col("part").cast("long"))
 
 
 @query("w08_scaffold_numbers", SQL + " select path, kind, 'scaffold_' || row_number() over (order by kind, path) || (case when kind = 1 then '_variant' else '' end) as scaffold from (select distinct contig as path, cast(length % 3 as integer) as kind from ctg)")
@@ -305,9 +319,9 @@ def f11(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", fl.six_digits(F.col("l_extendedprice") / 7).alias("x"))
 
 
-@query("k02_link_rows", SQL + " select a || chr(9) || oa || chr(9) || b || chr(9) || ob || chr(9) || bsize as value from bundled")
+@query("k02_link_rows", SQL + " select a || chr(9) || oa || chr(9) || b || chr(9) || ob || chr(9) || printf('%.6g', mean) || chr(9) || printf('%.6g', stdev) || chr(9) || bsize as value from bundled")
 def k02(spark, sf):
-    return writers.tsv(_bundled(spark, sf), "a", "oa", "b", "ob", "bsize")
+    return writers.link_rows(_bundled(spark, sf))
 
 
 @query("k14_gfa", SQL + " select 'H' || chr(9) || 'VN:Z:1.0' as value union all select 'S' || chr(9) || contig || chr(9) || '*' || chr(9) || 'LN:i:' || length from ctg union all select 'L' || chr(9) || a || chr(9) || (case oa when 'E' then '+' else '-' end) || chr(9) || b || chr(9) || (case ob when 'B' then '+' else '-' end) || chr(9) || bsize from bundled")
@@ -335,7 +349,25 @@ def _links_with_ids(spark, sf):
     return orient.with_link_ids(_bundled(spark, sf))
 
 
-@query("g04_betweenness")
+_PATHS = (
+    SQL.replace("with aln", "with recursive aln", 1)
+    + """, ways as materialized (select distinct * from (select a, b from bundled union all select b, a from bundled) where a <> b
+), near2 as materialized (select distinct a, b from ways
+), step(s, v, d) as (
+    select distinct a, a, 0 from near2 union select s, near2.b, d + 1 from step join near2 on near2.a = v where d < 12
+), dist as materialized (select s, v, min(d) as d from step group by s, v
+), walk2(s, v, d) as (
+    select s, v, d from dist where d = 0 union all select w.s, e.b, w.d + 1 from walk2 w join near2 e on e.a = w.v join dist t on t.s = w.s and t.v = e.b and t.d = w.d + 1
+), sigma as materialized (select s, v, d, count(*) as n from walk2 group by all
+), through as (
+    select x.v, sum(x.n * y.n * 1.0 / z.n) as score from sigma x join sigma y on x.v = y.s join sigma z on z.s = x.s and z.v = y.v and z.d = x.d + y.d
+    where x.v <> x.s and x.v <> y.v and x.s <> y.v group by x.v
+), part2 as (select s as contig, min(v) as component, count(*) as n from dist group by s
+)"""
+)
+
+
+@query("g04_betweenness", _PATHS + " select component, contig, round(case when (n - 1) * (n - 2) > 0 then coalesce(score, 0) / ((n - 1) * (n - 2)) else 0 end, 6) as score from part2 left join through on v = contig where n >= 50")
 def g04(spark, sf):
     return centrality.betweenness(_bundled(spark, sf)).select("component", "contig", _r("score"))
 
@@ -441,16 +473,74 @@ def k15(spark, sf):
     return scaffold.scaffold_stage(links, contigs, Config())["agp"]
 
 
-@query("x01_page_rank")
+#: Rounds in SQL, one after another; by then no rank moves in its first six digits.
+_RANKS = (
+    SQL
+    + ", arc as materialized (select node, neigh, count(*) over (partition by node) as n_near from near), own as materialized (select distinct node as contig from near), r0 as materialized (select contig, 1.0 / (select count(*) from own) as rank from own)"
+    + "".join(
+        f", r{k} as materialized (select o.contig, 0.85 * (0.15 / (select count(*) from own) + coalesce(sent, 0)) as rank from own o left join (select neigh, sum(rank / n_near) as sent from arc join r{k - 1} on contig = node group by neigh) s on s.neigh = o.contig)"
+        for k in range(1, 101)
+    )
+    + " select contig, round(case when (select max(rank) > min(rank) from r100) then (rank - (select min(rank) from r100)) / (select max(rank) - min(rank) from r100) else 1 end, 6) as rank from r100"
+)
+
+
+@query("x01_page_rank", _RANKS)
 def x01(spark, sf):
-    return extras.page_rank(_bundled(spark, sf), rounds=10).select("contig", _r("rank"))
+    return extras.page_rank(_bundled(spark, sf)).select("contig", _r("rank"))
+
 
+_FOREST = SQL.replace("with aln", "with recursive aln", 1) + """, cost as materialized (
+    select a, b, weight, row_number() over (order by weight, a, b) as r from (
+        select least(a, b) as a, greatest(a, b) as b, min(case when bsize = 0 then 10.0 else 1.0 / bsize end) as weight from bundled where a <> b group by all)
+), arcs2 as materialized (select a, b, r from cost union all select b, a, r from cost
+), reached(e, v) as (select r, a from cost union select e, x.b from reached join arcs2 x on x.a = v and x.r < e
+) select a, b, round(weight, 6) as weight from cost where not exists (select 1 from reached where e = r and v = b)"""
 
-@query("x07_spanning_forest")
+
+@query("x07_spanning_forest", _FOREST)
 def x07(spark, sf):
     return extras.spanning_forest(_bundled(spark, sf).withColumn("weight", fl.edge_cost(F.col("bsize")))).select("a", "b", _r("weight"))
 
 
-@query("x08_strong_components")
+_STRONG = SQL.replace("with aln", "with recursive aln", 1) + """, ahead(a, b) as (
+    select a, a from edges union select b, b from edges union select ahead.a, e.b from ahead join edges e on e.a = ahead.b
+) select x.a as contig, min(x.b) as component from ahead x join ahead y on y.a = x.b and y.b = x.a group by x.a"""
+
+
+@query("x08_strong_components", _STRONG)
 def x08(spark, sf):
     return extras.strong_components(derived.event_edges(spark, sf))
+
+
+@query("x12_sources_and_sinks", SQL + ", dag as (select a, b from flow where substr(a, 1, 10) = substr(b, 1, 10)) select a as contig, 'source' as kind from dag where a not in (select b from dag) union select b, 'sink' from dag where b not in (select a from dag)")
+def x12(spark, sf):
+    edges = _orders(spark, sf)
+    named = lambda t, kind: t.select("contig", F.lit(kind).alias("kind"))
+    return named(extras.sources(edges), "source").unionByName(named(extras.sinks(edges), "sink"))
+
+
+_LAYER = SQL.replace("with aln", "with recursive aln", 1) + """, dag as materialized (select distinct a, b from flow where substr(a, 1, 10) = substr(b, 1, 10)
+), down(v, level) as (select distinct a, 0 from dag where a not in (select b from dag) union select dag.b, level + 1 from down join dag on dag.a = v
+)"""
+
+
+@query("g20_topological_levels", _LAYER + " select v as contig, max(level) as level from down group by v")
+def g20(spark, sf):
+    return extras.topological_levels(_orders(spark, sf))
+
+
+def _orders(spark, sf):
+    """The flow of orders with each order's items and end cut off from the next one's: levels 0 to 2."""
+    return written(derived.order_flow(spark, sf).filter(F.substring("a", 1, 10) == F.substring("b", 1, 10)), "flow")
+
+
+@query("x03_shortest_paths", SQL.replace("with aln", "with recursive aln", 1) + """, src as (select min(a) as s from bundled
+), arcs3 as materialized (select a, b, min(1.0 / bsize) as w from (select a, b, bsize from bundled union all select b, a, bsize from bundled) group by a, b
+), d0 as materialized (select s as contig, 0.0::double as d from src)""" + "".join(
+    f", d{k} as materialized (select contig, min(d) as d from (select * from d{k - 1} union all select b, d + w from d{k - 1} join arcs3 on a = contig) group by contig)" for k in range(1, 61)
+) + " select s as source, contig, round(d, 6) as distance from d60, src")
+def x03(spark, sf):
+    edges = written(_bundled(spark, sf).select("a", "b", (F.lit(1.0) / F.col("bsize")).alias("weight")), "edges")
+    found = extras.shortest_paths(edges, edges.agg(F.min("a").alias("contig")))
+    return found.select("source", "contig", _r("distance"))
