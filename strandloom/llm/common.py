@@ -23,10 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/strandloom/{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

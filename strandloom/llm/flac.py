@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from strandloom.llm.common import by_bytes, record_batch, text_or_empty
+from strandloom.llm.common import by_bytes, record_batch, text_or_empty, written
 
 BLOCK = 1024
 RATE = 8000
@@ -444,6 +444,28 @@ def decode_media(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
+def pcm_blocks(df: DataFrame) -> DataFrame:
+    """Of doc_id and media: a row for each PCM block, which is a frame: doc_id, block (from 0), first_sample, samples, frame_offset, pcm.
+
+    pcm holds the frame's samples as unsigned bytes, and so stands at byte first_sample of the whole payload; frame_offset is the
+    byte of the stream at which a reader that seeks first_sample begins. Frames' checksums and the stream's MD5 are verified.
+    Each row stands for itself, so repeated rows give repeated blocks; an empty table gives none.
+    """
+    arrow = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("first_sample", pa.int64()), ("samples", pa.int32()), ("frame_offset", pa.int64()), ("pcm", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "media", 2 << 20):
+            payloads, seek = decode(batch.column("media").to_pylist())
+            rows: list[tuple] = []
+            for doc, data, points in zip(batch.column("doc_id").to_pylist(), payloads, seek):
+                ends = [*(p[0] for p in points[1:]), len(data)]
+                rows += [(doc, i, sample, end - sample, offset, data[sample:end]) for i, ((sample, offset), end) in enumerate(zip(points, ends))]
+            if rows:
+                yield record_batch(dict(zip(arrow.names, zip(*rows))), arrow)
+
+    return df.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long, block int, first_sample long, samples int, frame_offset long, pcm binary")
+
+
 def feature(data: bytes) -> str:
     x = np.frombuffer(data, np.uint8).astype(np.int64) - 128
     crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
@@ -452,5 +474,10 @@ def feature(data: bytes) -> str:
 
 
 def media_digest(documents: DataFrame) -> DataFrame:
-    """Stores each text as a FLAC stream, reads the stored bytes back and describes them; ids are cast to long."""
-    return decode_media(encode_media(documents.select(F.col("doc_id").cast("long"), "text"))).drop("seek")
+    """Stores each text as a FLAC stream in a table, reads the stored bytes back and describes them; ids are cast to long.
+
+    Beside the digests stand n_blocks and seek: each PCM block's first sample and the byte of the stream where its frame begins.
+    A null text counts as empty; repeated rows have rows each; an empty table gives an empty one.
+    """
+    stored = written(encode_media(documents.select(F.col("doc_id").cast("long"), "text")), "media", "zstd")
+    return decode_media(stored).withColumn("n_blocks", F.size("seek").cast("long"))
