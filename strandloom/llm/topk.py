@@ -63,17 +63,23 @@ def survivors(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
     alive = q_ids[:, None] != c_ids[None, :]
     exact_in_float = float(np.abs(fq).max(initial=0)) * float(np.abs(fc).max(initial=0)) * max(1, dims) < MOST_FLOAT
     if dims and exact_in_float:
-        slack = 1e-9 * np.outer(np.sqrt((fq * fq).sum(1)) + 1, np.sqrt((fc * fc).sum(1)) + 1)
-        for step, segments in enumerate(min(r, dims) for r in RESOLUTIONS):
+        slack_q, slack_c = 1e-9 * (np.sqrt((fq * fq).sum(1)) + 1), np.sqrt((fc * fc).sum(1)) + 1
+        coarse, *finer = [min(r, dims) for r in RESOLUTIONS]
+        (mq, dq), (mc, dc) = _stats(fq, coarse), _stats(fc, coarse)
+        bound = np.where(alive, mq @ mc.T + dq @ dc.T + np.outer(slack_q, slack_c), -np.inf)
+        if n >= 2 * k:
+            seeds = np.argpartition(-bound, 2 * k - 1, axis=1)[:, : 2 * k]
+            rows = np.repeat(np.arange(len(q)), 2 * k)
+            score = np.where(alive[rows, seeds.ravel()], _exact(q, c, rows, seeds.ravel()), LEAST).reshape(len(q), 2 * k)
+            floor = np.maximum(floor, -np.sort(-score, axis=1)[:, k - 1])
+        at_q, at_c = np.nonzero(bound >= floor[:, None])
+        for segments in finer:  # of the pairs alone that the coarser bound left
             (mq, dq), (mc, dc) = _stats(fq, segments), _stats(fc, segments)
-            bound = np.where(alive, mq @ mc.T + dq @ dc.T + slack, -np.inf)
-            if step == 0 and n >= 2 * k:
-                seeds = np.argpartition(-bound, 2 * k - 1, axis=1)[:, : 2 * k]
-                rows = np.repeat(np.arange(len(q)), 2 * k)
-                score = np.where(alive[rows, seeds.ravel()], _exact(q, c, rows, seeds.ravel()), LEAST).reshape(len(q), 2 * k)
-                floor = np.maximum(floor, -np.sort(-score, axis=1)[:, k - 1])
-            alive = bound >= floor[:, None]
-    at_q, at_c = np.nonzero(alive)
+            sums = _exact(np.hstack([mq, dq]), np.hstack([mc, dc]), at_q, at_c) + slack_q[at_q] * slack_c[at_c]
+            keep = sums >= floor[at_q]
+            at_q, at_c = at_q[keep], at_c[keep]
+    else:
+        at_q, at_c = np.nonzero(alive)
     score = _exact(q, c, at_q, at_c)
     keep = score >= floor[at_q]
     return at_q[keep], at_c[keep], score[keep]
@@ -158,13 +164,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, scale: int = SCALE)
 
     Both tables hold vec_id and embedding; other columns are not looked at. Rows with a null id, a null vector or a component
     that is null or not finite take no part; a query is held against vectors of its own length only, and not against rows
-    of its own id. Rows that repeat a candidate are candidates each; a query id that repeats is asked once, with one of
-    its vectors. Fewer than k candidates are all returned. Scores that a long can't hold wrap around.
+    of its own id. Rows that repeat a candidate are candidates each; a query id that repeats is asked once, with the
+    least of its vectors. Fewer than k candidates are all returned. Scores that a long can't hold wrap around.
 
     Blocks of queries, at most SENT_AT_ONCE of them at once, are sent to all tasks, one lot after another; a task
     holds one block of candidates, so its memory doesn't grow with either table.
     """
-    asked = scaled(queries, "vec_id", "embedding", scale).dropDuplicates(["id"])
+    asked = scaled(queries, "vec_id", "embedding", scale).groupBy("id").agg(F.min("v").alias("v"))
     blocks = written(_blocks(asked, QUERY_BLOCK), "queries")
     store = written(_blocks(scaled(candidates, "vec_id", "embedding", scale), CANDIDATE_BLOCK), "candidates")
     found, lot, size = [], [], 0
@@ -184,4 +190,5 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, scale: int = SCALE)
 
 
 def top_k_digest(embeddings: DataFrame) -> DataFrame:
+    """query_id, rank, vec_id and score of the 10 best of each vec_id divisible by 100; as top_k() says of nulls, repeats and empty tables."""
     return top_k(embeddings.filter(F.col("vec_id") % 100 == 0), embeddings, 10)

@@ -129,6 +129,27 @@ def test_top_k(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in few) == [(0, 1, 1), (1, 1, 0)]
 
 
+@pytest.mark.parametrize("dims", [64, 50])
+def test_survivors_keep_the_best(dims):
+    rng = np.random.default_rng(dims)
+    base = rng.normal(size=(8, dims))
+    c = np.floor(1024 * (base[rng.integers(0, 8, 3000)] + 0.3 * rng.normal(size=(3000, dims)))).astype(np.int64)
+    q, ids = c[:40], np.arange(3000)
+    at_q, at_c, score = topk.survivors(ids[:40], q, ids, c, 10, np.full(40, topk.LEAST))
+    best = topk.Best(40, 10)
+    best.add(at_q, at_c, score)
+    every = q @ c.T
+    every[np.arange(40), np.arange(40)] = -(1 << 62)
+    want = np.lexsort((np.broadcast_to(ids, every.shape), -every), axis=1)[:, :10]
+    assert (best.ids.reshape(40, 10) == want).all() and len(at_q) < 40 * 3000 / 2
+
+
+def test_top_k_of_a_repeated_query(spark):
+    df = spark.createDataFrame([(0, [2.0, 0.0]), (0, [1.0, 5.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = topk.top_k(df.filter("vec_id = 0"), df, 5).collect()  # the least vector asks: (1, 5)
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 1, 5 * 1024**2), (2, 2, 1024**2)]
+
+
 # 3. suffix-array dedup
 
 
@@ -510,6 +531,21 @@ def test_flac(docs, empty, texts):
     assert flac.media_digest(empty).count() == 0
 
 
+def test_pcm_blocks(spark):
+    rng = random.Random(3)
+    texts = {1: "x" * 5000, 2: None, 3: prose(rng, 3000)}
+    media = flac.encode_media(spark.createDataFrame([*texts.items()], "doc_id long, text string")).cache()
+    stream = {r["doc_id"]: bytes(r["media"]) for r in media.collect()}
+    seek = {r["doc_id"]: [tuple(p) for p in r["seek"]] for r in flac.decode_media(media).collect()}
+    got = {}
+    for r in flac.pcm_blocks(media).orderBy("doc_id", "block").collect():
+        assert (r["first_sample"], r["frame_offset"]) == seek[r["doc_id"]][r["block"]] and r["samples"] == len(r["pcm"])
+        assert stream[r["doc_id"]][r["frame_offset"] :][:2] == b"\xff\xf8"
+        got[r["doc_id"]] = got.get(r["doc_id"], b"") + bytes(r["pcm"])
+        assert len(got[r["doc_id"]]) == r["first_sample"] + r["samples"]
+    assert got == {i: flac.payload(t or "") for i, t in texts.items()}
+
+
 def test_flac_round_trip_and_damage():
     rng = random.Random(8)
     payloads = [bytes(rng.choice(c) for _ in range(n)) for n in (64, 1024, 4160, 1030) for c in (b"\0", b"ab ", bytes(range(256)), b"\0" * 60 + b"\xff")]
