@@ -21,6 +21,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from strandloom.llm.common import by_bytes, record_batch, text_or_empty, written
 
 SEGMENT = 4 << 20
+#: Captures that one range of the merged order holds about: what a task keeps, whatever the number of captures.
+IN_RANGE = 250_000
+#: Captures of a run that a merge has decoded at once.
+HEADS = 256
+#: Bytes of an archive handed to the decompressor at a time.
+PIECE = 16 << 10
 FIRST = datetime(2024, 1, 1, tzinfo=UTC)
 #: Fixed value: the profile that the format names for a revisit with an equal payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -94,7 +100,10 @@ def decide_revisits(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
 
 
 def write_archives(decided: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Rows of archive, segment, data (gzip members, one a record) and run: the segment's captures, sorted by URL key and time."""
+    """Rows of archive, segment, data (gzip members, one a record) and run: the segment's captures, sorted by URL key and time.
+
+    Takes the columns of decide_revisits(), urls and htmls not null; a null page_id is written as such. No rows, no segments.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, number = f"part-{TaskContext.get().partitionId():06d}.warc.gz", 0
@@ -116,38 +125,60 @@ def capture_order(e: dict) -> tuple:
     return e["urlkey"], e["captured"], -1 if e["page_id"] is None else e["page_id"]
 
 
+def members(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of each gzip member; a member that is cut short raises ValueError."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, content, read = zlib.decompressobj(31), [], at
+        while not member.eof:
+            if read >= len(view):
+                raise ValueError(f"the member at {at} is cut short")
+            content.append(member.decompress(view[read : read + PIECE]))
+            read = min(read + PIECE, len(view))
+        yield at, b"".join(content)
+        at = read - len(member.unused_data)
+
+
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """A row for each record of the archives, as the record says it; payload is null for revisits, or if not asked for."""
+    """A row for each record of the archives, as the record says it; payload is null for revisits, or if not asked for.
+
+    A segment is read member by member, in pieces, so that its cost is in proportion to its bytes. A segment without data
+    has no records, and no segments give no rows. A damaged member or payload fails the task with the reason.
+    """
     schema = pa.schema([("archive", pa.string()), ("segment", pa.int64()), ("offset", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, segment, data in zip(*(batch.column(c).to_pylist() for c in ("archive", "segment", "data"))):
-                rows, at, rest = [], 0, data
-                while rest:
-                    member = zlib.decompressobj(31)
-                    page, size, digest, kind, refers, payload = parse_record(member.decompress(rest))
+                rows = []
+                for at, raw in members(data or b""):
+                    page, size, digest, kind, refers, payload = parse_record(raw)
                     rows.append((archive, segment, at, page, size, digest, kind, refers, payload if with_payload else None))
-                    at, rest = len(data) - len(member.unused_data), member.unused_data
-                yield record_batch(dict(zip(schema.names, zip(*rows))), schema)
+                if rows:
+                    yield record_batch(dict(zip(schema.names, zip(*rows))), schema)
 
     return archives.select("archive", "segment", "data").mapInArrow(run, RECORD_DDL)
 
 
 class LoserTree:
-    """k sorted runs merged into one: each inner node keeps the loser of its match, so the next item costs log2(k) matches."""
+    """k sorted runs merged into one: each inner node keeps the loser of its match, so the next item costs log2(k) matches.
 
-    def __init__(self, runs: list[list], key) -> None:
-        self.runs, self.key = runs, key
+    Runs are read as iterators, one item ahead; of equal items that of the earlier run comes first.
+    """
+
+    def __init__(self, runs: list, key) -> None:
+        self.runs, self.key = [iter(run) for run in runs], key
         self.k = max(1, len(runs))
-        self.place = [0] * len(runs)
+        self.items: list = [None] * len(runs)
         self.heads = [self._head(i) for i in range(len(runs))]
         self.losers = [-1] * self.k
         self.winner = self._play(1) if runs else -1
 
     def _head(self, i: int):
-        run = self.runs[i]
-        return (0, self.key(run[self.place[i]]), i) if self.place[i] < len(run) else (1,)
+        for item in self.runs[i]:
+            self.items[i] = item
+            return 0, self.key(item), i
+        return (1,)
 
     def _play(self, node: int) -> int:
         if node >= self.k:
@@ -161,8 +192,7 @@ class LoserTree:
     def __iter__(self):
         while self.winner >= 0 and self.heads[self.winner][0] == 0:
             i = self.winner
-            yield self.runs[i][self.place[i]]
-            self.place[i] += 1
+            yield self.items[i]
             self.heads[i] = self._head(i)
             node = (i + self.k) // 2
             while node >= 1:
@@ -172,28 +202,44 @@ class LoserTree:
             self.winner = i
 
 
-def merge_index(archives: DataFrame) -> DataFrame:
+def _rows_of(batches: list[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of one run, decoded a few at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, HEADS):
+            yield from batch.slice(start, HEADS).to_pylist()
+
+
+def merge_index(archives: DataFrame, in_range: int = IN_RANGE) -> DataFrame:
     """All captures in one order by URL key, time and page_id: archive, segment, offset, length, urlkey, captured, page_id, position (from 0).
 
-    Each segment brings a sorted run. Spark deals the captures out by ranges of the whole order, so even one URL with a
-    third of all captures spreads over tasks; in each task the runs' parts are merged with a loser tree, and the counts of
-    the ranges before it give a range its first position. Ties stand by archive, segment and offset.
+    Each segment brings a sorted run. The captures are dealt out by ranges of the whole order, about in_range to a range, so
+    that what a task holds doesn't grow with the captures, and one URL with a third of them spreads over tasks. Spark's own
+    sort, which spills, brings a range's part of each run together in the run's order; these parts stay Arrow batches, of
+    which a loser tree reads a few rows ahead. The counts of the ranges before it give a range its first position. Ties
+    stand by archive, segment and offset; a null page_id is the smallest. No segments give no rows.
     """
     entries = archives.select("archive", "segment", F.explode("run").alias("e")).select("archive", "segment", "e.*")
-    dealt = entries.repartitionByRange(F.col("urlkey"), F.col("captured"), F.coalesce("page_id", F.lit(-1)), F.col("archive"), F.col("segment"), F.col("offset"))
+    captures = archives.agg(F.sum(F.size("run"))).first()[0] or 0
+    ranges = max(-(-captures // in_range), archives.sparkSession.sparkContext.defaultParallelism)
+    capture = [F.col("urlkey"), F.col("captured"), F.coalesce("page_id", F.lit(-1))]
+    dealt = entries.repartitionByRange(ranges, *capture, F.col("archive"), F.col("segment"), F.col("offset"))
+    dealt = dealt.sortWithinPartitions("archive", "segment", *capture, "offset")
     names = ["archive", "segment", "urlkey", "captured", "page_id", "offset", "length"]
     schema = pa.schema([("archive", pa.string()), ("segment", pa.int64()), ("urlkey", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("part", pa.int64()), ("at", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[tuple, list[dict]] = {}
+        runs: list[list[pa.RecordBatch]] = []
+        last = None
         for batch in batches:
-            for e in batch.to_pylist():
-                runs.setdefault((e["archive"], e["segment"]), []).append(e)
-        order = lambda e: (*capture_order(e), e["archive"], e["segment"], e["offset"])
-        for part in runs.values():
-            part.sort(key=order)  # a shuffle may have mixed its blocks; linear where it hasn't
+            of = list(zip(batch.column("archive").to_pylist(), batch.column("segment").to_pylist()))
+            starts = [i for i in range(len(of)) if i == 0 or of[i] != of[i - 1]]
+            for start, end in zip(starts, [*starts[1:], len(of)]):
+                if of[start] != last:
+                    runs.append([])
+                    last = of[start]
+                runs[-1].append(batch.slice(start, end - start))
         merged, part, count = [], TaskContext.get().partitionId(), 0
-        for e in LoserTree(list(runs.values()), order):
+        for e in LoserTree([_rows_of(r) for r in runs], lambda e: (*capture_order(e), e["archive"], e["segment"], e["offset"])):
             merged.append(e | {"part": part, "at": count})
             count += 1
             if len(merged) == 10_000:
@@ -209,7 +255,10 @@ def merge_index(archives: DataFrame) -> DataFrame:
 
 
 def warc_digest(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
-    """Writes all pages as records, reads the archives back, and gives each record its place among all captures."""
+    """Writes all pages as records, reads the archives back, and gives each record its place among all captures.
+
+    Nulls, ties and repeated ids are as decide_revisits() says; repeated rows have a record each; an empty table gives none.
+    """
     archives = written(write_archives(decide_revisits(pages, revisit_from)), "archives")
     order = merge_index(archives).select("archive", "segment", "offset", "urlkey", "captured", "position")
     records = read_archives(archives, with_payload=False).drop("payload")

@@ -1,6 +1,7 @@
 """Each training-data operator against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -350,6 +351,28 @@ def test_warc(spark):
     assert warc.warc_digest(df.filter("page_id < 0")).count() == 0
 
 
+def test_warc_order_does_not_depend_on_ranges(spark):
+    rows = [(i if i % 11 else None, f"http://h{i % 3 * (i % 5 > 0)}.example/p{i % 4}", "x" * (i % 50)) for i in range(400)]
+    rows += [(7, "http://h0.example/p3", "again")] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    archives = warc.written(warc.write_archives(warc.decide_revisits(df), 300), "archives")
+    assert archives.count() > 20  # many runs
+    want = sorted(({**e.asDict(), "archive": r["archive"], "segment": r["segment"]} for r in archives.collect() for e in r["run"]), key=lambda e: (*warc.capture_order(e), e["archive"], e["segment"], e["offset"]))
+    for in_range in (10, 10**6):
+        got = sorted(warc.merge_index(archives, in_range).collect(), key=lambda r: r["position"])
+        assert [r["position"] for r in got] == list(range(len(rows)))
+        assert [{k: r[k] for k in want[0]} for r in got] == want
+
+
+def test_archive_members():
+    parts = [b"", b"a" * 10, bytes(random.Random(1).randbytes(5 * warc.PIECE)), b"end"]
+    packed = [gzip.compress(p) for p in parts]
+    assert list(warc.members(b"".join(packed))) == [(sum(map(len, packed[:i])), p) for i, p in enumerate(parts)]
+    assert list(warc.members(b"")) == []
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.members(packed[2][:-9]))
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in range(9):
