@@ -36,22 +36,24 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, dist): the nodes of each path from a leaf up to its root, dist counted from the leaf.
 
     messages has tree, node and parent, (tree, node) unique and not null. A parent that isn't there counts as none.
-    Messages on a ring of replies, or under one, reach no root and have no path.
+    Messages on a ring of replies, or under one, reach no root and have no path: who has someone as many steps above as its
+    tree has messages is such a one, so a tree's rounds and rows are bounded by its own size.
     """
     nodes = messages.select("tree", "node", "parent")
+    sizes = nodes.groupBy("tree").agg(F.count("*").alias("most"))
     known = nodes.select("tree", F.col("node").alias("up"))
     jump = written(nodes.withColumnRenamed("parent", "up").join(known.withColumn("there", F.lit(True)), ["tree", "up"], "left").select("tree", "node", F.when(F.col("there"), F.col("up")).alias("up")), "jump")
     roots = jump.filter("up is null").select("tree", "node")
     parents = jump.filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
     paths = nodes.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist"))
-    reach, most = 1, max(1, nodes.count())
-    going = jump.filter("up is not null")  # who has someone so many steps above: fewer each round
-    while reach <= most and not going.isEmpty():
+    reach = 1
+    going = jump.filter("up is not null").join(sizes.filter(F.col("most") > 1), "tree")  # who has someone so many steps above: fewer each round
+    while not going.isEmpty():
         further = paths.join(going, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("dist") + reach).alias("dist"))
         paths = written(paths.unionByName(further), "paths")
         beyond = going.select("tree", F.col("node").alias("up"), F.col("up").alias("beyond"))
-        going = written(going.join(beyond, ["tree", "up"]).select("tree", "node", F.col("beyond").alias("up")), "jump")
         reach *= 2
+        going = written(going.filter(F.col("most") > reach).join(beyond, ["tree", "up"]).select("tree", "node", F.col("beyond").alias("up"), "most"), "jump")
     whole = paths.join(roots, ["tree", "node"], "left_semi").select("tree", "leaf").distinct()
     return paths.join(whole, ["tree", "leaf"], "left_semi")
 

@@ -239,6 +239,33 @@ def test_reply_trees(spark):
     assert [r["leaf"] for r in chat.format_paths(df, 1).collect()] == [2]
 
 
+def test_reply_paths_of_random_trees_and_rings(spark, monkeypatch):
+    rng, rows = random.Random(6), []
+    for tree in range(30):
+        n = rng.randint(1, 12)
+        for node in range(n):
+            rows.append((f"t{tree}", node, rng.choice([None, 99, *range(n)]) if tree % 3 == 0 else rng.choice([None, *range(node)])))
+    rows += [("hot", i, i - 1 if i else None) for i in range(40)] + [("alone", i, None) for i in range(500)]
+    rows += [("ring", 0, 2), ("ring", 1, 0), ("ring", 2, 1), ("ring", 3, 2)]
+    up = {(t, n): p for t, n, p in rows}
+    parents = {(t, p) for (t, _), p in up.items()}
+    want = set()
+    for t, n in up:
+        chain = [n]
+        while (p := up[t, chain[-1]]) is not None and (t, p) in up and p not in chain:
+            chain.append(p)
+        if (t, n) not in parents and (p is None or (t, p) not in up):
+            want |= {(t, n, node, i) for i, node in enumerate(chain)}
+    rounds = []
+    monkeypatch.setattr(chat, "written", lambda df, label, of=chat.written: rounds.append(label) or of(df, label))
+    df = spark.createDataFrame(rows, "tree string, node long, parent long").withColumn("up", F.lit(1)).withColumn("most", F.lit(1))
+    got = [tuple(r) for r in chat.reply_paths(df).select("tree", "leaf", "node", "dist").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert rounds.count("paths") == 6  # as the longest tree of 40 needs; the ring ends after two
+    rounds.clear()
+    assert chat.reply_paths(df.filter("tree = 'ring' or tree = 'alone'")).count() == 500 and rounds.count("paths") == 2
+
+
 # 5. toxicity
 
 
@@ -587,7 +614,9 @@ def test_flac_round_trip_and_damage():
 # 4, 8: no Python on the executors
 
 
-def test_native_plans(docs, spark):
-    conv = spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
-    for df in (pii.pii_digest(docs), pii.redact_pii(docs), chat.chat_digest(conv)):
+def test_native_plans(docs, spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(chat, "written", lambda df, label, of=chat.written: plans.append(df) or of(df, label))
+    conv = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "user", "ho")], "conv_id long, turn long, role string, text string").repartition(2)
+    for df in (pii.pii_digest(docs), pii.redact_pii(docs), chat.chat_digest(conv), *plans):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
