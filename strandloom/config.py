@@ -13,3 +13,4 @@ class Config:
     strategy: str = "bsize"
     text_compat: bool = False
     keep: bool = False
+    tables: str | None = None  # a folder that keeps each stage's table: a run begins after the stages found whole there

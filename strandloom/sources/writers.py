@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandloom.functions.links import gfa_signs
+from strandloom.functions.links import bubble_class, gfa_signs
 from strandloom.functions.sequences import wrapped
+from strandloom.operators import motifs
+from strandloom.operators.graph import components, node_ids
+from strandloom.shared import written
 
 
 def number(x: Column) -> Column:
@@ -51,9 +54,46 @@ def gml_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def bundled_gml(bundles: DataFrame, ids: DataFrame, cutoff: int) -> DataFrame:
     """All contigs of any bundle as nodes (contig, id), edges of bundles of cutoff links or more."""
     nodes = ids.select(F.col("id").cast("long"), F.col("contig").alias("label"), F.lit("FOW").alias("orientation"), F.lit(0).alias("length"))
+    return gml_rows(nodes, _edges(bundles.filter(F.col("bsize") >= cutoff), ids))
+
+
+def oriented_gml(orientation: DataFrame, contigs: DataFrame, links: DataFrame) -> DataFrame:
+    """Oriented contigs as nodes, numbered from 1 in order of name, valid links as edges; a contig of no known length has 0."""
+    ids = written(node_ids(orientation), "ids")
+    length = contigs.groupBy("contig").agg(F.max("length").alias("length"))
+    nodes = ids.join(orientation.select("contig", F.col("orient").alias("orientation")), "contig").join(length, "contig", "left")
+    nodes = nodes.select(F.col("id").cast("long"), F.col("contig").alias("label"), "orientation", F.coalesce("length", F.lit(0)).alias("length"))
+    return gml_rows(nodes, _edges(links, ids))
+
+
+def _edges(links: DataFrame, ids: DataFrame) -> DataFrame:
     name = lambda side, out: ids.select(F.col("contig").alias(side), F.col("id").cast("long").alias(out))
-    edges = bundles.filter(F.col("bsize") >= cutoff).join(name("a", "source"), "a").join(name("b", "target"), "b").select("source", "target", F.concat("oa", "ob").alias("orientation"), "mean", "stdev", "bsize")
-    return gml_rows(nodes, edges)
+    return links.join(name("a", "source"), "a").join(name("b", "target"), "b").select("source", "target", F.concat("oa", "ob").alias("orientation"), "mean", "stdev", "bsize")
+
+
+def invalidated_rows(orientation: DataFrame) -> DataFrame:
+    """contig and the last count of links that its orientation left invalid, for contigs that were counted."""
+    return tsv(orientation.filter("invalidated is not null").orderBy("contig"), "contig", "invalidated")
+
+
+def central_rows(found: DataFrame, rounds: int = 3) -> DataFrame:
+    """contig and score as high_centrality() gives them; each round repeats what earlier rounds found."""
+    again = found.select("contig", "score", "round", F.explode(F.sequence(F.col("round"), F.lit(rounds))).alias("again"))
+    return tsv(again.orderBy("again", "round", "contig"), "contig", "score")
+
+
+def listed(names: Column) -> Column:
+    """Names as a list in brackets and quotes; a quote or backslash within a name has a backslash before it."""
+    return F.concat(F.lit("["), F.array_join(F.transform(names, lambda n: F.concat(F.lit("'"), F.regexp_replace(n, r"([\\'])", r"\\$1"), F.lit("'"))), ", "), F.lit("]"))
+
+
+def motif_files(edges: DataFrame, bubbles: DataFrame) -> dict[str, DataFrame]:
+    """The rows of each motif file by its name: plasmids, bubbles of three, of four and of more members, and cycles."""
+    rings = components(edges).join(motifs.plasmids(edges).select("component"), "component", "left_semi")
+    rings = rings.groupBy("component").agg(F.sort_array(F.collect_list("contig")).alias("names")).orderBy("component")
+    kinds = bubbles.withColumn("kind", bubble_class(F.col("members")))
+    files = {f"{kind}_bubbles": bubble_rows(kinds.filter(F.col("kind") == kind)) for kind in ("three", "four", "complex")}
+    return {"plasmids": rings.select(listed(F.col("names")).alias("value")), **files, "cycles": motifs.cycle_basis(edges).select(listed(F.col("cycle")).alias("value"))}
 
 
 def gfa_rows(contigs: DataFrame, links: DataFrame) -> DataFrame:

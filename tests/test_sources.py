@@ -7,6 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.config import Config
 from strandloom.functions import links as fl, sequences as fs
 from strandloom.operators import bundle, pairs, repeats
 from strandloom.plans import scaffold
@@ -133,7 +134,7 @@ def test_pairs_and_bubbles_files(spark, tmp_path):
     assert writers.bubble_rows(rows).first()[0] == "s\tt\ts\tt\ta\t"
 
 
-def test_whole_run(spark, tmp_path):
+def test_whole_run(spark, tmp_path, monkeypatch):
     rng = random.Random(1)
     names = ["c1", "c2", "c3", "c4"]
     fasta = "".join(f">{n}\n{''.join(rng.choice('ACGT') for _ in range(1000))}\n" for n in names)
@@ -143,10 +144,35 @@ def test_whole_run(spark, tmp_path):
     for k, (a, b) in enumerate([("c1", "c2"), ("c2", "c3")]):
         for i in range(5):
             bed += [f"{a} {880 + i} {980 + i} x{k}{i}/1 60 +", f"{b} {10 + i} {110 + i} x{k}{i}/2 60 -"]
-    out = scaffold.run(readers.read_bed(spark, put(tmp_path, "m.bed", "\n".join(bed) + "\n")), readers.read_fasta(spark, put(tmp_path, "a.fa", fasta)))
+    inputs = readers.read_bed(spark, put(tmp_path, "m.bed", "\n".join(bed) + "\n")), readers.read_fasta(spark, put(tmp_path, "a.fa", fasta))
+    config = Config(tables=str(tmp_path / "tables"))
+    out = scaffold.run(*inputs, config)
     agp = [tuple(r) for r in out["agp"].orderBy("scaffold", "part").select("scaffold", "part", "contig").collect()]
     assert agp == [("scaffold_1", 0, "c1"), ("scaffold_1", 1, "c2"), ("scaffold_1", 2, "c3"), ("scaffold_2", 1, "c4")]
     assert {r["scaffold"]: len(r["seq"]) for r in out["scaffolds"].collect()} == {"scaffold_1": 3200, "scaffold_2": 1000}
+    files = {name: [r["value"] for r in rows.collect()] for name, rows in scaffold.kept_files(out, config).items()}
+    assert files["seppairs"] == files["repeats"] == files["high_centrality"] == []
+    assert files["invalidated_counts"] == ["c1\t0", "c2\t0", "c3\t0"]
+    assert [len(files[n]) for n in ("bundled_graph.gml", "oriented.gml")] == [7, 7]
+    writers.save(scaffold.writers.oriented_gml(out["orientation"], out["contigs"], out["oriented"]), str(tmp_path / "o"), one_file=True)
+    nodes, edges = readers.read_gml(spark, str(tmp_path / "o"))
+    assert sorted((r["label"], r["length"]) for r in nodes.collect()) == [("c1", 1000), ("c2", 1000), ("c3", 1000)]
+    assert [tuple(r)[-1] for r in edges.collect()] == [5, 5]
+    # a second run goes on after the stages that are whole
+    (tmp_path / "tables" / "agp" / "_SUCCESS").unlink()
+    monkeypatch.setattr(scaffold.orient, "orient_contigs", None)
+    assert scaffold.run(*inputs, config)["agp"].count() == 4
+
+
+def test_motif_and_centrality_files(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x'", "y"), ("y", "z")], "a string, b string")
+    found = spark.createDataFrame([("c", "s", "t", ["s", "t", "a"]), ("c", "u", "v", list("uvabc"))], "component string, source string, sink string, members array<string>")
+    files = {name: [r["value"] for r in rows.collect()] for name, rows in writers.motif_files(edges, found).items()}
+    assert files == {"plasmids": ["['a', 'b', 'c']"], "three_bubbles": ["s\tt\ts\tt\ta\t"], "four_bubbles": [], "complex_bubbles": ["u\tv\tu\tv\ta\tb\tc\t"], "cycles": files["cycles"]}
+    assert len(files["cycles"]) == 1 and sorted(files["cycles"][0]) == sorted("['a', 'b', 'c']")
+    assert spark.range(1).select(writers.listed(F.array(F.lit("x'"), F.lit("\\")))).first()[0] == r"['x\'', '\\']"
+    central = spark.createDataFrame([("k", 0.5, 1), ("j", 0.25, 2)], "contig string, score double, round int")
+    assert [r["value"] for r in writers.central_rows(central).collect()] == ["k\t0.5", "k\t0.5", "j\t0.25", "k\t0.5", "j\t0.25"]
 
 
 def test_mates_in_a_stream(spark, tmp_path):
