@@ -121,6 +121,21 @@ def k03(spark, sf):
     return graph.node_ids(graph.nodes(bundle.bundle_all(_links(spark, sf)))).select(F.col("id").cast("long").alias("id"), "contig")
 
 
+@query(
+    "k03_bundled_gml",
+    SQL
+    + r""", ids as (select row_number() over (order by contig) as id, contig from (select a as contig from bundles union select b from bundles union select a from links union select b from links))
+select 'graph [' || chr(10) || ' directed 1' as value
+union all select 'node [' || chr(10) || ' id ' || id || chr(10) || ' label "' || contig || '"' || chr(10) || ' orientation "FOW"' || chr(10) || ' length "0"' || chr(10) || ']' from ids
+union all select 'edge [' || chr(10) || ' source ' || x.id || chr(10) || ' target ' || y.id || chr(10) || ' orientation "' || oa || ob || '"' || chr(10) || ' mean "' || printf('%.6g', mean) || '"' || chr(10) || ' stdev ' || printf('%.6g', stdev) || chr(10) || ' bsize ' || bsize || chr(10) || ']'
+    from bundled join ids x on x.contig = a join ids y on y.contig = b
+union all select ']'""",
+)
+def k03_gml(spark, sf):
+    every = written(bundle.bundle_all(_links(spark, sf)), "bundles")
+    return writers.bundled_gml(every, graph.node_ids(graph.nodes(every)), Config().min_bundle)
+
+
 @query("a09_degree", SQL + "select contig, degree from deg")
 def a09(spark, sf):
     return graph.degrees(_bundled(spark, sf))
@@ -277,6 +292,24 @@ def g22(spark, sf):
     return motifs.plasmids(derived.event_edges(spark, sf))
 
 
+_RINGS = """
+with s as (
+    select s_nationkey, 'p' || s_suppkey as a, 'p' || lead(s_suppkey) over w as b, 'p' || first_value(s_suppkey) over w as first from supplier window w as (partition by s_nationkey order by s_suppkey)
+), edges as (select s_nationkey, a, coalesce(b, first) as b from s where (b is not null or s_nationkey % 2 = 0) and a <> coalesce(b, first))"""
+
+
+@query("k17_plasmid_rows", _RINGS + " select '[' || string_agg(chr(39) || a || chr(39), ', ' order by a) || ']' as value from edges where s_nationkey % 2 = 0 group by s_nationkey")
+def k17(spark, sf):
+    """Suppliers of a nation in a chain, which an even nation closes to a ring."""
+    own = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    name = lambda key: F.concat(F.lit("p"), key.cast("string"))
+    key, after, first = F.col("s_suppkey"), F.lead("s_suppkey").over(own), F.first("s_suppkey").over(own)
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").select("s_nationkey", name(key).alias("a"), name(after).alias("after"), name(first).alias("first"))
+    edges = rows.filter("after is not null or s_nationkey % 2 = 0").select("a", F.coalesce("after", "first").alias("b")).filter("a != b")
+    none = spark.createDataFrame([], "component string, source string, sink string, members array<string>")
+    return writers.motif_files(edges, none)["plasmids"]
+
+
 @query("g23_tandem", SQL + _NODE_COV + " select x.contig from io x join edges p on p.b = x.contig join edges q on q.a = x.contig join cov2 cx on cx.contig = x.contig join cov2 cp on cp.contig = p.a join cov2 cq on cq.contig = q.b where n_in = 1 and n_out = 1 and cx.coverage >= 1.5 * cp.coverage and cx.coverage >= 1.5 * cq.coverage")
 def g23(spark, sf):
     return motifs.tandem_repeats(derived.event_edges(spark, sf), _visits(spark, sf))
