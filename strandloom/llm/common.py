@@ -30,6 +30,14 @@ def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """wanted, with underscores behind it until no column of df has that name; Spark's names don't tell cases apart."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def text_or_empty(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

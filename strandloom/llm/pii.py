@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandloom.llm.common import text_or_empty
+from strandloom.llm.common import free_name, text_or_empty
 
 #: Fixed values. A match can only start where its run of characters starts, or where the last match ended: with that said in the
 #: pattern, and with possessive runs, matching is linear in the text and finds what the plain greedy patterns find.
@@ -93,9 +93,8 @@ def _placed(items: Column, kind_of_items: str, next_pos, keep, made) -> Column:
     return F.aggregate(items, start, step, lambda a: F.flatten(F.concat(a["out"], F.array(a["part"]))))
 
 
-def _spans(kind: str) -> Column:
-    """Of columns hits_<kind> and gaps_<kind> (the text before, between and after the hits): confirmed spans with code point offsets."""
-    hits, gaps = F.col(f"hits_{kind}"), F.col(f"gaps_{kind}")
+def _spans(kind: str, hits: Column, gaps: Column) -> Column:
+    """Of the hits and the gaps (the text before, between and after them): confirmed spans with code point offsets."""
     items = F.transform(
         F.sequence(F.lit(0), F.size(hits) - 1),
         lambda i: F.struct(i.cast("int").alias("i"), F.length(gaps[i]).alias("gap"), F.length(hits[i]).alias("hit"), F.coalesce(_confirmed(kind, hits[i]), F.lit(False)).alias("sure")),
@@ -118,31 +117,35 @@ def _spans(kind: str) -> Column:
     return F.when(F.size(hits) > 0, F.transform(sure, span)).otherwise(none)
 
 
-def find_pii(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
-    """Adds pii: array<struct<kind, start, end, value, score>>, by kind and then start; offsets in code points, end exclusive.
+def find_pii(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, kinds: tuple[str, ...] = tuple(PATTERNS), into: str = "pii") -> DataFrame:
+    """Adds pii (or what into names): array<struct<kind, start, end, value, score>>, by kind and then start; offsets in code points, end exclusive.
 
     A null text counts as empty and has no spans; whole texts are searched, whatever their length. Each row stands for
     itself: repeated rows give repeated results, an empty table an empty one. keep names the columns that stay beside
-    the new ones (all, if not given); an own column called pii is replaced.
+    the new one (all, if not given); an own column of its name is replaced, others stay as they are, whatever their names.
     """
-    stay = [c for c in (keep if keep is not None else df.columns) if c != "pii"]
-    text = F.col("__text")
-    out = df.select(*[F.col(f"`{c}`") for c in stay], text_or_empty(f"`{text_col}`").alias("__text"))
+    stay = [c for c in (keep if keep is not None else df.columns) if c.lower() != into.lower()]
+    own = [F.col(f"`{c}`") for c in stay]
+    whole = free_name(df, "__text")
+    hits, gaps = ({k: free_name(df, f"__{x}_{k}") for k in kinds} for x in ("hits", "gaps"))
+    text = F.col(f"`{whole}`")
+    out = df.select(*own, text_or_empty(f"`{text_col}`").alias(whole))
     out = out.select(
         "*",
-        *[F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0)).alias(f"hits_{k}") for k in kinds],
-        *[F.split(text, PATTERNS[k], -1).alias(f"gaps_{k}") for k in kinds],
+        *[F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0)).alias(hits[k]) for k in kinds],
+        *[F.split(text, PATTERNS[k], -1).alias(gaps[k]) for k in kinds],
     )
-    return out.select(*[F.col(f"`{c}`") for c in stay], F.concat(*[_spans(k) for k in kinds]).alias("pii"))
+    return out.select(*own, F.concat(*[_spans(k, F.col(f"`{hits[k]}`"), F.col(f"`{gaps[k]}`")) for k in kinds]).alias(into))
 
 
 def redact_pii(df: DataFrame, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
     """The columns of df, with each span in the text replaced by its kind in brackets; overlapping spans count as the first of them.
 
-    A null text stays null; a text without spans stays as it is.
+    A null text stays null; a text without spans stays as it is, and so do all other columns, whatever their names.
     """
-    text, chunks = F.col(f"`{text_col}`"), F.col("__chunks")
-    found = find_pii(df, text_col).withColumn("__chunks", F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+    spans_name, chunks_name = free_name(df, "__spans"), free_name(df, "__chunks")
+    text, chunks, pii = F.col(f"`{text_col}`"), F.col(f"`{chunks_name}`"), F.col(f"`{spans_name}`")
+    found = find_pii(df, text_col, into=spans_name).withColumn(chunks_name, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
 
     def part(start: Column, end: Column | None) -> Column:
         """The text from start to end, taken from the chunks that hold it: a substring of the whole text would count all its characters."""
@@ -151,13 +154,13 @@ def redact_pii(df: DataFrame, text_col: str = "text", least_score: float = 0.0)
         held = F.array_join(F.slice(chunks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
         return held.substr(start - first * CHUNK + 1, F.length(held) if end is None else end - start)
 
-    spans = F.array_sort(F.transform(F.filter("pii", lambda s: s["score"] >= least_score), lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    spans = F.array_sort(F.transform(F.filter(pii, lambda s: s["score"] >= least_score), lambda s: F.struct(s["start"], s["end"], s["kind"])))
     piece = lambda pos, s: F.struct(pos.alias("pos"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     kept = _placed(spans, "struct<pos:int,start:int,end:int,kind:string>", lambda pos, s: F.greatest(pos, s["end"]), lambda pos, s: s["start"] >= pos, piece)
     before = F.transform(kept, lambda k: F.concat(part(k["pos"], k["start"]), F.lit("["), F.upper(k["kind"]), F.lit("]")))
-    last = F.array_max(F.transform("pii", lambda s: F.when(s["score"] >= least_score, s["end"]).otherwise(0)))
+    last = F.array_max(F.transform(pii, lambda s: F.when(s["score"] >= least_score, s["end"]).otherwise(0)))
     done = F.concat(F.array_join(before, ""), part(last, None))
-    return found.select(*[(F.when(F.size("pii") > 0, done).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")) for c in df.columns])
+    return found.select(*[(F.when(F.size(pii) > 0, done).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")) for c in df.columns])
 
 
 def pii_digest(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.llm.common import by_bytes, record_batch, text_or_empty, written
+from strandloom.llm.common import by_bytes, free_name, record_batch, text_or_empty, written
 from strandloom.llm.components import connected_components
 
 SEED = 42
@@ -374,21 +374,26 @@ def keep_one(df: DataFrame, words: int = 5, radius: int = 28, similarity: float
 
     Two texts are linked if their sets of shingles have that Jaccard similarity or more. Fingerprints and minima only find the
     candidates: at a similarity of 0.8, a pair has fingerprints over 28 bits apart less than once in 100,000. Texts without words are one group, a null text is one. A null id is the smallest. Rows that repeat an id and
-    a text stand or fall together. All columns stay; an empty table gives an empty one.
+    a text stand or fall together. All columns stay, whatever their names; an empty table gives an empty one.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    signs = written(signatures(df.withColumn("__key", key), words, text_col, "__key"), "signatures")
+    name = free_name(df, "__key")
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
+    signs = written(signatures(df.withColumn(name, key), words, text_col, name), "signatures")
     distinct = written(signs.groupBy("own").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "distinct")
     candidates = written(connected_components(candidate_links(distinct, radius, similarity)), "candidates")
-    least = distinct.join(candidates.select(F.col("id").alias("own")), "own").select(F.col("least").alias("__key")).distinct()
-    sets = shingle_sets(df.withColumn("__key", key).join(least, "__key", "left_semi"), words, text_col)
+    least = distinct.join(candidates.select(F.col("id").alias("own")), "own").select(F.col("least").alias(name)).distinct()
+    sets = shingle_sets(df.withColumn(name, key).join(least, name, "left_semi"), words, text_col)
     sets = written(sets.join(candidates.select(F.col("id").alias("own")), "own", "left_semi").groupBy("own").agg(F.first("kinds").alias("kinds")), "sets")
     found = connected_components(exact_links(distinct, candidates, sets, similarity)).withColumnRenamed("id", "own")
     joined = distinct.select("own", "least").join(found, "own", "left").withColumn("component", F.coalesce("component", "own"))
-    keepers = joined.groupBy("component").agg(F.min("least").alias("__key")).select("__key").distinct()
-    return df.withColumn("__key", key).join(keepers, "__key", "left_semi").drop("__key")
+    keepers = joined.groupBy("component").agg(F.min("least").alias(name)).select(name).distinct()
+    return df.withColumn(name, key).join(keepers, name, "left_semi").drop(name)
 
 
 def simhash_digest(documents: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row, linked at four bits over shingles of four words.
+
+    A null text counts as empty and has the fingerprint zero, as any text without words; null ids are as in near_duplicates(); an empty table gives an empty one.
+    """
     out = near_duplicates(documents, words=4, radius=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -26,7 +26,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandloom.llm.common import by_bytes, record_batch, text_or_empty, written
+from strandloom.llm.common import by_bytes, free_name, record_batch, text_or_empty, written
 
 SPAN = 100
 GRAM = 32
@@ -205,7 +205,7 @@ def packed(documents: DataFrame) -> DataFrame:
 
 
 def phrase_texts(documents: DataFrame, shared: DataFrame) -> DataFrame:
-    """The shared phrases with their bytes: h, doc, own, at, bytes. Each text is opened once for all its phrases.
+    """The shared phrases with their bytes: h, doc, own, at, bytes. Each text is opened once for all its phrases; of no phrases come no rows.
 
     The join shuffles at any size: so no task runs two Python workers, one after the other's rows.
     """
@@ -266,7 +266,7 @@ def shard_repeats(doc: np.ndarray, own: np.ndarray, at: np.ndarray, texts: list[
 
 
 def shared_repeats(texts: DataFrame) -> DataFrame:
-    """(doc, own, start, stop): repeats between the phrases of each trigger. A task sorts the suffixes of a few triggers' phrases at a time."""
+    """(doc, own, start, stop): repeats between the phrases of each trigger. A task sorts the suffixes of a few triggers' phrases at a time. Nothing in texts is null; an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -294,7 +294,7 @@ def shared_repeats(texts: DataFrame) -> DataFrame:
 
 
 def hot_repeats(texts: DataFrame) -> DataFrame:
-    """The same for triggers with too many phrases for a task: their windows are dealt out by a hash of 128 bits of each window."""
+    """The same for triggers with too many phrases for a task: their windows are dealt out by a hash of 128 bits of each window. Nothing in texts is null; an empty table gives an empty one."""
     schema = pa.schema([("w", pa.binary()), *_KEYS, ("start", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +394,9 @@ def with_repeats_removed(documents: DataFrame, text_col: str = "text", id_col: s
     """documents with the repeats taken out of the text; n_chars, if there is one, counts what is left.
 
     A null text stays null. What is left of a character that a cut went through goes too. Repeats are as in remove_repeats().
+    All other columns stay as they are, whatever their names; an empty table gives an empty one.
     """
+    names = [free_name(documents, n) for n in ("__doc", "__own", "__ranges")]
     doc, own = _known(F.col(f"`{id_col}`"), text_or_empty(f"`{text_col}`"))
     text = F.col(f"`{text_col}`")
 
@@ -402,8 +404,8 @@ def with_repeats_removed(documents: DataFrame, text_col: str = "text", id_col: s
     def rest(texts: pd.Series, ranges: pd.Series) -> pd.Series:
         return pd.Series([t if r is None or t is None else _rest(t.encode(), _merged(r)).decode("utf-8", "ignore") for t, r in zip(texts, ranges)], dtype="object")
 
-    of = _ranges_of(_prepared(documents, text_col, id_col)).select(F.col("doc").alias("__doc"), F.col("own").alias("__own"), F.col("ranges").alias("__ranges")).hint("merge")
-    joined = documents.withColumn("__doc", doc).withColumn("__own", own).join(of, ["__doc", "__own"], "left").withColumn(text_col, rest(text, "__ranges"))
+    of = _ranges_of(_prepared(documents, text_col, id_col)).select(*[F.col(c).alias(n) for c, n in zip(("doc", "own", "ranges"), names)]).hint("merge")
+    joined = documents.withColumn(names[0], doc).withColumn(names[1], own).join(of, names[:2], "left").withColumn(text_col, rest(text, F.col(names[2])))
     if "n_chars" in documents.columns:
         joined = joined.withColumn("n_chars", F.length(text).cast("long"))
     return joined.select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.llm.common import by_bytes, record_batch, text_or_empty, written
+from strandloom.llm.common import by_bytes, free_name, record_batch, text_or_empty, written
 
 #: Insults that need no mining.
 LEXICON = (
@@ -182,14 +182,15 @@ def features(found: dict[int, int], words: int, strengths: np.ndarray) -> np.nda
     return row
 
 
-def fit(labelled: DataFrame, sample: DataFrame) -> ToxicityModel:
+def fit(labelled: DataFrame, sample: DataFrame, most_voters: int = MOST_VOTERS) -> ToxicityModel:
     """A model from all labelled rows (text, toxic 0 or 1) and the bounded sample of them that labelled_rows() gives.
 
+    The lexicon and most_voters mined patterns at most, the strongest, vote: the number of a model's weights is so a choice of the caller.
     Voters are mined over all rows; the label model and the classifier are fitted on the sample. Labels choose the voters, give the
     prior and are one voter of the label model; the classifier sees posteriors only. Without toxic or without other rows (an
     empty table is such a case) the lexicon alone votes, each word with the same weight.
     """
-    mined = mine_voters(labelled)
+    mined = mine_voters(labelled, most_voters)
     voters = tuple(dict.fromkeys([*LEXICON, *(p for p, _ in mined)]))
     schema = pa.schema([("toxic", pa.int32()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("words", pa.int64())])
 
@@ -243,15 +244,21 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text",
     return df.select(*keep, text_or_empty(text_col).alias("__text")).mapInArrow(run, ddl)
 
 
-def with_score(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """All columns of df, and __score; a null text counts as empty, an empty table gives an empty one."""
+def with_score(df: DataFrame, model: ToxicityModel, text_col: str = "text", into: str = "__score") -> DataFrame:
+    """All columns of df, and the score in the column that into names, which replaces an own one of that name; a null text counts as empty, an empty table gives an empty one."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         weights, strong = np.array(model.weights), np.array(model.strengths)
         return pd.Series([_score(t or "", model, weights, strong) for t in texts], dtype="float64")
 
-    return df.withColumn("__score", score(F.col(text_col).cast("string")))
+    return df.withColumn(into, score(F.col(f"`{text_col}`").cast("string")))
+
+
+def without_toxic(df: DataFrame, model: ToxicityModel, text_col: str = "text", below: float = 0.5) -> DataFrame:
+    """The rows of df whose text scores below that, with all their columns as they are, whatever their names."""
+    name = free_name(df, "__score")
+    return with_score(df, model, text_col, name).filter(F.col(name) < below).drop(name)
 
 
 def labelled_rows(documents: DataFrame, labels: DataFrame, held_out: bool = True, rows_for_fit: int = ROWS_FOR_FIT) -> tuple[DataFrame, DataFrame]:
@@ -272,9 +279,9 @@ def labelled_rows(documents: DataFrame, labels: DataFrame, held_out: bool = True
     return rows, written(texts.join(F.broadcast(sample), "key").select("text", "toxic"), "labelled")
 
 
-def toxicity_digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document; a null id is not held out, a null text is scored as an empty one."""
-    model = fit(*labelled_rows(documents, labels))
+def toxicity_digest(documents: DataFrame, labels: DataFrame, most_voters: int = MOST_VOTERS) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; a null id is not held out, a null text is scored as an empty one. most_voters is as in fit()."""
+    model = fit(*labelled_rows(documents, labels), most_voters)
     scored = score_toxicity(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     return scored.select(
         "doc_id",

@@ -620,3 +620,124 @@ def test_native_plans(docs, spark, monkeypatch):
     conv = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "user", "ho")], "conv_id long, turn long, role string, text string").repartition(2)
     for df in (pii.pii_digest(docs), pii.redact_pii(docs), chat.chat_digest(conv), *plans):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+# Extra columns whose names clash with the operators' own
+
+
+def clashing(spark, names):
+    """Documents with personal data, a repeated passage, near copies and a toxic text, and further columns of these names."""
+    rng = random.Random(21)
+    passage = " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(40))
+    texts = [f"write to me{i}@example.org or 10.0.0.{i} {passage if i < 2 else ''} " + " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(5)) for _ in range(60)) for i in range(8)]
+    rows = [(i, t, *[f"{n}-{i}" for n in names]) for i, t in enumerate([*texts, texts[3] + " more", None])]
+    return spark.createDataFrame(rows, "doc_id long, text string" + "".join(f", `{n}` string" for n in names))
+
+
+def kept(df, names):
+    rows = by_id(df)
+    assert all(r[n] == f"{n}-{i}" for i, r in rows.items() for n in names)
+    return rows
+
+
+CLASHES = {
+    "pii": [f"{x}_{k}" for x in ("hits", "gaps", "__hits", "__gaps") for k in ("email", "phone")] + ["__text", "__chunks", "__SPANS", "pii"],
+    "suffix": ["__ranges", "__doc", "__own", "__Text", "ranges", "doc", "own", "z", "h"],
+    "keep": ["__key", "__Key_", "own", "least", "fp", "keys", "component", "a", "b"],
+    "score": ["__score", "__SCORE_", "score"],
+}
+
+
+def test_pii_beside_clashing_columns(spark):
+    names = CLASHES["pii"]
+    df = clashing(spark, names)
+    got = kept(pii.find_pii(df, into="found"), names)
+    assert [s["kind"] for s in got[4]["found"]] == ["email", "ip"] and got[9]["found"] == []
+    out = pii.redact_pii(df)
+    assert out.columns == df.columns
+    got = kept(out, names)
+    assert got[4]["text"].startswith("write to [EMAIL] or [IP]") and got[9]["text"] is None
+
+
+def test_repeats_removed_beside_clashing_columns(spark):
+    names = CLASHES["suffix"]
+    df = clashing(spark, names)
+    out = suffix_dedup.with_repeats_removed(df)
+    assert out.columns == df.columns
+    got, before = kept(out, names), by_id(df)
+    removed = removed_by_force([(i, (r["text"] or "").encode()) for i, r in before.items()])
+    assert {i: sha(r["text"] or "") for i, r in got.items()} == {i: x[-1] for i, x in removed.items()}
+    assert len(got[1]["text"]) < len(before[1]["text"]) and got[9]["text"] is None
+
+
+def test_keep_one_beside_clashing_columns(spark):
+    names = CLASHES["keep"]
+    df = clashing(spark, names)
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted(kept(out, names)) == [*range(8), 9]
+
+
+def test_scores_beside_clashing_columns(spark):
+    names = CLASHES["score"]
+    df = clashing(spark, names)
+    model = toxicity.ToxicityModel(("idiot",), (1.0,), (2.0,), 1.0, -2.5)
+    out = toxicity.without_toxic(df.unionByName(df.filter("doc_id = 5").withColumn("text", F.lit("idiot " * 9)).withColumn("doc_id", F.lit(50).cast("long"))), model)
+    assert out.columns == df.columns
+    assert sorted(kept(out, names)) == list(range(10))
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    rows = [(5, "one two three four five six"), (5, "one two three four five six"), (None, "one two three four five six"), (None, "quite another text that stands alone here"), (2, "ONE two three four five six"), (9, None), (8, "")]
+    got = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([(5, 2), (5, 2), (None, 2), (None, None), (2, 2), (9, 8), (8, 8)], key=repr)
+
+
+def test_number_of_voters_is_the_callers(spark):
+    rows = [(i, ("vile " if i % 4 == 0 else "calm ") + f"word{i % 5} text{i % 3}", int(i % 4 == 0)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    parts = toxicity.labelled_rows(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), held_out=False)
+    assert len(toxicity.fit(*parts, most_voters=1).voters) <= len(toxicity.LEXICON) + 1 < len(toxicity.fit(*parts).voters)
+
+
+def near_by_force(sets, similarity=0.8):
+    """All pairs of different sets at that Jaccard similarity: only the rarest few shingles of a set need be looked up, as sets that share none of them can't reach it."""
+    count = {}
+    for s in sets.values():
+        for x in s:
+            count[x] = count.get(x, 0) + 1
+    at, pairs = {}, set()
+    for i, s in sets.items():
+        rare = sorted(s, key=lambda x: (count[x], x))[: len(s) - -(-len(s) * 4 // 5) + 1]
+        for j in {j for x in rare for j in at.get(x, ())}:
+            both = len(s & sets[j])
+            if both >= similarity * (len(s) + len(sets[j]) - both):
+                pairs.add((j, i))
+        for x in rare:
+            at.setdefault(x, []).append(i)
+    return pairs
+
+
+def test_keep_one_recall_on_the_given_documents(spark):
+    """Recall and precision 1 against exact similarity over the 10,000 documents of sf0.1, near and exact copies alike."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sets, same = {}, {}
+    for r in docs.select("doc_id", "text").orderBy("doc_id").collect():
+        words = [w for w in re.split("[ \t-\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"] or "")) if w]
+        key = frozenset(" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))) if words else frozenset()
+        same.setdefault(key, []).append(r["doc_id"])
+    for key, ids in same.items():
+        sets[ids[0]] = key
+    near = near_by_force(sets)
+    assert len(near) > 40
+    top = {i: i for i in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in near:
+        x, y = sorted((find(a), find(b)))
+        top[y] = x
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect()) == sorted({find(i) for i in sets})
