@@ -13,7 +13,7 @@ from strandloom.llm.common import shared_dir, table
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity model rejects; it learns from all labels of the documents at hand."""
     model = toxicity.fit(*toxicity.labelled_rows(docs, table(spark, sf_dir, "labels"), held_out=False))
-    return toxicity.with_score(docs, model).filter(F.col("__score") < 0.5).drop("__score")
+    return toxicity.without_toxic(docs, model)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
