@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import gzip
-import io
-import struct
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from strandloom.functions.sequences import first_token, tokens
 from strandloom.shared import written
+from strandloom.sources.bam import read_bam  # noqa: F401
+from strandloom.sources.ordered import ordered_text
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (in the order of the files' lines) and f, the fields."""
-    rows = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    """line_no (in the order of the files' names and their lines) and f, the fields."""
+    rows = ordered_text(spark, path)
     return rows.select("line_no", tokens(F.col("value")).alias("f")).filter("f[0] != ''")
 
 
@@ -82,7 +78,7 @@ def undirected_simple(links: DataFrame) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """contig and seq. A record is what stands between two > that begin a line; of repeated names the last record stands."""
-    rows = spark.read.option("lineSep", "\n>").text(path).withColumn("line_no", F.monotonically_increasing_id()).filter("trim(value) != ''")
+    rows = ordered_text(spark, path, lineSep="\n>").filter("trim(value) != ''")
     body = F.regexp_replace(F.col("value"), "^>", "")
     header = F.split(body, "\r?\n", 2)
     rows = rows.select("line_no", first_token(header[0]).alias("contig"), F.regexp_replace(F.coalesce(F.get(header, F.lit(1)), F.lit("")), r"\s", "").alias("seq"))
@@ -125,48 +121,3 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_bubbles(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).select(F.col("f")[0].alias("source"), F.col("f")[1].alias("sink"), F.slice("f", 3, F.greatest(F.size("f") - 2, F.lit(0))).alias("members"))
-
-
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of BAM files as BED rows: one file a task, read block by block as a stream.
-
-    start counts from 0; end is start plus the bases that the CIGAR spends on the reference. Unmapped reads are left out;
-    a mate's number becomes the name's suffix /1 or /2.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    schema = pa.schema([("contig", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("read", pa.string()), ("mapq", pa.int32()), ("strand", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content").to_pylist():
-                rows: list[dict] = []
-                for row in bam_rows(content):
-                    rows.append(row)
-                    if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return files.mapInArrow(run, "contig string, start int, end int, read string, mapq int, strand string").withColumn("line_no", F.monotonically_increasing_id())
-
-
-def bam_rows(content: bytes) -> Iterator[dict]:
-    f = gzip.GzipFile(fileobj=io.BytesIO(content))
-    take = lambda fmt: struct.unpack("<" + fmt, f.read(struct.calcsize("<" + fmt)))
-    if f.read(4) != b"BAM\1":
-        raise ValueError("not a BAM file")
-    f.read(take("i")[0])
-    names = []
-    for _ in range(take("i")[0]):
-        names.append(f.read(take("i")[0])[:-1].decode())
-        f.read(4)
-    while head := f.read(4):
-        block = f.read(struct.unpack("<i", head)[0])
-        ref, pos, name_len, mapq, _, n_cigar, flag = struct.unpack_from("<iiBBHHH", block)
-        if flag & 4 or ref < 0:
-            continue
-        name = block[32 : 32 + name_len - 1].decode()
-        cigar = struct.unpack_from(f"<{n_cigar}I", block, 32 + name_len)
-        span = sum(c >> 4 for c in cigar if c & 15 in (0, 2, 3, 7, 8))
-        suffix = "/1" if flag & 64 else "/2" if flag & 128 else ""
-        yield {"contig": names[ref], "start": pos, "end": pos + span, "read": name + suffix, "mapq": mapq, "strand": "-" if flag & 16 else "+"}
