@@ -5,8 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from strandloom.operators import tour
 from strandloom.operators.graph import components
-from strandloom.schemas import BLOCKS, PAIRS
+from strandloom.schemas import BLOCKS
+from strandloom.shared import written
 
 
 def biconnected(adjacency: dict[str, list[str]]) -> list[set[str]]:
@@ -65,47 +67,59 @@ def _adjacency(pdf: pd.DataFrame) -> dict[str, list[str]]:
     return {u: sorted(vs) for u, vs in out.items()}
 
 
-def _by_component(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").distinct().join(components(edges).withColumnRenamed("contig", "a"), "a")
+#: Edges of a component that one task searches at most; the blocks of larger ones come from an Euler tour, in many tasks.
+MOST_IN_TASK = 100_000
 
 
-def blocks(edges: DataFrame) -> DataFrame:
-    """component, block (numbered by smallest members) and its members; single nodes are no block."""
+def blocks(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """component, block (numbered by smallest members) and its members; single nodes are no block.
+
+    Components of most edges or fewer are searched depth-first in a task each. Larger ones go through tour.block_members(),
+    whose rounds are joins: the result is the same, but no task holds a component.
+    """
+    most = MOST_IN_TASK if most is None else most
+    plain = edges.select("a", "b").filter("a != b").distinct()
+    parts = written(plain.join(components(edges).withColumnRenamed("contig", "a"), "a"), "parts")
+    large = written(parts.groupBy("component").count().filter(F.col("count") > most).select("component"), "large")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = sorted(sorted(b) for b in biconnected(_adjacency(pdf)))
         return pd.DataFrame([(pdf["component"].iloc[0], i, m) for i, m in enumerate(found)], columns=["component", "block", "members"])
 
-    return _by_component(edges).groupBy("component").applyInPandas(run, BLOCKS)
+    small = parts.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, BLOCKS)
+    if large.isEmpty():
+        return small
+    found = tour.block_members(parts.join(large, "component", "left_semi"))
+    found = found.groupBy("component", "key").agg(F.sort_array(F.collect_list("node")).alias("members")).drop("key")
+    order = written(tour.numbered(found, ["component", "members"], "place"), "order")
+    first = order.groupBy("component").agg(F.min("place").alias("first"))
+    return small.unionByName(order.join(first, "component").select("component", (F.col("place") - F.col("first")).cast("int").alias("block"), "members"))
 
 
-def separation_pairs(edges: DataFrame) -> DataFrame:
-    """component, block, pair, u, v, members: for each block its two cut nodes, if it has exactly two, and then in order of name each pair whose
-    removal parts a block of more than two edges. members are the whole block's nodes."""
+def split_pairs(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """component, block, pair, u, v of the blocks given: for each block its two cut nodes, if it has exactly two, and then in order of name each
+    pair whose removal parts a block of more than two edges. One task searches a block, so that a component of many blocks is many tasks' work."""
+    member = written(of.select("component", "block", F.explode("members").alias("node")), "members")
+    cut = member.groupBy("component", "node").agg(F.count("*").alias("n")).filter("n > 1").select("component", "node", F.lit(True).alias("cut"))
+    own = member.join(cut, ["component", "node"]).groupBy("component", "block").agg(F.sort_array(F.collect_list("node")).alias("cuts"))
+    rows = block_edges(edges.select("a", "b").filter("a != b").distinct(), of).join(own, ["component", "block"], "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        adjacency = _adjacency(pdf)
-        found = sorted(sorted(b) for b in biconnected(adjacency))
-        count: dict[str, int] = {}
-        for b in found:
-            for v in b:
-                count[v] = count.get(v, 0) + 1
-        rows = []
-        directed = set(zip(pdf["a"], pdf["b"]))
-        for i, members in enumerate(found):
-            own_set = set(members)
-            inside = {u: [v for v in adjacency[u] if v in own_set] for u in members}
-            n_edges = sum((u, v) in directed for u in members for v in inside[u])
-            pairs = []
-            own = [v for v in members if count[v] > 1]
-            if n_edges > 2:
-                if len(own) == 2:
-                    pairs.append(tuple(own))
-                pairs += [(u, v) for u in members for v in sorted(cuts(inside, u)) if u < v]
-            rows += [(pdf["component"].iloc[0], i, j, u, v, members) for j, (u, v) in enumerate(dict.fromkeys(pairs))]
-        return pd.DataFrame(rows, columns=["component", "block", "pair", "u", "v", "members"])
-
-    return _by_component(edges).groupBy("component").applyInPandas(run, PAIRS)
+        inside, pairs = _adjacency(pdf), []
+        if len(pdf) > 2:
+            both = pdf["cuts"].iloc[0]
+            if both is not None and len(both) == 2:
+                pairs.append(tuple(both))
+            pairs += [(u, v) for u in sorted(inside) for v in sorted(cuts(inside, u)) if u < v]
+        return pd.DataFrame([(pdf["component"].iloc[0], pdf["block"].iloc[0], j, u, v) for j, (u, v) in enumerate(dict.fromkeys(pairs))], columns=["component", "block", "pair", "u", "v"])
+
+    return rows.groupBy("component", "block").applyInPandas(run, "component string, block int, pair int, u string, v string")
+
+
+def separation_pairs(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """split_pairs() with members, the whole block's nodes, beside each pair."""
+    of = written(blocks(edges), "blocks") if of is None else of
+    return split_pairs(edges, of).join(of, ["component", "block"]).select("component", "block", "pair", "u", "v", "members")
 
 
 def block_edges(edges: DataFrame, of: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.operators.blocks import separation_pairs
+from strandloom.operators.blocks import blocks, split_pairs
 from strandloom.schemas import BUBBLES
+from strandloom.shared import written
 
 
 def is_bubble(source: str, sink: str, members: set[str], out: dict[str, list[str]], back: dict[str, list[str]]) -> bool:
@@ -32,9 +33,15 @@ def is_bubble(source: str, sink: str, members: set[str], out: dict[str, list[str
 
 def find_bubbles(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """component, source, sink, members: pairs are tried in order of component, block and pair, each way round; the first that holds claims its block's members, and what touches claimed members is passed over."""
-    pairs = separation_pairs(edges) if pairs is None else pairs
-    parts = pairs.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("block", "pair", "u", "v", "members"))).alias("pairs"))
-    member = pairs.select("component", F.explode("members").alias("a")).distinct()
+    if pairs is None:
+        of = written(blocks(edges), "blocks")
+        own = split_pairs(edges, of).groupBy("component", "block").agg(F.sort_array(F.collect_list(F.struct("pair", "u", "v"))).alias("pairs")).join(of, ["component", "block"])
+    else:
+        own = pairs.groupBy("component", "block").agg(F.sort_array(F.collect_list(F.struct("pair", "u", "v"))).alias("pairs"), F.first("members").alias("members"))
+    own = written(own, "pairs")
+    # a block's members stand once beside all its pairs
+    parts = own.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("block", "members", "pairs"))).alias("blocks"))
+    member = own.select("component", F.explode("members").alias("a")).distinct()
     inner = edges.select("a", "b").distinct().join(member, "a").groupBy("component").agg(F.collect_list(F.struct("a", "b")).alias("edges"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -42,8 +49,8 @@ def find_bubbles(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
         ahead: dict[str, list[str]] = {}
         for e in pdf["edges"].iloc[0]:
             ahead.setdefault(e["a"], []).append(e["b"])
-        for p in pdf["pairs"].iloc[0]:
-            members = set(p["members"])
+        for block in pdf["blocks"].iloc[0]:
+            members = set(block["members"])
             if members & claimed:
                 continue
             out: dict[str, list[str]] = {}
@@ -51,11 +58,11 @@ def find_bubbles(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
             for a, b in ((a, b) for a in sorted(members) for b in ahead.get(a, ()) if b in members):
                 out.setdefault(a, []).append(b)
                 back.setdefault(b, []).append(a)
-            for s, t in ((p["u"], p["v"]), (p["v"], p["u"])):
-                if is_bubble(s, t, members, out, back):
-                    rows.append((pdf["component"].iloc[0], s, t, sorted(members)))
-                    claimed |= members
-                    break
+            ways = ((s, t) for p in block["pairs"] for s, t in ((p["u"], p["v"]), (p["v"], p["u"])))
+            found = next(((s, t) for s, t in ways if is_bubble(s, t, members, out, back)), None)
+            if found:
+                rows.append((pdf["component"].iloc[0], *found, sorted(members)))
+                claimed |= members
         return pd.DataFrame(rows, columns=["component", "source", "sink", "members"])
 
     return parts.join(inner, "component").groupBy("component").applyInPandas(run, BUBBLES)
