@@ -192,3 +192,27 @@ def is_forest(edges: DataFrame) -> bool:
     plain = written(edges.select("a", "b"), "edges")
     parts = components(plain).agg(F.count("*").alias("n"), F.countDistinct("component").alias("c")).first()
     return plain.count() == parts["n"] - parts["c"]
+
+
+def arcs_to_reverse(edges: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(a, b): arcs whose reversal, with loops left out, makes the graph acyclic. parts are its strong components, if they are known.
+
+    Within a strong component nodes stand in order of their arcs out less those in, largest first (ties by name); what runs
+    against that order is reversed. All other arcs follow the order of components, so whatever the order within, no
+    ring is left. Repeated arcs count once; of two arcs against each other one is reversed.
+    """
+    arcs = written(simple(edges), "arcs")
+    part = written(strong_components(edges) if parts is None else parts, "strong")
+    side = lambda s: part.select(F.col("contig").alias(s), F.col("component").alias(f"part_{s}"))
+    inner = written(arcs.join(side("a"), "a").join(side("b"), "b").filter("part_a = part_b").select("a", "b"), "inner")
+    end = inner.select(F.explode(F.array(F.struct(F.col("a").alias("contig"), F.lit(1).alias("n")), F.struct(F.col("b").alias("contig"), F.lit(-1).alias("n")))).alias("e")).select("e.*")
+    lead = written(end.groupBy("contig").agg(F.sum("n").alias("lead")), "lead")
+    place = lambda s: lead.select(F.col("contig").alias(s), F.struct((-F.col("lead")).alias("less"), F.col("contig").alias("name")).alias(f"at_{s}"))
+    return inner.join(place("a"), "a").join(place("b"), "b").filter("at_a > at_b").select("a", "b")
+
+
+def made_acyclic(edges: DataFrame) -> DataFrame:
+    """Distinct (a, b) of the graph with arcs_to_reverse() turned round and loops left out."""
+    turned = written(arcs_to_reverse(edges), "turned")
+    kept = simple(edges).join(turned, ["a", "b"], "left_anti")
+    return kept.unionByName(turned.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandloom.config import Config
 from strandloom.functions import links as fl, sequences as fs
-from strandloom.operators import blocks, bubbles, bundle, centrality, extras, graph, layout, motifs, orient, pairs, repeats
+from strandloom.operators import blocks, bubbles, bundle, centrality, extras, graph, layout, motifs, orient, pairs, repeats, tour
 from strandloom.plans import derived, scaffold
 from strandloom.plans.derived import SQL
 from strandloom.shared import written
@@ -434,6 +434,11 @@ def g10(spark, sf):
     return blocks.blocks(derived.order_flow(spark, sf)).select(F.array_join("members", ",").alias("members"))
 
 
+@query("x09_tour_blocks", ORACLE_SQL["g10_blocks"])
+def x09(spark, sf):
+    return blocks.blocks(derived.order_flow(spark, sf), most=0).select(F.array_join("members", ",").alias("members"))
+
+
 @query("g12_seppairs", SQL + _MANY + " select source as u, sink as v from rim union all select o || ':101', o || ':102' from lines where n = 2")
 def g12(spark, sf):
     return blocks.separation_pairs(derived.order_flow(spark, sf)).select("u", "v")
@@ -546,6 +551,35 @@ def x08(spark, sf):
     return extras.strong_components(derived.event_edges(spark, sf))
 
 
+@query(
+    "x10_arcs_to_reverse",
+    _STRONG.replace(") select x.a as contig", "), strong as (select x.a as contig")
+    + """), ring as (select a, b from edges join strong s on s.contig = a join strong t on t.contig = b where a <> b and s.component = t.component
+), lead as (select contig, sum(n) as d from (select a as contig, 1 as n from ring union all select b, -1 from ring) group by contig)
+select a, b from ring join lead x on x.contig = a join lead y on y.contig = b where x.d < y.d or (x.d = y.d and a > b)""",
+)
+def x10(spark, sf):
+    return extras.arcs_to_reverse(derived.event_edges(spark, sf))
+
+
+@query(
+    "x20_lowest_common_ancestors",
+    """with recursive up(k, anc) as (
+    select k, k from (select c_custkey as k from customer union select c_custkey // 2 from customer where c_custkey > 1)
+    union all select k, anc // 2 from up where anc > 1 and anc in (select c_custkey from customer)
+), asked as (select distinct o_custkey as x, o_orderkey % 997 + 1 as y from orders
+), met as (select x, y, max(p.anc) as m from asked join up p on p.k = x join up q on q.k = y and q.anc = p.anc group by x, y)
+select 'c' || x as x, 'c' || y as y, 'c' || m as ancestor from asked left join met using (x, y)""",
+)
+def x20(spark, sf):
+    """Customers as a heap: half of a customer's number is its parent's."""
+    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    key = F.col("c_custkey")
+    heap = spark.read.parquet(f"{sf}/customer.parquet").select(name(key).alias("contig"), F.when(key > 1, name(F.expr("c_custkey div 2"))).alias("parent"))
+    asked = spark.read.parquet(f"{sf}/orders.parquet").select(name(F.col("o_custkey")).alias("x"), name(F.col("o_orderkey") % 997 + 1).alias("y")).distinct()
+    return tour.lowest_common_ancestors(heap, asked)
+
+
 @query("x12_sources_and_sinks", SQL + ", dag as (select a, b from flow where substr(a, 1, 10) = substr(b, 1, 10)) select a as contig, 'source' as kind from dag where a not in (select b from dag) union select b, 'sink' from dag where b not in (select a from dag)")
 def x12(spark, sf):
     edges = _orders(spark, sf)

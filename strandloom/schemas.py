@@ -7,5 +7,4 @@ BUNDLED = LINKS + ", bsize int"
 COVERAGE = "contig string, coverage double"
 ORIENTATION = "contig string, orient string, invalidated long"
 BLOCKS = "component string, block int, members array<string>"
-PAIRS = "component string, block int, pair int, u string, v string, members array<string>"
 BUBBLES = "component string, source string, sink string, members array<string>"
