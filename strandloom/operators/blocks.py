@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -58,9 +60,9 @@ def cuts(adjacency: dict[str, list[str]], without: str) -> set[str]:
     return {v for v, n in seen.items() if n > 1}
 
 
-def _adjacency(pdf: pd.DataFrame) -> dict[str, list[str]]:
+def _adjacency(rows: Iterable[tuple[str, str]]) -> dict[str, list[str]]:
     out: dict[str, set[str]] = {}
-    for a, b in zip(pdf["a"], pdf["b"]):
+    for a, b in rows:
         if a != b:
             out.setdefault(a, set()).add(b)
             out.setdefault(b, set()).add(a)
@@ -83,7 +85,7 @@ def blocks(edges: DataFrame, most: int | None = None) -> DataFrame:
     large = written(parts.groupBy("component").count().filter(F.col("count") > most).select("component"), "large")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = sorted(sorted(b) for b in biconnected(_adjacency(pdf)))
+        found = sorted(sorted(b) for b in biconnected(_adjacency(zip(pdf["a"], pdf["b"]))))
         return pd.DataFrame([(pdf["component"].iloc[0], i, m) for i, m in enumerate(found)], columns=["component", "block", "members"])
 
     small = parts.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, BLOCKS)
@@ -104,16 +106,29 @@ def split_pairs(edges: DataFrame, of: DataFrame) -> DataFrame:
     own = member.join(cut, ["component", "node"]).groupBy("component", "block").agg(F.sort_array(F.collect_list("node")).alias("cuts"))
     rows = block_edges(edges.select("a", "b").filter("a != b").distinct(), of).join(own, ["component", "block"], "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        inside, pairs = _adjacency(pdf), []
-        if len(pdf) > 2:
-            both = pdf["cuts"].iloc[0]
-            if both is not None and len(both) == 2:
-                pairs.append(tuple(both))
-            pairs += [(u, v) for u in sorted(inside) for v in sorted(cuts(inside, u)) if u < v]
-        return pd.DataFrame([(pdf["component"].iloc[0], pdf["block"].iloc[0], j, u, v) for j, (u, v) in enumerate(dict.fromkeys(pairs))], columns=["component", "block", "pair", "u", "v"])
-
-    return rows.groupBy("component", "block").applyInPandas(run, "component string, block int, pair int, u string, v string")
+    def found(key: tuple, rows: list[tuple], both) -> list[tuple]:
+        inside, pairs = _adjacency(rows), []
+        if both is not None and len(both) == 2:
+            pairs.append(tuple(both))
+        pairs += [(u, v) for u in sorted(inside) for v in sorted(cuts(inside, u)) if u < v]
+        return [(*key, j, u, v) for j, (u, v) in enumerate(dict.fromkeys(pairs))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, own, both, out = None, [], None, []
+        for pdf in batches:
+            for component, block, a, b, cut in zip(pdf["component"], pdf["block"], pdf["a"], pdf["b"], pdf["cuts"]):
+                if (component, block) != key:
+                    out += found(key, own, both) if len(own) > 2 else []
+                    key, own, both = (component, block), [], cut
+                own.append((a, b))
+            yield pd.DataFrame(out, columns=["component", "block", "pair", "u", "v"])
+            out = []
+        yield pd.DataFrame(found(key, own, both) if len(own) > 2 else [], columns=["component", "block", "pair", "u", "v"])
+
+    # Blocks are many and small: a task goes through its own one by one. A hash of the key deals them out, as Spark may leave out a
+    # repartition by the very columns of the join before it and then read that join's shuffle where it lies.
+    dealt = rows.select("component", "block", "a", "b", "cuts").repartition(F.xxhash64("component", "block")).sortWithinPartitions("component", "block")
+    return dealt.mapInPandas(run, "component string, block int, pair int, u string, v string")
 
 
 def separation_pairs(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
