@@ -155,7 +155,8 @@ def joined_subtrees(rows: DataFrame) -> DataFrame:
             found += pairs(group, *at)
         yield out()
 
-    dealt = rows.select("key", "way", "short", "rest", "word", "n").repartition("key").sortWithinPartitions("key")
+    # by a hash of the key: Spark may leave out a repartition by the very column of the join before it, and then read that join's shuffle where it lies
+    dealt = rows.select("key", "way", "short", "rest", "word", "n").repartition(F.xxhash64("key")).sortWithinPartitions("key")
     return dealt.mapInArrow(run, "word string, n long, near string, near_n long")
 
 
