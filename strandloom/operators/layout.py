@@ -20,21 +20,44 @@ def end_edges(collapsed: DataFrame) -> DataFrame:
 
 
 def match_ends(edges: DataFrame) -> DataFrame:
-    """p, q, bsize: the edges that a scan by size takes, each if neither of its ends is taken (ties: smaller p, then q).
+    """p, q, bsize: the edges that a scan by size takes, each if neither of its ends is taken (ties: smaller p, then q). Of parallel and repeated edges only the first can be.
 
-    In each round every edge that is the first of all left at both its ends is taken, and what touches it goes: as the
-    order is total, that gives what one scan over all edges gives, without one.
+    In each round every end points along the first edge left at it. An edge that is first at both its ends is taken. An end whose first edge
+    is the second one at the other end, its upper one, is taken with it just if the upper one loses its own first edge, so along
+    such chains taken and lost take turns: pointers to a chain's top double, and the whole chain is settled in the round. The top
+    of a chain is an end of a taken edge, or has lost its first edge to the chain that runs through the other end; otherwise it waits.
+    What touches a taken edge goes, and so does a top's lost edge. A chain of any order of sizes so takes one round with log2(n) joins.
     """
-    left = written(edges.select("p", "q", F.struct((-F.col("bsize")).alias("s"), "p", "q").alias("rank"), "bsize"), "ends")
+    pair = edges.select(F.struct((-F.col("bsize")).alias("s"), "p", "q").alias("rank"), F.least("p", "q").alias("one"), F.greatest("p", "q").alias("two"))
+    left = written(pair.groupBy("one", "two").agg(F.min("rank").alias("rank")).select("rank"), "ends")
+    way = lambda x, y: F.struct(F.col(f"rank.{x}").alias("end"), F.col(f"rank.{y}").alias("other"), "rank")
     taken = None
     while not left.isEmpty():
-        at = left.select(F.col("p").alias("end"), "rank").unionByName(left.select(F.col("q").alias("end"), "rank"))
-        best = at.groupBy("end").agg(F.min("rank").alias("best"))
-        one, two = best.select(F.col("end").alias("p"), F.col("best").alias("best_p")), best.select(F.col("end").alias("q"), F.col("best").alias("best_q"))
-        won = written(left.join(one, "p").join(two, "q").filter("rank = best_p and rank = best_q").select("p", "q", "bsize"), "won")
+        sides = F.when(F.col("rank.p") == F.col("rank.q"), F.array(way("p", "q"))).otherwise(F.array(way("p", "q"), way("q", "p")))
+        at = left.select(F.explode(sides).alias("e")).select("e.*").withColumn("n", F.row_number().over(Window.partitionBy("end").orderBy("rank"))).filter("n <= 2")
+        best = written(at.groupBy("end").agg(F.min_by("other", "n").alias("up"), F.min("rank").alias("first"), F.when(F.count("*") > 1, F.max("rank")).alias("second")), "best")
+        upper = best.select(F.col("end").alias("up"), F.col("first").alias("up_first"), F.col("second").alias("up_second"))
+        kind = F.when(F.col("first").eqNullSafe(F.col("up_first")), "root").when(F.col("first").eqNullSafe(F.col("up_second")), "on").otherwise("top")
+        state = written(best.join(upper, "up").select("end", "up", "first", kind.alias("kind")), "states")
+        # a chain through the other end takes that end whichever way it turns out
+        passed = state.filter("kind = 'on'").select("up")
+        lost = state.filter("kind = 'top'").join(passed, "up", "left_semi").select("end", "first")
+        heads = state.filter("kind = 'root'").select("end", F.lit(0).alias("turn")).unionByName(lost.select("end", F.lit(1).alias("turn")))
+        hop = state.filter("kind = 'on'").select("end", "first", "up", F.lit(1).alias("turn"))
+        while True:
+            on = hop.select(F.col("end").alias("up"), F.col("up").alias("beyond"), F.col("turn").alias("more"))
+            hop = written(hop.join(on, "up", "left").select("end", "first", F.coalesce("beyond", "up").alias("up"), ((F.col("turn") + F.coalesce("more", F.lit(0))) % 2).alias("turn"), F.col("beyond").isNotNull().alias("moved")), "hops")
+            if hop.filter("moved").isEmpty():
+                break
+            hop = hop.drop("moved")
+        settled = hop.join(heads.select(F.col("end").alias("up"), F.col("turn").alias("start")), "up").filter((F.col("turn") + F.col("start")) % 2 == 0)
+        roots = state.filter("kind = 'root'").filter(F.col("end") == F.col("first.p"))
+        won = written(settled.select("first").unionByName(roots.select("first")).select("first.p", "first.q", (-F.col("first.s")).alias("bsize")), "won")
         taken = won if taken is None else taken.unionByName(won)
         used = won.select(F.col("p").alias("end")).unionByName(won.select(F.col("q").alias("end"))).distinct()
-        left = written(left.join(used.withColumnRenamed("end", "p"), "p", "left_anti").join(used.withColumnRenamed("end", "q"), "q", "left_anti"), "ends")
+        rest = left.withColumn("p", F.col("rank.p")).withColumn("q", F.col("rank.q"))
+        rest = rest.join(used.withColumnRenamed("end", "p"), "p", "left_anti").join(used.withColumnRenamed("end", "q"), "q", "left_anti").select("rank")
+        left = written(rest.join(lost.select(F.col("first").alias("rank")), "rank", "left_anti"), "ends")
     return taken if taken is not None else edges.select("p", "q", "bsize")
 
 
