@@ -1,8 +1,8 @@
-"""Blocks of an undirected graph, and the pairs of nodes that cut them."""
+"""Blocks of an undirected graph, and the nodes that cut them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -98,45 +98,6 @@ def blocks(edges: DataFrame, most: int | None = None) -> DataFrame:
     return small.unionByName(order.join(first, "component").select("component", (F.col("place") - F.col("first")).cast("int").alias("block"), "members"))
 
 
-def split_pairs(edges: DataFrame, of: DataFrame) -> DataFrame:
-    """component, block, pair, u, v of the blocks given: for each block its two cut nodes, if it has exactly two, and then in order of name each
-    pair whose removal parts a block of more than two edges. One task searches a block, so that a component of many blocks is many tasks' work."""
-    member = written(of.select("component", "block", F.explode("members").alias("node")), "members")
-    cut = member.groupBy("component", "node").agg(F.count("*").alias("n")).filter("n > 1").select("component", "node", F.lit(True).alias("cut"))
-    own = member.join(cut, ["component", "node"]).groupBy("component", "block").agg(F.sort_array(F.collect_list("node")).alias("cuts"))
-    rows = block_edges(edges.select("a", "b").filter("a != b").distinct(), of).join(own, ["component", "block"], "left")
-
-    def found(key: tuple, rows: list[tuple], both) -> list[tuple]:
-        inside, pairs = _adjacency(rows), []
-        if both is not None and len(both) == 2:
-            pairs.append(tuple(both))
-        pairs += [(u, v) for u in sorted(inside) for v in sorted(cuts(inside, u)) if u < v]
-        return [(*key, j, u, v) for j, (u, v) in enumerate(dict.fromkeys(pairs))]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, own, both, out = None, [], None, []
-        for pdf in batches:
-            for component, block, a, b, cut in zip(pdf["component"], pdf["block"], pdf["a"], pdf["b"], pdf["cuts"]):
-                if (component, block) != key:
-                    out += found(key, own, both) if len(own) > 2 else []
-                    key, own, both = (component, block), [], cut
-                own.append((a, b))
-            yield pd.DataFrame(out, columns=["component", "block", "pair", "u", "v"])
-            out = []
-        yield pd.DataFrame(found(key, own, both) if len(own) > 2 else [], columns=["component", "block", "pair", "u", "v"])
-
-    # Blocks are many and small: a task goes through its own one by one. A hash of the key deals them out, as Spark may leave out a
-    # repartition by the very columns of the join before it and then read that join's shuffle where it lies.
-    dealt = rows.select("component", "block", "a", "b", "cuts").repartition(F.xxhash64("component", "block")).sortWithinPartitions("component", "block")
-    return dealt.mapInPandas(run, "component string, block int, pair int, u string, v string")
-
-
-def separation_pairs(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """split_pairs() with members, the whole block's nodes, beside each pair."""
-    of = written(blocks(edges), "blocks") if of is None else of
-    return split_pairs(edges, of).join(of, ["component", "block"]).select("component", "block", "pair", "u", "v", "members")
-
-
 def block_edges(edges: DataFrame, of: DataFrame) -> DataFrame:
     """Each edge with its block: blocks part the edges of a component."""
     member = of.select("component", "block", F.explode("members").alias("node"))

@@ -7,7 +7,8 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.operators.blocks import blocks, split_pairs
+from strandloom.operators.blocks import blocks
+from strandloom.operators.splits import split_pairs
 from strandloom.schemas import BUBBLES
 from strandloom.shared import written
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandloom.config import Config
 from strandloom.functions import links as fl, sequences as fs
-from strandloom.operators import blocks, bubbles, bundle, centrality, extras, graph, layout, motifs, orient, pairs, repeats, tour
+from strandloom.operators import blocks, bubbles, bundle, centrality, extras, graph, layout, motifs, orient, pairs, repeats, splits, tour
 from strandloom.plans import derived, scaffold
 from strandloom.plans.derived import SQL
 from strandloom.shared import written
@@ -441,7 +441,22 @@ def x09(spark, sf):
 
 @query("g12_seppairs", SQL + _MANY + " select source as u, sink as v from rim union all select o || ':101', o || ':102' from lines where n = 2")
 def g12(spark, sf):
-    return blocks.separation_pairs(derived.order_flow(spark, sf)).select("u", "v")
+    return splits.separation_pairs(derived.order_flow(spark, sf)).select("u", "v")
+
+
+@query(
+    "g12_split_classes",
+    SQL
+    + _MANY
+    + """ select 'bond' as kind, o || ':0,' || o || ':2' as nodes, '' as virtual, cast(n as integer) as sides from lines where n > 2
+    union all select 'ring', o || ':0,' || b || ',' || o || ':2', 'false,false,true', null from lines join (select substr(b, 1, 10) as o, b from flow where b like '%:1__') using (o) where n > 2
+    union all select 'ring', o || ':0,' || o || ':101,' || o || ':2,' || o || ':102', 'false,false,false,false', null from lines where n = 2""",
+)
+def g12_classes(spark, sf):
+    edges = written(derived.order_flow(spark, sf), "flow")
+    classes = splits.split_classes(edges, written(blocks.blocks(edges), "blocks"))
+    rows = classes.groupBy("component", "block", "class", "kind", "sides").agg(F.sort_array(F.collect_list(F.struct("place", "node", "virtual"))).alias("r"))
+    return rows.select("kind", F.array_join("r.node", ",").alias("nodes"), F.array_join(F.col("r.virtual").cast("array<string>"), ",").alias("virtual"), "sides")
 
 
 @query("g13_bubbles", SQL + _MANY + " select source, sink, source || ',' || mid || ',' || sink as members from rim join inside using (o)")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.config import Config
 from strandloom.functions.links import six_digits
-from strandloom.operators import blocks, bubbles, bundle, centrality, graph, layout, orient, pairs, repeats
+from strandloom.operators import bubbles, bundle, centrality, graph, layout, orient, pairs, repeats, splits
 from strandloom.shared import stage, written
 from strandloom.sources import readers, writers
 
@@ -47,7 +47,7 @@ def scaffold_stage(links: DataFrame, contigs: DataFrame, config: Config) -> dict
     keep = _keeper(contigs.sparkSession, config)
     orientation = keep("orientation", lambda: orient.orient_contigs(links, contigs, config.strategy))
     valid = keep("oriented", lambda: orient.valid_links(links, orientation))
-    found_pairs = keep("pairs", lambda: blocks.separation_pairs(valid))
+    found_pairs = keep("pairs", lambda: splits.separation_pairs(valid))
     found = keep("bubbles", lambda: bubbles.find_bubbles(valid, found_pairs))
     paths = keep("paths", lambda: layout.trace_paths(layout.match_ends(layout.end_edges(bubbles.collapse(valid, found)))))
     parts = keep("parts", lambda: layout.scaffold_parts(valid, orientation, found, paths))

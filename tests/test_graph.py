@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import blocks, bubbles, centrality, graph, layout, motifs, orient
+from strandloom.operators import blocks, bubbles, centrality, graph, layout, motifs, orient, splits
 
 
 def edges(spark, pairs, ends="EB", size=5):
@@ -70,7 +70,7 @@ def test_betweenness_agrees_with_brandes(spark):
 def test_blocks_and_pairs_of_a_diamond(spark):
     e = edges(spark, DIAMOND)
     assert [r["members"] for r in blocks.blocks(e).collect()] == [["a", "b", "s", "t"]]
-    assert {(r["u"], r["v"]) for r in blocks.separation_pairs(e).collect()} == {("s", "t"), ("a", "b")}
+    assert {(r["u"], r["v"]) for r in splits.separation_pairs(e).collect()} == {("s", "t"), ("a", "b")}
     found = bubbles.find_bubbles(e).collect()
     assert [(r["source"], r["sink"], r["members"]) for r in found] == [("s", "t", ["a", "b", "s", "t"])]
     assert [r["kind"] for r in motifs.bubble_classes(bubbles.find_bubbles(e)).collect()] == ["four"]
@@ -78,7 +78,7 @@ def test_blocks_and_pairs_of_a_diamond(spark):
 
 def test_triangles(spark):
     alone = edges(spark, [("s", "a"), ("a", "t"), ("s", "t")])
-    assert blocks.separation_pairs(alone).count() == 0
+    assert splits.separation_pairs(alone).count() == 0
     between = edges(spark, [("x", "s"), ("s", "a"), ("a", "t"), ("s", "t"), ("t", "y")])
     found = bubbles.find_bubbles(between).collect()
     assert [(r["source"], r["sink"]) for r in found] == [("s", "t")]
