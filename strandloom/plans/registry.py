@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandloom.config import Config
 from strandloom.functions import links as fl, sequences as fs
-from strandloom.operators import blocks, bubbles, bundle, centrality, extras, graph, layout, motifs, orient, pairs, repeats, splits, tour
+from strandloom.operators import blocks, bubbles, bundle, centrality, extras, graph, hyper, layout, motifs, orient, pairs, repeats, splits, tour
 from strandloom.plans import derived, scaffold
 from strandloom.plans.derived import SQL
 from strandloom.shared import written
@@ -626,3 +626,31 @@ def x03(spark, sf):
     edges = written(_bundled(spark, sf).select("a", "b", (F.lit(1.0) / F.col("bsize")).alias("weight")), "edges")
     found = extras.shortest_paths(edges, edges.agg(F.min("a").alias("contig")))
     return found.select("source", "contig", _r("distance"))
+
+
+_HYPER = "with recursive inside as (select distinct cast(o_orderkey as varchar) as edge, 'c' || o_custkey || ':' || (l_suppkey % 10) as node from orders join lineitem on l_orderkey = o_orderkey)"
+
+
+def _hyper(spark, sf):
+    """Orders as edges over their customer's groups of suppliers."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey").join(items, "o_orderkey")
+    node = F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(":"), (F.col("l_suppkey") % 10).cast("string"))
+    return hyper.incidence(rows.withColumn("node", node), "o_orderkey", "node")
+
+
+@query("x24_hyper_sizes", _HYPER + " select edge, count(*) as size, cast(sum(degree - 1) as bigint) as meetings from inside join (select node, count(*) as degree from inside group by node) using (node) group by edge")
+def x24(spark, sf):
+    return hyper.edge_sizes(_hyper(spark, sf))
+
+
+@query(
+    "x24_hyper_components",
+    _HYPER
+    + """, reach(v, w) as (
+        select node, node from inside union select r.v, y.node from reach r join inside x on x.node = r.w join inside y on y.edge = x.edge
+    ), least as (select v, min(w) as component from reach group by v)
+    select distinct 'node' as kind, v as name, component from least union all select distinct 'edge', edge, component from inside join least on v = node""",
+)
+def x24_components(spark, sf):
+    return hyper.components(_hyper(spark, sf))
