@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandloom.config import Config
 from strandloom.functions import links as fl, sequences as fs
-from strandloom.operators import blocks, bubbles, bundle, centrality, extras, graph, hyper, layout, motifs, orient, pairs, repeats, splits, tour
+from strandloom.operators import blocks, bubbles, bundle, centrality, extras, flow, graph, hyper, layout, motifs, orient, pairs, repeats, splits, steiner, tour
 from strandloom.plans import derived, scaffold
 from strandloom.plans.derived import SQL
 from strandloom.shared import written
@@ -654,3 +654,78 @@ def x24(spark, sf):
 )
 def x24_components(spark, sf):
     return hyper.components(_hyper(spark, sf))
+
+
+@query(
+    "x15_max_flow",
+    """with cap as (
+    select 'c' || c_custkey as c, c_custkey * 7 % 40 + 1 as room, 'o' || o_orderkey as o, count(*) * 3 as lines
+    from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey group by c_custkey, o_orderkey
+) select c as contig, least(max(room), cast(sum(least(10, lines)) as bigint)) as flow from cap group by c""",
+)
+def x15(spark, sf):
+    """The flow through each customer, from nations over customers and their orders to one sink: neither side's capacity is enough everywhere."""
+    customer = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_nationkey")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    order = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(lines, "o_orderkey")
+    order = written(order.join(customer, "c_custkey"), "orders")
+    name = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string"))
+    c, n, o = name("c", "c_custkey"), name("n", "c_nationkey"), name("o", "o_orderkey")
+    arc = lambda a, b, size: F.struct(a.alias("a"), b.alias("b"), size.cast("long").alias("capacity"))
+    of_order = order.select(F.explode(F.array(arc(c, o, F.lit(10)), arc(o, F.lit("t"), F.col("n") * 3))).alias("e")).select("e.*")
+    of_customer = order.select("c_custkey", "c_nationkey").distinct().select(F.explode(F.array(arc(F.lit("s"), n, F.lit(40)), arc(n, c, F.col("c_custkey") * 7 % 40 + 1))).alias("e")).select("e.*")
+    net = flow.residual(of_order.unionByName(of_customer), "s", "t")
+    return flow.max_flow(net).filter("a like 'n%'").select(F.col("b").alias("contig"), "flow")
+
+
+_LAYERS = """with line as (
+    select 'p' || o_orderpriority as p, 'm' || (l_suppkey % 7) as m, 'f' || l_returnflag as f, l_linenumber as k, l_quantity as q from lineitem join orders on o_orderkey = l_orderkey
+), arc as (
+    select 's' as a, p as b, count(*) filter (where q < 20) as capacity from line group by p
+    union all select p, m, count(*) filter (where k < 3 or m > 'm3') from line group by p, m
+    union all select m, f, count(*) filter (where q > 30) from line group by m, f
+    union all select f, 't', count(*) filter (where k < 4) from line group by f
+), node as (
+    select v, row_number() over (order by v) - 1 as i from (select a as v from arc union select b from arc) where v not in ('s', 't')
+), bit as (
+    select a, b, capacity, x.i as ia, y.i as ib from arc left join node x on x.v = a left join node y on y.v = b where capacity > 0
+), side as (
+    select unnest(range(cast(1 << (select count(*) from node) as bigint))) as m
+), cut as (
+    select m, coalesce(sum(capacity) filter (where (a = 's' or (m >> ia) & 1 = 1) and (b = 't' or (m >> ib) & 1 = 0)), 0) as size from bit, side group by m
+), best as (
+    select m from cut order by size, bit_count(m), m limit 1
+)"""
+
+
+@query("x16_min_cut", _LAYERS + " select a, b, capacity from bit, best where (a = 's' or (m >> ia) & 1 = 1) and (b = 't' or (m >> ib) & 1 = 0)")
+def x16(spark, sf):
+    """The least cut between priorities, groups of suppliers and return flags, capacities counted from all lines; the SQL tries every cut."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("p"), "o_orderpriority").alias("p"))
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", F.concat(F.lit("m"), (F.col("l_suppkey") % 7).cast("string")).alias("m"), F.concat(F.lit("f"), "l_returnflag").alias("f"), F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("q"))
+    arc = lambda a, b, counts: F.struct(a.alias("a"), b.alias("b"), counts.cast("long").alias("capacity"))
+    k, q, p, m, f = (F.col(c) for c in "kqpmf")
+    rows = items.join(orders, "l_orderkey").select(F.explode(F.array(arc(F.lit("s"), p, q < 20), arc(p, m, (k < 3) | (m > "m3")), arc(m, f, q > 30), arc(f, F.lit("t"), k < 4))).alias("e")).select("e.*")
+    arcs = rows.groupBy("a", "b").agg(F.sum("capacity").alias("capacity"))
+    return flow.min_cut(flow.residual(arcs, "s", "t"), "s", "t")
+
+
+@query(
+    "x18_steiner_tree",
+    """with recursive up(k, anc) as (
+    select distinct o_custkey, o_custkey from orders where o_custkey % 10 = 3
+    union all select k, anc // 2 from up where anc > 1
+), below as (select anc as c, count(*) as n from up group by anc
+) select least('c' || c, 'c' || c // 2) as a, greatest('c' || c, 'c' || c // 2) as b, 1 + c % 5 as weight
+from below where c > 1 and n < (select count(distinct k) from up)""",
+)
+def x18(spark, sf):
+    """Customers as a heap with dear shortcuts: the tree that joins some of them is made of the heap's edges between them alone."""
+    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    key = F.col("c_custkey")
+    edge = lambda k, weight: F.struct(name(key).alias("a"), name(k).alias("b"), weight.cast("long").alias("weight"))
+    rows = spark.read.parquet(f"{sf}/customer.parquet").filter("c_custkey > 5")
+    small = spark.range(2, 6).select(F.col("id").alias("c_custkey"))
+    heap = rows.select("c_custkey").unionByName(small).select(F.explode(F.array(edge(F.expr("c_custkey div 2"), 1 + key % 5), edge(F.expr("c_custkey div 3"), F.lit(1000)))).alias("e")).select("e.*")
+    asked = spark.read.parquet(f"{sf}/orders.parquet").filter("o_custkey % 10 = 3").select(name(F.col("o_custkey")).alias("contig")).distinct()
+    return steiner.steiner_tree(heap, asked)
