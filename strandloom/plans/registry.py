@@ -729,3 +729,61 @@ def x18(spark, sf):
     heap = rows.select("c_custkey").unionByName(small).select(F.explode(F.array(edge(F.expr("c_custkey div 2"), 1 + key % 5), edge(F.expr("c_custkey div 3"), F.lit(1000)))).alias("e")).select("e.*")
     asked = spark.read.parquet(f"{sf}/orders.parquet").filter("o_custkey % 10 = 3").select(name(F.col("o_custkey")).alias("contig")).distinct()
     return steiner.steiner_tree(heap, asked)
+
+
+@query("j05_valid_links", SQL + "select l.a, l.oa, l.b, l.ob, l.bsize from bundled l join orient x on x.contig = l.a join orient y on y.contig = l.b where (case when x.orient = 'FOW' then 'E' else 'B' end) = l.oa and (case when y.orient = 'FOW' then 'B' else 'E' end) = l.ob")
+def j05(spark, sf):
+    given = derived.contigs(spark, sf).select("contig", F.when(F.col("length") % 2 == 0, "FOW").otherwise("REV").alias("orient"))
+    return orient.valid_links(_bundled(spark, sf), given).select(*bundle.KEYS, "bsize")
+
+
+@query(
+    "g23_tandem_orders",
+    """with seen as (
+    select o_custkey, o_orderkey, o_orderdate, (select count(*) from lineitem where l_orderkey = o_orderkey) as n from orders
+), chain as (
+    select o_orderkey, n, lag(n) over w as before, lead(n) over w as after from seen window w as (partition by o_custkey order by o_orderdate, o_orderkey)
+) select 'o' || o_orderkey as contig from chain where n > 0 and before > 0 and after > 0 and n >= 1.5 * before and n >= 1.5 * after""",
+)
+def g23_orders(spark, sf):
+    """Orders with one and a half times the lines of the customer's orders before and after."""
+    name = lambda c: F.concat(F.lit("o"), F.col(c).cast("string"))
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    edges = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", after.alias("after")).filter("after is not null").select(name("o_orderkey").alias("a"), name("after").alias("b"))
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(name("l_orderkey").alias("contig")).agg(F.count("*").alias("coverage"))
+    return motifs.tandem_repeats(written(edges, "chain"), lines)
+
+
+def _peeling(rounds: int) -> str:
+    """Nations over market segments over customers: what is flagged in each round, by the closed form for trees.
+
+    A node of a tree lies between (n - 1) squared less its branches' squared sizes pairs.
+    """
+    sql = """with part as (
+    select 'n' || c_nationkey as r, 'g' || c_nationkey || ':' || c_mktsegment as g, count(*) as k from customer group by all
+), r0 as (select distinct r from part), g0 as (select r, g, k from part)"""
+    for i in range(1, rounds + 1):
+        roots, groups = f"r{i - 1}", f"g{i - 1}"
+        sql += f""", c{i} as (
+    select g, k, case when {roots}.r is not null then {groups}.r else g end as part, {roots}.r is not null as rooted from {groups} left join {roots} using (r)
+), n{i} as (
+    select part, rooted, sum(k + 1) + cast(rooted as integer) as n, sum((k + 1) * (k + 1)) as squares, sum(k) as leaves from c{i} group by part, rooted
+), s{i} as (
+    select part, g as v, n, (n - 1) * (n - 1) - k - (n - 1 - k) * (n - 1 - k) as pairs from c{i} join n{i} using (part)
+    union all select part, part, n, (n - 1) * (n - 1) - squares from n{i} where rooted
+    union all select part, null, n, 0 from (select part, n, unnest(range(cast(leaves as bigint))) from n{i})
+), f{i} as (
+    select v as contig, score, {i} as round from (select *, avg(score) over w as mean, stddev_pop(score) over w as sigma from (
+        select part, v, case when n > 2 then pairs / ((n - 1) * (n - 2)) else 0 end as score from s{i} where n >= 5) window w as (partition by part)) where score >= mean + 3 * sigma and v is not null
+), r{i} as (select r from {roots} where r not in (select contig from f{i})), g{i} as (select * from {groups} where g not in (select contig from f{i}))"""
+    return sql + " union all ".join([f" select contig, round(score, 6) as score, round from f{i}" for i in range(1, rounds + 1)])
+
+
+@query("g05_peeled_trees", _peeling(3))
+def g05_trees(spark, sf):
+    rows = spark.read.parquet(f"{sf}/customer.parquet")
+    root, key = F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    group = F.concat(F.lit("g"), F.col("c_nationkey").cast("string"), F.lit(":"), "c_mktsegment")
+    edge = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    edges = rows.select(F.explode(F.array(edge(root, group), edge(group, key))).alias("e")).select("e.*").distinct()
+    return centrality.high_centrality(edges, rounds=3, min_nodes=5).select("contig", _r("score"), "round")
