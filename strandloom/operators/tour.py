@@ -161,15 +161,21 @@ def depths(table: DataFrame, contigs: DataFrame) -> DataFrame:
             return now.select("contig", "depth")
 
 
-def lowest_common_ancestors(parents: DataFrame, pairs: DataFrame) -> DataFrame:
+def climbs(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ancestors() and depths() of a forest of (contig, parent), as tables."""
+    contigs = parents.select(F.col("contig")).unionByName(parents.filter("parent is not null").select(F.col("parent").alias("contig"))).distinct()
+    table = written(ancestors(parents), "ancestors")
+    return table, written(depths(table, contigs), "depths")
+
+
+def lowest_common_ancestors(parents: DataFrame, pairs: DataFrame, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """x, y and ancestor of each row of pairs (x, y), in the forest of (contig, parent): the lowest node that is above both or one of them; null in different trees, or where a node is none of the forest's.
 
     The deeper one climbs to the other's depth, then both climb as long as their ancestors differ, from the longest steps to the shortest: a join
-    for each doubling, over all pairs together. A node without a parent is a root, whether it has a row or not.
+    for each doubling, over all pairs together. A node without a parent is a root, whether it has a row or not. known is
+    what climbs() gives, if it is there already.
     """
-    contigs = parents.select(F.col("contig")).unionByName(parents.filter("parent is not null").select(F.col("parent").alias("contig"))).distinct()
-    table = written(ancestors(parents), "ancestors")
-    depth = written(depths(table, contigs), "depths")
+    table, depth = known or climbs(parents)
     most = table.agg(F.max("level")).first()[0]
     side = lambda s: depth.select(F.col("contig").alias(s), F.col("depth").alias(f"depth_{s}"))
     rows = pairs.select("x", "y").distinct().join(side("x"), "x").join(side("y"), "y")
@@ -189,3 +195,31 @@ def lowest_common_ancestors(parents: DataFrame, pairs: DataFrame) -> DataFrame:
     met = rows.join(one, "u", "left").join(two, "v", "left")
     found = F.when(F.col("u") == F.col("v"), F.col("u")).when(F.col("up_u") == F.col("up_v"), F.col("up_u"))
     return pairs.select("x", "y").join(met.select("x", "y", found.alias("ancestor")), ["x", "y"], "left")
+
+
+def fundamental_cycles(edges: DataFrame) -> DataFrame:
+    """component, a, b, place and contig: a basis of the undirected graph's cycles, a row for each node of each cycle in order, from a at place 0 to b.
+
+    Each edge (a, b) outside a spanning forest closes one cycle with the forest's way from a up to the lowest common ancestor and
+    down to b. A way is a node and a number of steps; it is cut at its longest power of two, the rest going on from the ancestor
+    there, until single nodes are left: a join for each doubling, however long the ways are. Loops and parallel edges close none.
+    """
+    forest, tree = rooted_forest(edges)
+    other = written(simple(edges, directed=False).join(tree, ["a", "b"], "left_anti"), "other")
+    parents = forest.select("contig", "parent")
+    table, depth = climbs(parents)
+    met = lowest_common_ancestors(parents, other.select(F.col("a").alias("x"), F.col("b").alias("y")), (table, depth)).select(F.col("x").alias("a"), F.col("y").alias("b"), "ancestor")
+    at = lambda s: depth.select(F.col("contig").alias(s), F.col("depth").alias(f"depth_{s}"))
+    up, down = F.col("depth_a") - F.col("depth_ancestor"), F.col("depth_b") - F.col("depth_ancestor")
+    way = lambda v, n, place, turn: F.struct(F.col(v).alias("v"), n.alias("n"), place.cast("long").alias("place"), F.lit(turn).alias("turn"))
+    ways = met.join(at("a"), "a").join(at("b"), "b").join(at("ancestor"), "ancestor")
+    ways = ways.select("a", "b", F.explode(F.array(way("a", up + 1, F.lit(0), 1), way("b", down, up + down, -1))).alias("w")).select("a", "b", "w.*").filter("n > 0")
+    ways = written(ways, "ways")
+    longest = ways.agg(F.max("n")).first()[0] or 1
+    for level in range((longest - 1).bit_length() - 1, -1, -1):
+        width = 1 << level
+        above = table.filter(F.col("level") == level).select(F.col("contig").alias("v"), "above")
+        rest = ways.filter(F.col("n") > width).join(above, "v").select("a", "b", F.col("above").alias("v"), (F.col("n") - width).alias("n"), (F.col("place") + width * F.col("turn")).alias("place"), "turn")
+        ways = written(ways.withColumn("n", F.least("n", F.lit(width))).unionByName(rest), "ways")
+    root = forest.select(F.col("contig").alias("a"), F.col("root").alias("component"))
+    return ways.join(root, "a").select("component", "a", "b", "place", F.col("v").alias("contig"))

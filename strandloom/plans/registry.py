@@ -787,3 +787,23 @@ def g05_trees(spark, sf):
     edge = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     edges = rows.select(F.explode(F.array(edge(root, group), edge(group, key))).alias("e")).select("e.*").distinct()
     return centrality.high_centrality(edges, rounds=3, min_nodes=5).select("contig", _r("score"), "round")
+
+
+@query(
+    "g26_fundamental_cycles",
+    _REACH + """, plain as (select distinct least(a, b) as a, greatest(a, b) as b from edges where a <> b
+), m as (select component, count(*) as m from plain join comp on contig = a group by component), n as (select component, count(*) as n from comp group by component
+) select component, m - n + 1 as n_cycles, m - n + 1 as n_whole from m join n using (component) where m >= n""",
+)
+def g26_cycles(spark, sf):
+    """Cycles of each component, and how many of them go along edges from node to node and meet no node twice."""
+    edges = written(derived.event_edges(spark, sf), "edges")
+    rows = written(tour.fundamental_cycles(edges), "cycles")
+    of_cycle = Window.partitionBy("a", "b").orderBy("place")
+    steps = rows.select("component", "a", "b", "contig", F.lag("contig").over(of_cycle).alias("before"))
+    plain = extras.simple(edges, directed=False).select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1).alias("is_edge"))
+    steps = steps.withColumn("u", F.least("contig", "before")).withColumn("v", F.greatest("contig", "before")).join(plain, ["u", "v"], "left")
+    ends = F.max((F.col("contig") == F.col("a")) & F.col("before").isNull()) & F.max(F.col("contig") == F.col("b"))
+    whole = (F.count("*") == F.count_distinct("contig")) & (F.coalesce(F.sum("is_edge"), F.lit(0)) == F.count("*") - 1) & ends
+    cycles = steps.groupBy("component", "a", "b").agg(whole.alias("whole"))
+    return cycles.groupBy("component").agg(F.count("*").alias("n_cycles"), F.sum(F.col("whole").cast("long")).alias("n_whole"))
