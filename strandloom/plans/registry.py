@@ -757,7 +757,8 @@ def g23_orders(spark, sf):
 def _peeling(rounds: int) -> str:
     """Nations over market segments over customers: what is flagged in each round, by the closed form for trees.
 
-    A node of a tree lies between (n - 1) squared less its branches' squared sizes pairs.
+    A node of a tree lies between (n - 1) squared less its branches' squared sizes pairs. Components start at 11 nodes: a star of ten
+    has its middle exactly at the bound (1 = 0.1 + 3 * 0.3), where the last bit of a double decides.
     """
     sql = """with part as (
     select 'n' || c_nationkey as r, 'g' || c_nationkey || ':' || c_mktsegment as g, count(*) as k from customer group by all
@@ -774,7 +775,7 @@ def _peeling(rounds: int) -> str:
     union all select part, null, n, 0 from (select part, n, unnest(range(cast(leaves as bigint))) from n{i})
 ), f{i} as (
     select v as contig, score, {i} as round from (select *, avg(score) over w as mean, stddev_pop(score) over w as sigma from (
-        select part, v, case when n > 2 then pairs / ((n - 1) * (n - 2)) else 0 end as score from s{i} where n >= 5) window w as (partition by part)) where score >= mean + 3 * sigma and v is not null
+        select part, v, case when n > 2 then pairs / ((n - 1) * (n - 2)) else 0 end as score from s{i} where n >= 11) window w as (partition by part)) where score >= mean + 3 * sigma and v is not null
 ), r{i} as (select r from {roots} where r not in (select contig from f{i})), g{i} as (select * from {groups} where g not in (select contig from f{i}))"""
     return sql + " union all ".join([f" select contig, round(score, 6) as score, round from f{i}" for i in range(1, rounds + 1)])
 
@@ -786,7 +787,7 @@ def g05_trees(spark, sf):
     group = F.concat(F.lit("g"), F.col("c_nationkey").cast("string"), F.lit(":"), "c_mktsegment")
     edge = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     edges = rows.select(F.explode(F.array(edge(root, group), edge(group, key))).alias("e")).select("e.*").distinct()
-    return centrality.high_centrality(edges, rounds=3, min_nodes=5).select("contig", _r("score"), "round")
+    return centrality.high_centrality(edges, rounds=3, min_nodes=11).select("contig", _r("score"), "round")
 
 
 @query(
