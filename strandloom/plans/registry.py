@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandloom.config import Config
 from strandloom.functions import links as fl, sequences as fs
-from strandloom.operators import blocks, bubbles, bundle, centrality, extras, flow, graph, hyper, layout, motifs, orient, pairs, repeats, splits, steiner, tour
+from strandloom.operators import blocks, bubbles, bundle, centrality, extras, flow, graph, hyper, layout, motifs, nibble, orient, pairs, repeats, splits, steiner, tour
 from strandloom.plans import derived, scaffold
 from strandloom.plans.derived import SQL
 from strandloom.shared import written
@@ -808,3 +808,10 @@ def g26_cycles(spark, sf):
     whole = (F.count("*") == F.count_distinct("contig")) & (F.coalesce(F.sum("is_edge"), F.lit(0)) == F.count("*") - 1) & ends
     cycles = steps.groupBy("component", "a", "b").agg(whole.alias("whole"))
     return cycles.groupBy("component").agg(F.count("*").alias("n_cycles"), F.sum(F.col("whole").cast("long")).alias("n_whole"))
+
+
+@query("x19_clusters")
+def x19(spark, sf):
+    """Each contig's cluster in the bundled graph."""
+    edges = written(_bundled(spark, sf).select("a", "b"), "edges")
+    return nibble.clusters(edges, graph.nodes(edges), least=1e-3).select("seed", "contig", _r("conductance"))
