@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from strandloom.operators import tour
-from strandloom.operators.graph import components
+from strandloom.operators.graph import component_edges
 from strandloom.schemas import BLOCKS
 from strandloom.shared import written
 
 
 def biconnected(adjacency: dict[str, list[str]]) -> list[set[str]]:
-    """Node sets of the blocks with an edge: depth-first search with an edge stack, without recursion."""
+    """Node sets of the blocks with an edge."""
+    return [{v for e in own for v in e} for own in edge_blocks(adjacency)]
+
+
+def edge_blocks(adjacency: dict[str, list[str]]) -> list[list[tuple[str, str]]]:
+    """Edges, each once, of each block: depth-first search with an edge stack, without recursion."""
     low, order, blocks, edges = {}, {}, [], []
     for root in sorted(adjacency):
         if root in order:
@@ -40,12 +46,9 @@ def biconnected(adjacency: dict[str, list[str]]) -> list[set[str]]:
                     up = trail[-1][0]
                     low[up] = min(low[up], low[u])
                     if low[u] >= order[up]:
-                        block: set[str] = set()
-                        while True:
-                            e = edges.pop()
-                            block.update(e)
-                            if e == (up, u):
-                                break
+                        block = [edges.pop()]
+                        while block[-1] != (up, u):
+                            block.append(edges.pop())
                         blocks.append(block)
     return blocks
 
@@ -79,23 +82,81 @@ def blocks(edges: DataFrame, most: int | None = None) -> DataFrame:
     Components of most edges or fewer are searched depth-first in a task each. Larger ones go through tour.block_members(),
     whose rounds are joins: the result is the same, but no task holds a component.
     """
-    most = MOST_IN_TASK if most is None else most
-    plain = edges.select("a", "b").filter("a != b").distinct()
-    parts = written(plain.join(components(edges).withColumnRenamed("contig", "a"), "a"), "parts")
-    large = written(parts.groupBy("component").count().filter(F.col("count") > most).select("component"), "large")
+    small, large = parted(edges, most)
+    found = by_component(small, lambda component, a, b: [(component, i, m) for i, (m, _) in enumerate(blocks_of(a, b))], BLOCKS)
+    return found if large is None else found.unionByName(large_blocks(large))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = sorted(sorted(b) for b in biconnected(_adjacency(zip(pdf["a"], pdf["b"]))))
-        return pd.DataFrame([(pdf["component"].iloc[0], i, m) for i, m in enumerate(found)], columns=["component", "block", "members"])
 
-    small = parts.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, BLOCKS)
-    if large.isEmpty():
-        return small
-    found = tour.block_members(parts.join(large, "component", "left_semi"))
+def large_blocks(parts: DataFrame) -> DataFrame:
+    """The same of edges (component, a, b) of components of any size."""
+    found = tour.block_members(parts.filter("a != b"))
     found = found.groupBy("component", "key").agg(F.sort_array(F.collect_list("node")).alias("members")).drop("key")
     order = written(tour.numbered(found, ["component", "members"], "place"), "order")
     first = order.groupBy("component").agg(F.min("place").alias("first"))
-    return small.unionByName(order.join(first, "component").select("component", (F.col("place") - F.col("first")).cast("int").alias("block"), "members"))
+    return order.join(first, "component").select("component", (F.col("place") - F.col("first")).cast("int").alias("block"), "members")
+
+
+def parted(edges: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(component, a, b) of edges of the components that a task may hold, and of those of more than most edges, or None if there are none."""
+    parts, counts = component_edges(edges)
+    large = written(counts.filter(F.col("n") > (MOST_IN_TASK if most is None else most)).select("component"), "large")
+    if large.isEmpty():
+        return parts, None
+    return parts.join(large, "component", "left_anti"), written(parts.join(large, "component", "left_semi"), "large")
+
+
+def blocks_of(a: list[str], b: list[str]) -> list[tuple[list[str], list[tuple[str, str]]]]:
+    """Members and edges of each block of a component's edges, in order of members."""
+    return sorted((sorted({v for e in own for v in e}), own) for own in edge_blocks(_adjacency(zip(a, b))))
+
+
+def by_component(parts: DataFrame, found: Callable[[str, list[str], list[str]], list[tuple]], schema: str) -> DataFrame:
+    """Rows that a function makes of each component's edges (component, a, b). Components are many and small: a task goes through its own one by one."""
+    return by_key(parts, ["component"], ["a", "b"], lambda key, a, b: found(key[0], a, b), schema)
+
+
+def by_key(rows: DataFrame, keys: list[str], values: list[str], found: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """Rows that a function makes of each key and its columns of values, as lists in any order; a task holds one key's rows at a time, beside a batch."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+    small = {c.split()[0]: "Int32" if c.endswith(" int") else "Int64" for c in schema.split(", ") if c.endswith((" int", " long"))}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for key, own in runs(batches, keys, values):
+            out += found(key, *own)
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=columns).astype(small)
+                out = []
+        yield pd.DataFrame(out, columns=columns).astype(small)
+
+    # A hash of the keys deals them out, as Spark may leave out a repartition by the very columns of the join before it and then read that join's shuffle where it lies.
+    dealt = rows.select(*keys, *values).repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys)
+    return dealt.mapInPandas(run, schema)
+
+
+def runs(batches: Iterator[pd.DataFrame], keys: list[str], values: list[str]) -> Iterator[tuple[tuple, list[list]]]:
+    """Each key of a sorted stream, and its values column by column."""
+    now, held = None, []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        own = [pdf[k].to_numpy() for k in keys]
+        new = np.zeros(len(pdf), dtype=bool)
+        for k in own:
+            new[1:] |= k[1:] != k[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), len(pdf)]
+        columns = [pdf[v].tolist() for v in values]
+        for i, j in zip(cuts, cuts[1:]):
+            key, rows = tuple(k[i] for k in own), [c[i:j] for c in columns]
+            if key == now:
+                for h, r in zip(held, rows):
+                    h.extend(r)
+                continue
+            if now is not None:
+                yield now, held
+            now, held = key, rows
+    if now is not None:
+        yield now, held
 
 
 def block_edges(edges: DataFrame, of: DataFrame) -> DataFrame:

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.shared import written
 
+#: Edges that a task contracts at once; links of contracted parts are settled in one task once they are so few.
+AT_ONCE = 500_000
+
 
 def endpoints(edges: DataFrame) -> DataFrame:
     """contig: both ends of each edge, in one pass over the edges."""
@@ -43,33 +52,143 @@ def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """contig and component (its smallest member) of each node; direction doesn't count, an edge to itself makes a component of one.
+    """contig and component (its smallest member) of each node; direction doesn't count, an edge to itself makes a component of one. A null is no node.
+
+    Tasks contract their edges first, so many at once, to stars of numbers; what then is left to be joined over tasks are the links between stars that
+    share a node, a small part of the edges wherever edges that belong together lie together.
+    """
+    _, meet, part = _stars(edges, with_edges=False)
+    return meet.filter("star = at").drop("star").join(part.withColumnRenamed("star", "at"), "at", "left").select(F.col("node").alias("contig"), F.coalesce("component", "name").alias("component"))
+
 
-    Rounds of large-star and small-star: neighbours are linked to the smallest node that is near, until nothing
-    changes. The links' number never grows; each round is written, so lineage stays short.
+def component_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(component, a, b) of the edges (a, b), loops and repeated ones too, and (component, n): how many each component has. No edge is joined by name."""
+    stars, _, part = _stars(edges, with_edges=True)
+    rows = stars.filter("other is not null")
+    named = F.coalesce("component", "name").alias("component")
+    counts = rows.groupBy("star", "name").agg(F.count("*").alias("n")).join(part, "star", "left").select(named, "n").groupBy("component").agg(F.sum("n").alias("n"))
+    return rows.join(part, "star", "left").select(named, F.col("node").alias("a"), F.col("other").alias("b")), counts
+
+
+def _stars(edges: DataFrame, with_edges: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stars, where stars meet, and (star, component) of stars that meet others.
+
+    A row of stars is (node, star, name of its smallest node, null) for each node of a star, and with edges (a, star, name, b) for each edge. A node is once in a
+    star, so it has a row for each lot of edges that a task contracted at most, however many edges it has.
     """
-    a, b = F.col("a"), F.col("b")
-    edges = written(edges.select("a", "b").distinct(), "edges")
-    own = nodes(edges)
-    now = written(edges.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
-    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    at = state(now)
-    while at[0]:
-        both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = written(both.filter(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")).distinct(), "links")
-        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
-        now = written(small.select(F.when(b == F.col("m"), a).otherwise(b).alias("a"), F.col("m").alias("b")).distinct(), "links")
-        before, at = at, state(now)
-        if at == before:
-            break
-    return own.join(now.select(a.alias("contig"), b.alias("component")), "contig", "left").select("contig", F.coalesce("component", "contig").alias("component"))
+    kind, most = edges.schema["a"].dataType.simpleString(), AT_ONCE
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        for lot in _lots(batches, most):
+            a, b, names = _coded(lot)
+            root = _roots(len(names), a, b)
+            top = root == np.arange(len(names))
+            star = first + (np.cumsum(top) - 1)[root]
+            first += int(top.sum())
+            name = names.take(pa.array(root))
+            columns = ["node", "star", "name", "other"]
+            yield from pa.table([names, pa.array(star), name, pa.nulls(len(names), names.type)], columns).to_batches(max_chunksize=20_000)
+            if with_edges:
+                whole = lot.filter(pc.and_(pc.is_valid(lot["a"]), pc.is_valid(lot["b"])))
+                at = a[_valid(lot)]
+                yield from pa.table([whole["a"], pa.array(star[at]), name.take(pa.array(at)), whole["b"]], columns).to_batches(max_chunksize=20_000)
+
+    stars = written(edges.select("a", F.col("b").cast(kind).alias("b")).mapInArrow(contract, f"node {kind}, star long, name {kind}, other {kind}"), "stars")
+    own = stars.filter("other is null").drop("other")
+    meet = written(own.withColumn("at", F.min("star").over(Window.partitionBy("node"))), "meet")
+    settled = written(_settled(written(meet.filter("star != at").select(F.col("star").alias("a"), F.col("at").alias("b")).distinct(), "links")), "settled")
+    if settled.isEmpty():
+        return stars, meet, settled.select("star", F.lit(None).cast(kind).alias("component"))
+    named = written(settled.join(own.filter("node = name").select("star", "name"), "star"), "named")
+    part = named.select("star", "root").join(named.groupBy("root").agg(F.min("name").alias("component")), "root").select("star", "component")
+    return stars, meet, written(part, "parts")
+
+
+def _lots(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Batches put together to most rows or a little more."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _valid(lot: pa.Table) -> np.ndarray:
+    """Of the edges with an end, which have both."""
+    one, two = (lot[c].is_valid().to_numpy() for c in "ab")
+    return (one & two)[one | two]
+
+
+def _coded(lot: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Edges between numbers in order of name, and the names; an edge with one end is a loop, one with none is no edge."""
+    ends = pa.chunked_array([*lot["a"].chunks, *lot["b"].chunks]).combine_chunks()
+    ends = (ends.combine_chunks() if isinstance(ends, pa.ChunkedArray) else ends).dictionary_encode()
+    order = pc.sort_indices(ends.dictionary)
+    place = np.empty(len(order) + 1, dtype=np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    place[-1] = -1
+    codes = place[pc.fill_null(ends.indices, -1).to_numpy(zero_copy_only=False)]
+    a, b = codes[: lot.num_rows], codes[lot.num_rows :]
+    a, b = np.where(a < 0, b, a), np.where(b < 0, a, b)
+    return a[a >= 0], b[a >= 0], ends.dictionary.take(order)
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number of each number's component, of edges between numbers below n."""
+    root = np.arange(n)
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+def _settled(links: DataFrame) -> DataFrame:
+    """star and root, the same number for all stars of a component, of distinct links (a, b) between stars that meet others.
+
+    While there are too many links for a task, each number becomes the least one near it in an order that is new in each round, and links between equal
+    numbers go: numbers shrink by a constant factor a round. The order is that of a hash which is one to one on longs, so hashes serve as numbers
+    themselves; a number that has lost its last link is hashed on like the others.
+    """
+    ways: list[DataFrame] = []
+    turned = lambda c, k: F.xxhash64(c, F.lit(k))
+    while links.count() > AT_ONCE:
+        k = len(ways)
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = written(both.groupBy("a").agg(F.least(turned(F.col("a"), k), F.min(turned(F.col("b"), k))).alias("to")), "ways")
+        rows = links.join(to.withColumnRenamed("to", "x"), "a").join(to.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+        links = written(rows.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        ways.append(to)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            a, b, names = _coded(pa.Table.from_batches(held))
+            yield from pa.table([names, names.take(pa.array(_roots(len(names), a, b)))], ["star", "root"]).to_batches(max_chunksize=20_000)
+
+    done = links.coalesce(1).mapInArrow(settle, "star long, root long")
+    for k in range(len(ways) - 1, -1, -1):
+        alone = F.col("to")
+        for j in range(k + 1, len(ways)):
+            alone = turned(alone, j)
+        done = written(ways[k].join(written(done, "done").withColumnRenamed("star", "to"), "to", "left").select(F.col("a").alias("star"), F.coalesce("root", alone).alias("root")), "done")
+    return done
 
 
 def node_ids(names: DataFrame) -> DataFrame:
     """contig and id: 1 for the first in order of name, without one task that sorts all: ranges are sorted apart and numbered on."""
-    from pyspark.sql import Window
-
     parts = written(names.select("contig").distinct().repartitionByRange("contig").withColumn("part", F.spark_partition_id()), "ranges")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = parts.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
