@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from strandloom.operators import graph
 
 
-def incidence(rows: DataFrame, edge: str, node: str) -> DataFrame:
-    """edge and node, as text, of two columns: repeated rows are one, and rows with a null in either are none."""
-    return rows.select(F.col(edge).cast("string").alias("edge"), F.col(node).cast("string").alias("node")).dropna().distinct()
+def incidence(rows: DataFrame, edge: str, node: str, repeated: bool = False) -> DataFrame:
+    """edge and node, as text, of two columns: repeated rows are one, unless they may stay, and rows with a null in either are none."""
+    rows = rows.select(F.col(edge).cast("string").alias("edge"), F.col(node).cast("string").alias("node")).dropna()
+    return rows if repeated else rows.distinct()
 
 
 def edge_sizes(inside: DataFrame) -> DataFrame:
@@ -28,7 +29,8 @@ def node_degrees(inside: DataFrame) -> DataFrame:
 def components(inside: DataFrame) -> DataFrame:
     """kind (edge or node), name and component (its smallest node): edges that share a node are together.
 
-    Edges and nodes are the two sides of a graph whose links are the incidences, whose number stays as it is.
+    Edges and nodes are the two sides of a graph whose links are the incidences, whose number stays as it is. Repeated rows do no harm, and where
+    an edge's rows lie together, that edge is contracted where it lies.
     """
     # a mark before each name keeps the sides apart, and a node is always the smallest member
     links = inside.select(F.concat(F.lit("0"), "node").alias("a"), F.concat(F.lit("1"), "edge").alias("b"))
