@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandloom.operators.blocks import MOST_IN_TASK, _adjacency, block_edges, blocks, cuts
+from strandloom.operators.blocks import MOST_IN_TASK, _adjacency, block_edges, blocks_of, by_component, cuts, large_blocks, parted
 from strandloom.shared import written
 
 KEY = ["component", "block"]
@@ -135,8 +135,8 @@ def _chains(edges: DataFrame) -> DataFrame:
     return rows.join(back, [*KEY, "x", "y"]).filter("at < back").select(*KEY, F.col("at").alias("chain"), "place", "x", "y", "start", "end", (F.col("steps") + F.col("place") + 1).alias("n"))
 
 
-def split_classes(edges: DataFrame, of: DataFrame, most: int | None = None) -> DataFrame:
-    """component, block, class, kind, place, node, virtual, sides of blocks (component, block, members) of more than two edges.
+def split_classes(edges: DataFrame, of: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """component, block, class, kind, place, node, virtual, sides of blocks (component, block, members; all, if not given) of more than two edges.
 
     A ring has its nodes in order, from the smallest one on towards its smaller neighbour; virtual tells whether the edge to the next node (from the last to the first)
     stands for more of the block. A bond has two nodes, and sides of it meet there; a rest has nodes with three neighbours or more, whose pairs have kind pair.
@@ -144,6 +144,10 @@ def split_classes(edges: DataFrame, of: DataFrame, most: int | None = None) -> D
     holds the nodes of three neighbours or more of one block; a ring of any length is never held. The rest of a block is searched
     for pairs by one task. Loops and parallel edges don't count; a bridge has no class.
     """
+    if of is None:
+        small, large = parted(edges, most)
+        found = by_component(small, _classes_within, CLASSES)
+        return found if large is None else found.unionByName(split_classes(large, written(large_blocks(large), "blocks"), most))
     most = MOST_IN_TASK if most is None else most
     # an edge and its reverse are one
     simple = edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -186,6 +190,23 @@ def split_classes(edges: DataFrame, of: DataFrame, most: int | None = None) -> D
     return _turned(found.drop("chain"))
 
 
+def _classes_within(component: str, a: list[str], b: list[str]) -> list[tuple]:
+    """split_classes() of one component, its rings turned as _turned() does."""
+    out = []
+    for block, (_, own) in enumerate(blocks_of(a, b)):
+        if len(own) < 3:
+            continue
+        for number, (kind, items, sides) in enumerate(reduced((*e, None) for e in sorted((min(e), max(e)) for e in own))):
+            if kind == "ring":
+                n, first = len(items), min(range(len(items)), key=lambda i: items[i][0])
+                way = 1 if items[(first + 1) % n][0] < items[first - 1][0] else -1
+                at = [(first + way * i) % n for i in range(n)]
+                # an edge belongs to that of its two nodes which now comes first
+                items = [(items[i][0], items[i if way == 1 else i - 1][1]) for i in at]
+            out += [(component, block, number, kind, place, node, None if then is None else then == "virtual", sides) for place, (node, then) in enumerate(items)]
+    return out
+
+
 def _with_chains(found: DataFrame, chains: DataFrame) -> DataFrame:
     """Classes with their chains' inner nodes put in, and the rings that are a block by themselves."""
     inner = chains.filter("place < n - 1").select(*KEY, "chain", F.col("place").alias("step"), F.col("y").alias("inside"), "start", "n")
@@ -223,11 +244,7 @@ def split_pairs(edges: DataFrame, of: DataFrame) -> DataFrame:
     rows = block_edges(edges.select("a", "b").filter("a != b").distinct(), of).join(own, ["component", "block"], "left")
 
     def found(key: tuple, rows: list[tuple], both) -> list[tuple]:
-        inside, pairs = _adjacency(rows), []
-        if both is not None and len(both) == 2:
-            pairs.append(tuple(both))
-        pairs += sorted(pairs_within(reduced((a, b, None) for a in sorted(inside) for b in inside[a] if a < b)))
-        return [(*key, j, u, v) for j, (u, v) in enumerate(dict.fromkeys(pairs))]
+        return [(*key, j, u, v) for j, (u, v) in enumerate(_pairs_of(rows, both))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, own, both, out = None, [], None, []
@@ -247,7 +264,35 @@ def split_pairs(edges: DataFrame, of: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "component string, block int, pair int, u string, v string")
 
 
-def separation_pairs(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """split_pairs() with members, the whole block's nodes, beside each pair."""
-    of = written(blocks(edges), "blocks") if of is None else of
+def _pairs_of(rows: list[tuple[str, str]], both) -> list[tuple[str, str]]:
+    """A block's pairs in their order, of its edges and cut nodes."""
+    inside, pairs = _adjacency(rows), []
+    if both is not None and len(both) == 2:
+        pairs.append(tuple(both))
+    pairs += sorted(pairs_within(reduced((a, b, None) for a in sorted(inside) for b in inside[a] if a < b)))
+    return list(dict.fromkeys(pairs))
+
+
+def pairs_by_block(a: list[str], b: list[str]) -> Iterator[tuple[int, list[str], list[tuple[str, str]], list[tuple[str, str]]]]:
+    """Number, members, edges and pairs of each block of more than two edges of a component."""
+    found = blocks_of(a, b)
+    seen: dict[str, int] = {}
+    for members, _ in found:
+        for v in members:
+            seen[v] = seen.get(v, 0) + 1
+    for i, (members, own) in enumerate(found):
+        if len(own) > 2:
+            yield i, members, own, _pairs_of(own, [v for v in members if seen[v] > 1])
+
+
+def separation_pairs(edges: DataFrame, of: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """split_pairs() of some blocks, or of all, with members, the whole block's nodes, beside each pair. A component of at most most edges is searched in one pass of a task."""
+    if of is None:
+        small, large = parted(edges, most)
+
+        def found(component: str, a: list[str], b: list[str]) -> list[tuple]:
+            return [(component, i, j, u, v, members) for i, members, _, pairs in pairs_by_block(a, b) for j, (u, v) in enumerate(pairs)]
+
+        rows = by_component(small, found, "component string, block int, pair int, u string, v string, members array<string>")
+        return rows if large is None else rows.unionByName(separation_pairs(large, written(large_blocks(large), "blocks")))
     return split_pairs(edges, of).join(of, ["component", "block"]).select("component", "block", "pair", "u", "v", "members")
