@@ -7,8 +7,8 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.operators.blocks import blocks
-from strandloom.operators.splits import split_pairs
+from strandloom.operators.blocks import by_component, large_blocks, parted
+from strandloom.operators.splits import pairs_by_block, split_pairs
 from strandloom.schemas import BUBBLES
 from strandloom.shared import written
 
@@ -32,13 +32,45 @@ def is_bubble(source: str, sink: str, members: set[str], out: dict[str, list[str
     return sink in reached and reached == members
 
 
-def find_bubbles(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """component, source, sink, members: pairs are tried in order of component, block and pair, each way round; the first that holds claims its block's members, and what touches claimed members is passed over."""
-    if pairs is None:
-        of = written(blocks(edges), "blocks")
-        own = split_pairs(edges, of).groupBy("component", "block").agg(F.sort_array(F.collect_list(F.struct("pair", "u", "v"))).alias("pairs")).join(of, ["component", "block"])
-    else:
-        own = pairs.groupBy("component", "block").agg(F.sort_array(F.collect_list(F.struct("pair", "u", "v"))).alias("pairs"), F.first("members").alias("members"))
+def find_bubbles(edges: DataFrame, pairs: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """component, source, sink, members: pairs are tried in order of component, block and pair, each way round; the first that holds claims its block's members, and what touches claimed members is passed over.
+
+    Without pairs, components of at most most edges go from edges to bubbles in one pass of a task.
+    """
+    if pairs is not None:
+        return _claimed(edges, pairs.groupBy("component", "block").agg(F.sort_array(F.collect_list(F.struct("pair", "u", "v"))).alias("pairs"), F.first("members").alias("members")))
+    small, large = parted(edges, most)
+    found = by_component(small, _bubbles_within, BUBBLES)
+    if large is None:
+        return found
+    of = written(large_blocks(large), "blocks")
+    own = split_pairs(large, of).groupBy("component", "block").agg(F.sort_array(F.collect_list(F.struct("pair", "u", "v"))).alias("pairs")).join(of, ["component", "block"])
+    return found.unionByName(_claimed(large, own))
+
+
+def _bubbles_within(component: str, a: list[str], b: list[str]) -> list[tuple]:
+    """find_bubbles() of one component."""
+    rows, claimed, arcs = [], set(), set(zip(a, b))
+    for _, names, own, pairs in pairs_by_block(a, b):
+        members = set(names)
+        if members & claimed:
+            continue
+        out: dict[str, list[str]] = {}
+        back: dict[str, list[str]] = {}
+        for u, v in [*own, *((v, u) for u, v in own), *((v, v) for v in names)]:
+            if (u, v) in arcs:
+                out.setdefault(u, []).append(v)
+                back.setdefault(v, []).append(u)
+        ways = (way for u, v in pairs for way in ((u, v), (v, u)))
+        found = next(((s, t) for s, t in ways if is_bubble(s, t, members, out, back)), None)
+        if found:
+            rows.append((component, *found, names))
+            claimed |= members
+    return rows
+
+
+def _claimed(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """Bubbles of blocks (component, block, pairs, members)."""
     own = written(own, "pairs")
     # a block's members stand once beside all its pairs
     parts = own.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("block", "members", "pairs"))).alias("blocks"))
@@ -77,14 +109,12 @@ def collapse(edges: DataFrame, bubbles: DataFrame) -> DataFrame:
     sink to source EB. Of edges that then run between the same nodes the later kind stands, and within a kind the one
     between later names.
     """
-    member = bubbles.select(F.explode("members").alias("node"), F.struct(F.lit(True).alias("bubble"), F.col("source").alias("name")).alias("into"))
-    source = bubbles.select(F.col("source").alias("node"), F.lit(True).alias("yes"))
-    sink = bubbles.select(F.col("sink").alias("node"), F.lit(True).alias("yes"))
+    # bubbles share no member, so a node has one row at most
+    member = bubbles.select("source", "sink", F.explode("members").alias("node"))
+    member = member.select("node", F.struct(F.lit(True).alias("bubble"), F.col("source").alias("name")).alias("into"), (F.col("node") == F.col("source")).alias("source"), (F.col("node") == F.col("sink")).alias("sink"))
     rows = edges.select("a", "b", F.concat("oa", "ob").alias("ends"), "bsize")
     for side in ("a", "b"):
-        rows = rows.join(member.select(F.col("node").alias(side), F.col("into").alias(f"into_{side}")), side, "left")
-        rows = rows.join(source.select(F.col("node").alias(side), F.col("yes").alias(f"source_{side}")), side, "left")
-        rows = rows.join(sink.select(F.col("node").alias(side), F.col("yes").alias(f"sink_{side}")), side, "left")
+        rows = rows.join(member.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("into", "source", "sink")]), side, "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     rim = lambda s: yes(f"source_{s}") | yes(f"sink_{s}")
     apart = F.coalesce(F.col("into_a") != F.col("into_b"), F.lit(False))
