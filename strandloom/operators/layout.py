@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandloom.functions.sequences import gap_join, reverse_complement
+from strandloom.operators.blocks import by_key
 from strandloom.shared import written
 
 NODE = "struct<bubble:boolean,name:string>"
@@ -148,22 +148,23 @@ def other_paths(edges: list[tuple[str, str, int]], members: list[str], path: lis
 
 
 def bubble_paths(edges: DataFrame, bubbles: DataFrame) -> DataFrame:
-    """source, heaviest array<string>, others array<array<string>> of each bubble."""
-    inner = edges.groupBy("a", "b").agg(F.max("bsize").alias("bsize"))
-    member = bubbles.select("source", F.explode("members").alias("a"))
-    rows = inner.join(member, "a").join(member.select("source", F.col("a").alias("b")), ["source", "b"])
-    of = rows.groupBy("source").agg(F.collect_list(F.struct("a", "b", "bsize")).alias("edges")).join(bubbles, "source")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pdf.itertuples():
-            inside = [(e["a"], e["b"], e["bsize"]) for e in r.edges]
-            best = heaviest_path(inside, r.source, r.sink)
-            if best:
-                out.append((r.source, best, other_paths(inside, list(r.members), best)))
-        return pd.DataFrame(out, columns=["source", "heaviest", "others"])
-
-    return of.select("source", "sink", "members", "edges").groupBy("source").applyInPandas(run, "source string, heaviest array<string>, others array<array<string>>")
+    """source, heaviest array<string>, others array<array<string>> of each bubble. Bubbles are many and small: a task goes through its own one by one."""
+    member = bubbles.select("source", "sink", F.explode("members").alias("a"))
+    # a member without an edge out has a row too, and b is null beyond the bubble
+    rows = member.join(edges.select("a", "b", "bsize"), "a", "left")
+    rows = rows.join(member.select("source", F.col("a").alias("b"), F.lit(True).alias("inside")), ["source", "b"], "left")
+    rows = rows.select("source", "sink", "a", F.when(F.col("inside"), F.col("b")).alias("b"), F.coalesce("bsize", F.lit(0)).alias("bsize"))
+
+    def found(key: tuple, sink: list[str], a: list[str], b: list[str | None], bsize: list[int]) -> list[tuple]:
+        most: dict[tuple[str, str], int] = {}
+        for u, v, size in zip(a, b, bsize):
+            if v is not None:
+                most[u, v] = max(size, most.get((u, v), size))
+        inside = [(u, v, size) for (u, v), size in most.items()]
+        best = heaviest_path(inside, key[0], sink[0])
+        return [(*key, best, other_paths(inside, sorted(set(a)), best))] if best else []
+
+    return by_key(rows, ["source"], ["sink", "a", "b", "bsize"], found, "source string, heaviest array<string>, others array<array<string>>")
 
 
 def scaffold_parts(edges: DataFrame, orientation: DataFrame, bubbles: DataFrame, paths: DataFrame) -> DataFrame:
