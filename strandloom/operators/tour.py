@@ -54,15 +54,15 @@ def forest_and_parts(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reduce(DataFrame.unionByName, taken) if taken else edges.select("a", "b"), label
 
 
-def rooted_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rooted_forest(edges: DataFrame, parts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(contig, root, parent, pre, size) of a spanning forest of the undirected graph, and its edges (a, b).
 
     Each component's smallest node is its root, whose parent is null. pre counts all nodes from 0, component by component, each subtree without a gap: that of a node
     are the size numbers from its own. The tour of a tree goes on from an arc into a node along that node's next
-    arc out, in order of name; it is cut at the root and ranked.
+    arc out, in order of name; it is cut at the root and ranked. With parts, the components of all nodes (contig, component), edges are a forest already.
     """
     plain = written(simple(edges, directed=False), "plain")
-    tree, linked = forest_and_parts(plain)
+    tree, linked = forest_and_parts(plain) if parts is None else (plain, parts)
     alone = nodes(edges).join(linked, "contig", "left_anti").withColumn("component", F.col("contig"))
     parts = written(linked.unionByName(alone), "parts")
     both = tree.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(tree.select(F.col("b").alias("x"), F.col("a").alias("y")))
