@@ -100,18 +100,18 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
 
 def topological_levels(edges: DataFrame) -> DataFrame:
     """contig and level (0 for nodes without edges in): peeled round by round; nodes on rings, and what only they lead to, have none."""
-    left, own = simple(edges), nodes(edges)
-    left_nodes, level, found = written(own, "nodes"), 0, None
-    left = written(left, "edges")
-    looped = written(loops(edges).select(F.col("a").alias("contig")).distinct(), "loops")
+    arcs = written(edges.select("a", "b").distinct(), "arcs")
+    end = lambda side, n: F.struct(F.col(side).alias("contig"), F.lit(n).cast("long").alias("n"))
+    # a loop is an edge in that never goes
+    left = arcs.select(F.explode(F.array(end("a", 0), end("b", 1))).alias("e")).select("e.*").groupBy("contig").agg(F.sum("n").alias("n"))
+    left, level, found = written(left, "waiting"), 0, None
     while True:
-        free = left_nodes.join(left.select(F.col("b").alias("contig")).distinct(), "contig", "left_anti").join(looped, "contig", "left_anti")
-        free = written(free.withColumn("level", F.lit(level)), "free")
+        free = left.filter("n = 0").select("contig", F.lit(level).alias("level"))
         if free.isEmpty():
             return found if found is not None else free
         found = free if found is None else found.unionByName(free)
-        left_nodes = written(left_nodes.join(free, "contig", "left_anti"), "nodes")
-        left = written(left.join(free.select(F.col("contig").alias("a")), "a", "left_anti"), "edges")
+        seen = arcs.join(free.select(F.col("contig").alias("a")), "a").groupBy(F.col("b").alias("contig")).agg(F.count("*").alias("seen"))
+        left = written(left.filter("n > 0").join(seen, "contig", "left").select("contig", (F.col("n") - F.coalesce("seen", F.lit(0))).alias("n")), "waiting")
         level += 1
 
 
