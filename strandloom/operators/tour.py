@@ -1,19 +1,27 @@
 """Rooted spanning forests by Euler tours, and what follows from them: subtrees' minima, blocks, lowest common ancestors.
 
-No task holds a component: tours are ranked by pointer doubling, nodes are numbered range by range, and minima over subtrees come
-from a table of ranges whose length doubles.
+No task holds a component: tasks go through lots of bounded size, dealt out by component, and what runs on beyond a lot is left to rounds of joins. Tours are
+ranked by pointer doubling, nodes are numbered range by range, and minima over subtrees come from tables of ranges whose length doubles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from strandloom.operators import graph
 from strandloom.operators.extras import simple
 from strandloom.operators.graph import components, nodes
 from strandloom.shared import written
 
+#: Places that lie in one block, whose extremes a task tables at once.
+BLOCK = 1 << 16
+
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """A gapless number from 0 in the order of some columns, counted range by range."""
@@ -24,9 +32,50 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return parts.join(F.broadcast(firsts), "__part").withColumn(name, (F.col("__first") + rank - 1).cast("long")).drop("__part", "__first")
 
 
+def _lots(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows sorted by part in lots of about most; a part of at most most rows is never cut."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < most:
+            continue
+        lot = pa.Table.from_batches(held)
+        same = pc.equal(lot["part"], lot["part"][-1]).to_numpy()
+        cut = int(np.argmax(same)) or n
+        yield lot.slice(0, cut)
+        held, n = lot.slice(cut).to_batches(), n - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(F.xxhash64("part")).sortWithinPartitions("part")
+
+
 def ranked(links: DataFrame) -> DataFrame:
-    """id and steps to the end of its list, of (id, to) where to is null at an end: pointers double each round."""
-    now = written(links.select("id", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("steps")), "ranks")
+    """id and steps to the end of its list, of (id, to, part) where to is null at an end and part says which lists may lie together.
+
+    Pointers double, first within lots of each part and then, where lists run on beyond a lot, by a join a round.
+    """
+    most = graph.AT_ONCE
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in _lots(batches, most):
+            own, to = lot["id"].to_numpy(), pc.fill_null(lot["to"], -1).to_numpy()
+            order = np.argsort(own)
+            at = np.minimum(np.searchsorted(own[order], to), len(own) - 1)
+            here = own[order][at] == to
+            # a row whose next one lies elsewhere points to itself
+            hop = np.where(here, order[at], np.arange(len(own)))
+            steps = here.astype(np.int64)
+            while (hop[hop] != hop).any():
+                steps, hop = steps + steps[hop], hop[hop]
+            last = to[hop]
+            steps += last >= 0
+            yield from pa.table([pa.array(own), pa.array(last, mask=last < 0), pa.array(steps)], ["id", "to", "steps"]).to_batches(max_chunksize=100_000)
+
+    now = written(_dealt(links.select("id", "to", "part")).mapInArrow(within, "id long, to long, steps long"), "ranks")
     while not now.filter("to is not null").isEmpty():
         on = now.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("steps").alias("more"))
         step = now.join(on, "to", "left").select("id", F.col("beyond").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
@@ -34,24 +83,52 @@ def ranked(links: DataFrame) -> DataFrame:
     return now.select("id", "steps")
 
 
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which edges between numbers below n make a spanning forest: each round each part takes its first edge out."""
+    root, taken, left = np.arange(n), np.zeros(len(a), dtype=bool), np.arange(len(a))
+    while True:
+        left = left[root[a[left]] != root[b[left]]]
+        if not len(left):
+            return taken
+        best = np.full(n, len(a))
+        for side in (a, b):
+            np.minimum.at(best, root[side[left]], left)
+        won = np.unique(best[best < len(a)])
+        taken[won] = True
+        root = graph._roots(n, root[a[won]], root[b[won]])[root]
+
+
 def forest_and_parts(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of a spanning forest of simple undirected edges, and (contig, component) of their nodes, component being its smallest node.
+    """(component, a, b) of a spanning forest of simple undirected edges, and (contig, component) of their nodes, component being its smallest node.
 
-    Each round each part takes its least edge out, and parts so joined become one.
+    Tasks take lots of edges, dealt out by component, and keep a forest of each lot. Where a component has more edges than a lot, each round each of its parts
+    takes its least edge out, and parts so joined become one.
     """
-    left = written(edges.select("a", "b", F.col("a").alias("pa"), F.col("b").alias("pb")), "left")
-    label, taken = nodes(edges).withColumn("component", F.col("contig")), []
+    rows, counts = graph.component_edges(edges)
+    kind, most = edges.schema["a"].dataType.simpleString(), graph.AT_ONCE
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in _lots(batches, most):
+            a, b, names = graph._coded(lot)
+            yield from lot.filter(pa.array(_forest(len(names), a, b))).to_batches(max_chunksize=20_000)
+
+    kept = written(_dealt(rows.withColumnRenamed("component", "part")).mapInArrow(within, f"part {kind}, a {kind}, b {kind}").withColumnRenamed("part", "component"), "kept")
+    label = kept.select("component", F.explode(F.array("a", "b")).alias("contig")).distinct()
+    large = written(counts.filter(F.col("n") > most).select("component"), "large")
+    if large.isEmpty():
+        return kept, label
+    left = written(kept.join(large, "component", "left_semi").select("component", "a", "b", F.col("a").alias("pa"), F.col("b").alias("pb")), "left")
+    taken = [kept.join(large, "component", "left_anti")]
     while not left.isEmpty():
-        rank = F.struct("a", "b", "pa", "pb")
+        rank = F.struct("a", "b", "component", "pa", "pb")
         sides = left.select(F.explode(F.array(F.struct(F.col("pa").alias("part"), rank.alias("e")), F.struct(F.col("pb").alias("part"), rank.alias("e")))).alias("s")).select("s.*")
         won = written(sides.groupBy("part").agg(F.min("e").alias("e")).select("e.*").distinct(), "won")
-        taken.append(won.select("a", "b"))
+        taken.append(won.select("component", "a", "b"))
         part = written(components(won.select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "parts")
         new = lambda side: part.select(F.col("contig").alias(side), F.col("component").alias(f"new_{side}"))
-        label = written(label.join(new("component"), "component", "left").select("contig", F.coalesce("new_component", "component").alias("component")), "labels")
         left = left.join(new("pa"), "pa").join(new("pb"), "pb").filter("new_pa != new_pb")
-        left = written(left.select("a", "b", F.col("new_pa").alias("pa"), F.col("new_pb").alias("pb")), "left")
-    return reduce(DataFrame.unionByName, taken) if taken else edges.select("a", "b"), label
+        left = written(left.select("component", "a", "b", F.col("new_pa").alias("pa"), F.col("new_pb").alias("pb")), "left")
+    return reduce(DataFrame.unionByName, taken), label
 
 
 def rooted_forest(edges: DataFrame, parts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -62,26 +139,104 @@ def rooted_forest(edges: DataFrame, parts: DataFrame | None = None) -> tuple[Dat
     arc out, in order of name; it is cut at the root and ranked. With parts, the components of all nodes (contig, component), edges are a forest already.
     """
     plain = written(simple(edges, directed=False), "plain")
-    tree, linked = forest_and_parts(plain) if parts is None else (plain, parts)
+    if parts is None:
+        tree, linked = forest_and_parts(plain)
+    else:
+        tree, linked = plain.join(parts.select(F.col("contig").alias("a"), "component"), "a"), parts
     alone = nodes(edges).join(linked, "contig", "left_anti").withColumn("component", F.col("contig"))
     parts = written(linked.unionByName(alone), "parts")
-    both = tree.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(tree.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    way = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    both = tree.select(F.xxhash64("component").alias("part"), F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e")).select("part", "e.*")
     arcs = written(both.withColumn("id", F.monotonically_increasing_id()), "arcs")
     around = Window.partitionBy("x").orderBy("y")
     roots = parts.filter("contig = component").select(F.col("contig").alias("x"), F.lit(True).alias("at_root"))
     turn = arcs.select("x", "y", F.lead("id").over(around).alias("next"), F.first("id").over(around).alias("begin")).join(roots, "x", "left")
     turn = turn.select(F.col("y").alias("x"), F.col("x").alias("y"), F.coalesce("next", F.when(F.col("at_root").isNull(), F.col("begin"))).alias("to"))
-    steps = written(arcs.join(ranked(arcs.join(turn, ["x", "y"]).select("id", "to")), "id").select("x", "y", "steps"), "steps")
+    steps = written(arcs.join(ranked(arcs.join(turn, ["x", "y"]).select("id", "to", "part")), "id").select("x", "y", "steps"), "steps")
     back = steps.select(F.col("x").alias("y"), F.col("y").alias("x"), F.col("steps").alias("after"))
     down = steps.join(back, ["x", "y"]).filter("steps > after").select(F.col("y").alias("contig"), F.col("x").alias("parent"), "steps", F.expr("(steps - after + 1) div 2").alias("size"))
     sizes = parts.groupBy("component").agg(F.count("*").alias("all"))
     rows = parts.join(down, "contig", "left").join(sizes, "component")
     rows = rows.select("contig", F.col("component").alias("root"), "parent", F.coalesce("size", "all").alias("size"), F.coalesce(-F.col("steps"), F.lit(-(1 << 62))).alias("at"))
-    return written(numbered(rows, ["root", "at"], "pre").drop("at"), "forest"), tree
+    return written(numbered(rows, ["root", "at"], "pre").drop("at"), "forest"), tree.select("a", "b")
 
 
 def range_extremes(values: DataFrame, ranges: DataFrame) -> DataFrame:
-    """ranges (contig, pre, size) with low and high: the least low and greatest high of values (pre, low, high) whose pre lies in the size numbers from pre."""
+    """ranges (contig, pre, size) with low and high: the least low and greatest high of values (pre, low, high) whose pre lies in the size numbers from pre.
+
+    A task tables one block of BLOCK values at a time. A range over several blocks is cut into its part of the first and of the last one, and the whole blocks between
+    them, whose extremes are few and come from a table over many tasks.
+    """
+    width, last = F.lit(BLOCK), F.col("pre") + F.col("size") - 1
+    of = lambda c: F.floor(c / width).cast("long")
+    asked = written(ranges.filter("size > 0").withColumn("one", of(F.col("pre"))).withColumn("two", of(last)), "asked")
+    names = ranges.columns
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranges.schema)
+    piece = lambda block, begin, end: F.struct(block.alias("part"), begin.cast("long").alias("begin"), end.cast("long").alias("end"))
+    begin, end = F.pmod("pre", width), F.pmod(last, width)
+    cut = F.when(F.col("one") == F.col("two"), F.array(piece(F.col("one"), begin, end))).otherwise(F.array(piece(F.col("one"), begin, width - 1), piece(F.col("two"), F.lit(0), end)))
+    pieces = asked.select(*names, F.explode(cut).alias("p")).select(*names, "p.*", F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
+    own = values.select(of(F.col("pre")).alias("part"), F.pmod("pre", width).cast("long").alias("begin"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
+    rows = own.unionByName(pieces, allowMissingColumns=True).select("part", "begin", "end", "low", "high", *names)
+    most = BLOCK
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, now = None, None
+        for batch in batches:
+            part = batch["part"].to_numpy()
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                run = batch.slice(i, j - i)
+                if part[i] != now:
+                    now, big = part[i], np.iinfo(np.int64)
+                    low, high, table = np.full(most, big.max), np.full(most, big.min), None
+                value = run["end"].is_null()
+                given = run.filter(value)
+                if given.num_rows:
+                    at = given["begin"].to_numpy()
+                    low[at], high[at] = given["low"].to_numpy(), given["high"].to_numpy()
+                want = run.filter(pc.invert(value))
+                if not want.num_rows:
+                    continue
+                table = table or _table(low, high)
+                begin, end = want["begin"].to_numpy(), want["end"].to_numpy()
+                level = np.frexp((end - begin + 1).astype(float))[1] - 1
+                lows, highs = np.empty(len(begin), np.int64), np.empty(len(begin), np.int64)
+                for k in np.unique(level):
+                    on = level == k
+                    x, y = begin[on], end[on] - (1 << int(k)) + 1
+                    lows[on] = np.minimum(table[k][0][x], table[k][0][y])
+                    highs[on] = np.maximum(table[k][1][x], table[k][1][y])
+                yield pa.RecordBatch.from_arrays([*[want[c] for c in names], pa.array(lows), pa.array(highs)], [*names, "low", "high"])
+
+    # a block's values stand before what is asked of it
+    dealt = rows.repartition(F.xxhash64("part")).sortWithinPartitions("part", F.col("end").asc_nulls_first())
+    found = written(dealt.mapInArrow(within, f"{types}, low long, high long"), "pieces")
+    far = asked.filter("one < two")
+    between = written(far.filter("two - one > 1").select(*names, F.col("one").alias("__one"), F.col("two").alias("__two")), "between")
+    if not between.isEmpty():
+        blocks = own.groupBy(F.col("part").alias("pre")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        asking = between.select((F.col("__one") + 1).alias("pre"), (F.col("__two") - F.col("__one") - 1).alias("size")).distinct()
+        inner = _doubled_extremes(blocks, asking).withColumnRenamed("pre", "from").withColumnRenamed("size", "n")
+        inner = between.join(inner, (F.col("__one") + 1 == F.col("from")) & (F.col("__two") - F.col("__one") - 1 == F.col("n"))).select(*names, "low", "high")
+        found = found.unionByName(inner)
+    return found.groupBy(*names).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _table(low: np.ndarray, high: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The extremes of 1, 2, 4 and more values from each place on, as far as there are so many."""
+    table, width = [(low, high)], 1
+    while len(low) > width:
+        low, high = np.minimum(low[:-width], low[width:]), np.maximum(high[:-width], high[width:])
+        table.append((low, high))
+        width *= 2
+    return table
+
+
+def _doubled_extremes(values: DataFrame, ranges: DataFrame) -> DataFrame:
+    """range_extremes() by a join for each doubling, however many ranges are asked for and however long they are."""
     asked = written(ranges.withColumn("level", F.floor(F.log2("size")).cast("int")), "asked")
     asked = asked.withColumn("level", F.col("level") - (F.expr("shiftleft(1L, level)") > F.col("size")).cast("int") + (F.expr("shiftleft(2L, level)") <= F.col("size")).cast("int"))
     most = asked.agg(F.max("level")).first()[0]

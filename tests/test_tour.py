@@ -104,3 +104,26 @@ def test_made_acyclic(spark, random_edges):
     plain = {e for e in random_edges if e[0] != e[1]}
     assert turned < plain
     assert {tuple(r) for r in out.collect()} == {(b, a) if (a, b) in turned else (a, b) for a, b in plain}
+
+
+def test_small_lots(spark, random_edges, monkeypatch):
+    monkeypatch.setattr(tour.graph, "AT_ONCE", 5)
+    monkeypatch.setattr(tour, "BLOCK", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        chain = [(f"p{i:02}", f"p{i + 1:02}") for i in range(40)] + [("p07", "p31")]
+        edges = graph(spark, [*random_edges, *chain])
+        found = blocks.blocks(edges, most=0).collect()
+        assert sorted(r["members"] for r in found) == sorted(sorted(b) for b in blocks.biconnected(adjacency([*random_edges, *chain])))
+        test_forest_of_random_graphs(spark, [*random_edges, *chain])
+        test_range_extremes(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_long_chain_takes_no_rounds(spark, monkeypatch):
+    labels, plain = [], tour.written
+    monkeypatch.setattr(tour, "written", lambda df, label: labels.append(label) or plain(df, label))
+    found = blocks.blocks(graph(spark, [(f"p{i:03}", f"p{i + 1:03}") for i in range(300)]), most=0)
+    assert found.count() == 300
+    assert [labels.count(c) for c in ("ranks", "won", "extremes")] == [1, 0, 0]
