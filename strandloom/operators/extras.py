@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from strandloom.operators.graph import components, neighbours, nodes
 from strandloom.shared import written
 
+#: Rounds of page_rank() whose plans are put together to one job.
+ROUNDS_AT_ONCE = 5
+
 
 def loops(edges: DataFrame) -> DataFrame:
     return edges.filter("a = b")
@@ -58,20 +61,24 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False)
 def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 1000, threshold: float = 1e-9) -> DataFrame:
     """contig and rank: weight goes both ways along an edge in equal shares, (1 - d) / n is added before d multiplies, and the result is scaled to 0 to 1.
 
-    Rounds go on until no rank moves by more than the threshold, or there were so many.
+    Rounds go on until no rank moves by more than the threshold, or there were so many; that is seen once in ROUNDS_AT_ONCE rounds, which are one job.
     """
     edges = written(edges.select("a", "b"), "edges")
     near = neighbours(edges)
     share = near.groupBy("node").agg(F.count("*").alias("n_near"))
-    arcs = written(near.join(share, "node"), "arcs")
-    own = nodes(edges)
+    own = written(nodes(edges), "own")
     n = max(1, own.count())
-    rank = written(own.withColumn("rank", F.lit(1.0 / n)), "rank")
-    for _ in range(rounds):
-        sent = arcs.join(rank.withColumnRenamed("contig", "node"), "node").groupBy(F.col("neigh").alias("contig")).agg(F.sum(F.col("rank") / F.col("n_near")).alias("sent"))
-        then = own.join(sent, "contig", "left").join(rank.withColumnRenamed("rank", "before"), "contig")
-        then = then.select("contig", (damping * ((1 - damping) / n + F.coalesce("sent", F.lit(0.0)))).alias("rank"), "before")
-        then = written(then, "rank")
+    # a node's own row brings its rank before the round
+    arcs = near.join(share, "node").unionByName(own.select(F.col("contig").alias("node"), F.col("contig").alias("neigh"), F.lit(None).cast("long").alias("n_near")))
+    arcs = written(arcs, "arcs")
+    rank = own.select("contig", F.lit(1.0 / n).alias("rank"))
+    done, sent = 0, F.coalesce(F.sum(F.col("rank") / F.col("n_near")), F.lit(0.0))
+    while done < rounds:
+        for _ in range(min(ROUNDS_AT_ONCE, rounds - done)):
+            rows = arcs.join(rank.select(F.col("contig").alias("node"), "rank"), "node").groupBy(F.col("neigh").alias("contig"))
+            rank = rows.agg((damping * ((1 - damping) / n + sent)).alias("rank"), F.max(F.when(F.col("n_near").isNull(), F.col("rank"))).alias("before"))
+            done += 1
+        then = written(rank, "rank")
         rank = then.select("contig", "rank")
         moved = then.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0]
         if moved is None or moved <= threshold:

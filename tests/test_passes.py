@@ -1,5 +1,6 @@
 """How often queries go over their tables."""
 
+from strandloom.operators import extras
 from strandloom.plans import derived, registry
 
 
@@ -8,3 +9,11 @@ def test_alignments_are_paired_once(spark, sf, monkeypatch):
     monkeypatch.setattr(derived, "alignments", lambda *a: calls.append(a) or plain(*a))
     registry.QUERIES["p14_filtered_links"](spark, sf)
     assert len(calls) == 1
+
+
+def test_page_rank_writes_once_in_several_rounds(spark, monkeypatch):
+    labels, plain = [], extras.written
+    monkeypatch.setattr(extras, "written", lambda df, label: labels.append(label) or plain(df, label))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "c")], "a string, b string")
+    assert extras.page_rank(edges, rounds=12, threshold=0.0).count() == 4
+    assert labels.count("rank") == 3
