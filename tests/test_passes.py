@@ -17,3 +17,10 @@ def test_page_rank_writes_once_in_several_rounds(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "c")], "a string, b string")
     assert extras.page_rank(edges, rounds=12, threshold=0.0).count() == 4
     assert labels.count("rank") == 3
+
+
+def test_sources_and_sinks_need_no_join(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "d")], "a string, b string")
+    assert [r["contig"] for r in extras.sources(edges).collect()] == ["a"]
+    assert [r["contig"] for r in extras.sinks(edges).collect()] == ["c"]
+    assert "Join" not in extras.sources(edges)._jdf.queryExecution().toString()
