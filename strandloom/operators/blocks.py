@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from strandloom.operators import tour
 from strandloom.operators.graph import component_edges
@@ -96,9 +96,9 @@ def large_blocks(parts: DataFrame) -> DataFrame:
     return order.join(first, "component").select("component", (F.col("place") - F.col("first")).cast("int").alias("block"), "members")
 
 
-def parted(edges: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(component, a, b) of edges of the components that a task may hold, and of those of more than most edges, or None if there are none."""
-    parts, counts = component_edges(edges)
+def parted(edges: DataFrame, most: int | None = None, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame | None]:
+    """(component, a, b), and what else they carry, of edges of the components that a task may hold, and of those of more than most edges, or None if there are none."""
+    parts, counts = component_edges(edges, carried)
     large = written(counts.filter(F.col("n") > (MOST_IN_TASK if most is None else most)).select("component"), "large")
     if large.isEmpty():
         return parts, None
@@ -115,8 +115,8 @@ def by_component(parts: DataFrame, found: Callable[[str, list[str], list[str]],
     return by_key(parts, ["component"], ["a", "b"], lambda key, a, b: found(key[0], a, b), schema)
 
 
-def by_key(rows: DataFrame, keys: list[str], values: list[str], found: Callable[..., list[tuple]], schema: str) -> DataFrame:
-    """Rows that a function makes of each key and its columns of values, as lists in any order; a task holds one key's rows at a time, beside a batch."""
+def by_key(rows: DataFrame, keys: list[str], values: list[str], found: Callable[..., list[tuple]], schema: str, order: Sequence[str | Column] = ()) -> DataFrame:
+    """Rows that a function makes of each key and its columns of values, as lists in the order given or in any; a task holds one key's rows at a time, beside a batch."""
     columns = [c.split()[0] for c in schema.split(", ")]
     small = {c.split()[0]: "Int32" if c.endswith(" int") else "Int64" for c in schema.split(", ") if c.endswith((" int", " long"))}
 
@@ -130,7 +130,7 @@ def by_key(rows: DataFrame, keys: list[str], values: list[str], found: Callable[
         yield pd.DataFrame(out, columns=columns).astype(small)
 
     # A hash of the keys deals them out, as Spark may leave out a repartition by the very columns of the join before it and then read that join's shuffle where it lies.
-    dealt = rows.select(*keys, *values).repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys)
+    dealt = rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).select(*keys, *values)
     return dealt.mapInPandas(run, schema)
 
 

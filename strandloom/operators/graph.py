@@ -61,19 +61,19 @@ def components(edges: DataFrame) -> DataFrame:
     return meet.filter("star = at").drop("star").join(part.withColumnRenamed("star", "at"), "at", "left").select(F.col("node").alias("contig"), F.coalesce("component", "name").alias("component"))
 
 
-def component_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(component, a, b) of the edges (a, b), loops and repeated ones too, and (component, n): how many each component has. No edge is joined by name."""
-    stars, _, part = _stars(edges, with_edges=True)
+def component_edges(edges: DataFrame, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(component, a, b) of the edges (a, b) with the columns they carry, loops and repeated ones too, and (component, n): how many each component has. No edge is joined by name."""
+    stars, _, part = _stars(edges, with_edges=True, carried=carried)
     rows = stars.filter("other is not null")
     named = F.coalesce("component", "name").alias("component")
     counts = rows.groupBy("star", "name").agg(F.count("*").alias("n")).join(part, "star", "left").select(named, "n").groupBy("component").agg(F.sum("n").alias("n"))
-    return rows.join(part, "star", "left").select(named, F.col("node").alias("a"), F.col("other").alias("b")), counts
+    return rows.join(part, "star", "left").select(named, F.col("node").alias("a"), F.col("other").alias("b"), *carried), counts
 
 
-def _stars(edges: DataFrame, with_edges: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _stars(edges: DataFrame, with_edges: bool, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stars, where stars meet, and (star, component) of stars that meet others.
 
-    A row of stars is (node, star, name of its smallest node, null) for each node of a star, and with edges (a, star, name, b) for each edge. A node is once in a
+    A row of stars is (node, star, name of its smallest node, null) for each node of a star, and with edges (a, star, name, b) for each edge, with what it carries. A node is once in a
     star, so it has a row for each lot of edges that a task contracted at most, however many edges it has.
     """
     kind, most = edges.schema["a"].dataType.simpleString(), AT_ONCE
@@ -87,15 +87,17 @@ def _stars(edges: DataFrame, with_edges: bool) -> tuple[DataFrame, DataFrame, Da
             star = first + (np.cumsum(top) - 1)[root]
             first += int(top.sum())
             name = names.take(pa.array(root))
-            columns = ["node", "star", "name", "other"]
-            yield from pa.table([names, pa.array(star), name, pa.nulls(len(names), names.type)], columns).to_batches(max_chunksize=20_000)
+            columns = ["node", "star", "name", "other", *carried]
+            none = [pa.nulls(len(names), lot[c].type) for c in carried]
+            yield from pa.table([names, pa.array(star), name, pa.nulls(len(names), names.type), *none], columns).to_batches(max_chunksize=20_000)
             if with_edges:
                 whole = lot.filter(pc.and_(pc.is_valid(lot["a"]), pc.is_valid(lot["b"])))
                 at = a[_valid(lot)]
-                yield from pa.table([whole["a"], pa.array(star[at]), name.take(pa.array(at)), whole["b"]], columns).to_batches(max_chunksize=20_000)
+                yield from pa.table([whole["a"], pa.array(star[at]), name.take(pa.array(at)), whole["b"], *[whole[c] for c in carried]], columns).to_batches(max_chunksize=20_000)
 
-    stars = written(edges.select("a", F.col("b").cast(kind).alias("b")).mapInArrow(contract, f"node {kind}, star long, name {kind}, other {kind}"), "stars")
-    own = stars.filter("other is null").drop("other")
+    types = "".join(f", {c} {edges.schema[c].dataType.simpleString()}" for c in carried)
+    stars = written(edges.select("a", F.col("b").cast(kind).alias("b"), *carried).mapInArrow(contract, f"node {kind}, star long, name {kind}, other {kind}{types}"), "stars")
+    own = stars.filter("other is null").drop("other", *carried)
     meet = written(own.withColumn("at", F.min("star").over(Window.partitionBy("node"))), "meet")
     settled = written(_settled(written(meet.filter("star != at").select(F.col("star").alias("a"), F.col("at").alias("b")).distinct(), "links")), "settled")
     if settled.isEmpty():

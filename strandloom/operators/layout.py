@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandloom.functions.sequences import gap_join, reverse_complement
-from strandloom.operators.blocks import by_key
+from strandloom.operators.blocks import by_key, parted
 from strandloom.shared import written
 
 NODE = "struct<bubble:boolean,name:string>"
@@ -19,6 +19,48 @@ def end_edges(collapsed: DataFrame) -> DataFrame:
     return collapsed.select(end("a", 1).alias("p"), end("b", 2).alias("q"), "bsize")
 
 
+def scaffold_paths(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """trace_paths() of match_ends() of edges between contig ends. A node without a name is no node.
+
+    Components of at most most edges are matched by a scan and traced in one pass of a task, which goes through its components as a stream sorted by
+    component and size; larger ones take rounds of joins.
+    """
+    name = lambda c: F.concat(F.col(f"{c}.node.bubble").cast("int").cast("string"), F.col(f"{c}.node.name"))
+    named = edges.select(name("p").alias("a"), F.col("p.end").alias("x"), name("q").alias("b"), F.col("q.end").alias("y"), "bsize")
+    small, large = parted(named, most, carried=("x", "y", "bsize"))
+    node = lambda c: F.struct((F.col(c).substr(1, 1) == "1").alias("bubble"), F.expr(f"substr({c}, 2)").alias("name"))
+    found = by_key(small, ["component"], ["a", "x", "b", "y"], _paths_within, "path string, end string, place long, node string, entry string, exit string", [F.desc_nulls_first("bsize"), "a", "x", "b", "y"])
+    found = found.select(F.struct(node("path").alias("node"), "end").alias("path"), "place", node("node").alias("node"), "entry", "exit")
+    if large is None:
+        return found
+    end = lambda c, e: F.struct(node(c).alias("node"), F.col(e).alias("end"))
+    return found.unionByName(trace_paths(match_ends(large.select(end("a", "x").alias("p"), end("b", "y").alias("q"), "bsize"))))
+
+
+def _paths_within(_: tuple, *columns: list[str]) -> list[tuple]:
+    """scaffold_paths() of one component's edges, largest first."""
+    mate: dict[tuple[str, str], tuple[str, str]] = {}
+    for a, x, b, y in zip(*columns):
+        if (a, x) not in mate and (b, y) not in mate:
+            mate[a, x], mate[b, y] = (b, y), (a, x)
+    other = {"B": "E", "E": "B"}
+    rows = []
+    for node, end in mate:
+        begin = at = (node, other[end])
+        if begin in mate:
+            continue
+        trail = []
+        while True:
+            trail.append((at[0], at[1], other[at[1]]))
+            final = trail[-1][0], trail[-1][2]
+            if final not in mate:
+                break
+            at = mate[final]
+        if begin < final:
+            rows += [(*begin, place, *step) for place, step in enumerate(trail)]
+    return rows
+
+
 def match_ends(edges: DataFrame) -> DataFrame:
     """p, q, bsize: the edges that a scan by size takes, each if neither of its ends is taken (ties: smaller p, then q). Of parallel and repeated edges only the first can be.
 
@@ -67,7 +109,8 @@ def trace_paths(matched: DataFrame) -> DataFrame:
     Matched ends and each node's own two ends make paths and rings. A state is a node entered at one end; pointers to the
     state some steps on double each round, so a path of n nodes takes log2(n) rounds. A path begins at the smaller of its ends.
     """
-    both = matched.select("p", "q").unionByName(matched.select(F.col("q").alias("p"), F.col("p").alias("q")))
+    # an end matched with itself stands once, as repeated states would multiply in each round
+    both = matched.select("p", "q").unionByName(matched.filter("p != q").select(F.col("q").alias("p"), F.col("p").alias("q")))
     nodes = both.select(F.col("p.node").alias("node")).distinct()
     states = nodes.select("node", F.explode(F.array(F.lit("B"), F.lit("E"))).alias("entry"))
     leaves = F.struct(F.col("node"), F.when(F.col("entry") == "B", "E").otherwise("B").alias("end"))

@@ -49,7 +49,7 @@ def scaffold_stage(links: DataFrame, contigs: DataFrame, config: Config) -> dict
     valid = keep("oriented", lambda: orient.valid_links(links, orientation))
     found_pairs = keep("pairs", lambda: splits.separation_pairs(valid))
     found = keep("bubbles", lambda: bubbles.find_bubbles(valid, found_pairs))
-    paths = keep("paths", lambda: layout.trace_paths(layout.match_ends(layout.end_edges(bubbles.collapse(valid, found)))))
+    paths = keep("paths", lambda: layout.scaffold_paths(layout.end_edges(bubbles.collapse(valid, found))))
     parts = keep("parts", lambda: layout.scaffold_parts(valid, orientation, found, paths))
     return {"orientation": orientation, "oriented": valid, "pairs": found_pairs, "bubbles": found, "parts": parts, "agp": keep("agp", lambda: layout.agp(parts, contigs))}
 

@@ -52,3 +52,21 @@ def test_rising_and_falling_chains(spark, monkeypatch):
 
 def test_no_edges(spark):
     assert found(spark, []) == []
+
+
+def traced(rows):
+    return sorted((r["path"]["node"]["name"], r["path"]["end"], r["place"], r["node"]["name"], r["entry"], r["exit"]) for r in rows.collect())
+
+
+def test_small_components_take_one_pass(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"g{g:02}n{rng.randrange(9)}{rng.choice('BE')}", f"g{g:02}n{rng.randrange(9)}{rng.choice('BE')}", rng.randint(1, 5)) for g in range(60) for _ in range(11)]
+    rows += [(f"p{i:02}E", f"p{i + 1:02}B", i % 7) for i in range(40)] + [(f"r{i}E", f"r{(i + 1) % 5}B", 3) for i in range(5)]
+    edges = edges_of(spark, rows)
+    want = traced(layout.trace_paths(layout.match_ends(edges)))
+    assert len(want) > 100 and traced(layout.scaffold_paths(edges, most=10)) == want
+    rounds, plain = [], layout.written
+    monkeypatch.setattr(layout, "written", lambda df, label: (rounds.append(label), plain(df, label))[1])
+    assert traced(layout.scaffold_paths(edges)) == want
+    assert not rounds
+    assert traced(layout.scaffold_paths(edges_of(spark, []))) == []
