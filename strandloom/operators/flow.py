@@ -9,10 +9,15 @@ farthest on: all that a level's nodes hold or receive moves one level nearer, as
 arc with room to a nearer node, so its level rises in the next phase, and levels never fall; when nothing is held, the flow is
 one, and no way with room leads from source to sink. A level is one job over that level's arcs and a phase changes the
 table of arcs once; the driver sees levels' numbers only.
+
+Before that, nodes that a single arc leads to and that lead to the sink alone are folded into that arc's beginning, which then leads to the sink with as much
+more room, as long as there are such nodes. Phases go over what is left, and its flow to the sink is dealt out to folded nodes again.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.shared import written
@@ -42,6 +47,7 @@ def min_cut(net: DataFrame, source: str, sink: str) -> DataFrame:
 
     These nodes are the same for every maximum flow. The capacities add up to the flow's value.
     """
+    net = written(net, "net")
     open_arcs = net.filter("room > 0").select(F.col("b").alias("a"), F.col("a").alias("b"))
     near = written(_levels(open_arcs, source).select("contig"), "near")
     rows = net.filter("capacity > 0").select("a", "b", "capacity")
@@ -54,6 +60,72 @@ def residual(arcs: DataFrame, source: str, sink: str) -> DataFrame:
     """a, b, capacity and room of each arc and of its reverse (capacity 0 where there is none), once the largest flow is there."""
     rows = arcs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("capacity").cast("long").alias("capacity"))
     rows = rows.filter("a != b and capacity > 0")
+    if source == sink:
+        return _phases(rows, source, sink)
+    inner, room, own, folds = _folded(rows, source, sink)
+    if not folds:
+        return _phases(rows, source, sink)
+    net = _phases(inner.unionByName(room.select(F.col("contig").alias("a"), F.lit(sink).alias("b"), F.col("n").alias("capacity"))), source, sink)
+    to_sink = (F.col("b") == sink) & (F.col("capacity") > 0)
+    held = net.filter(to_sink).select(F.col("a").alias("contig"), (F.col("capacity") - F.col("room")).alias("n"))
+    found = [net.filter((F.col("a") != sink) & (F.col("b") != sink))]
+    for i, parts in enumerate(reversed(folds)):
+        held, rows = _unfolded(parts, held)
+        if i < len(folds) - 1:
+            held = written(held, "held")
+        found += [rows.select("a", "b", "capacity", (F.col("capacity") - F.col("n")).alias("room")), rows.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).cast("long").alias("capacity"), F.col("n").alias("room"))]
+    # what a node itself leads to the sink, beside arcs that come from there
+    back = inner.filter(F.col("a") == sink).groupBy(F.col("b").alias("contig")).agg(F.sum("capacity").alias("from_sink"))
+    rims = own.withColumnRenamed("n", "to_sink").join(back, "contig", "full").join(held, "contig", "left").na.fill(0)
+    found += [
+        rims.select(F.col("contig").alias("a"), F.lit(sink).alias("b"), F.col("to_sink").alias("capacity"), (F.col("to_sink") - F.col("n")).alias("room")),
+        rims.select(F.lit(sink).alias("a"), F.col("contig").alias("b"), F.col("from_sink").alias("capacity"), (F.col("from_sink") + F.col("n")).alias("room")),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _folded(rows: DataFrame, source: str, sink: str) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """Arcs (a, b, capacity) that are left without the sink's, each left node's room to the sink (contig, n), the same as given for all nodes, and each round's folded arcs.
+
+    A folded arc is (a, b, capacity, room): b is the folded node, room what it can lead to the sink. A round goes over the arcs twice, whatever their shape.
+    """
+    zero = F.lit(0).cast("long")
+    # parallel arcs are one
+    inner, folds = written(rows.filter(F.col("b") != sink).groupBy("a", "b").agg(F.sum("capacity").alias("capacity")), "inner"), []
+    own = room = written(rows.filter(F.col("b") == sink).groupBy(F.col("a").alias("contig")).agg(F.sum("capacity").alias("n")), "room")
+    while True:
+        end = lambda c, i, o: F.struct(F.col(c).alias("contig"), F.lit(i).cast("long").alias("i"), F.lit(o).cast("long").alias("o"), zero.alias("n"))
+        ends = inner.select(F.explode(F.array(end("a", 0, 1), end("b", 1, 0))).alias("e")).select("e.*").unionByName(room.select("contig", zero.alias("i"), zero.alias("o"), "n"))
+        nodes = ends.groupBy("contig").agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.sum("n").alias("n"))
+        leaf = (F.col("i") == 1) & (F.col("o") == 0) & (F.col("n") > 0) & (F.col("contig") != source)
+        leaves = written(nodes.filter(leaf).select(F.col("contig").alias("b"), "n"), "leaves")
+        if leaves.isEmpty():
+            return inner, room, own, folds
+        marked = written(inner.join(leaves, "b", "left").withColumn("n", F.when(F.col("a") != sink, F.col("n"))), "arcs")
+        folded = marked.filter("n is not null").select("a", "b", "capacity", F.least("capacity", "n").alias("room"))
+        if folded.isEmpty():
+            return inner, room, own, folds
+        folds.append(folded)
+        inner = marked.filter("n is null").select("a", "b", "capacity")
+        left = room.join(folded.select(F.col("b").alias("contig")), "contig", "left_anti")
+        room = written(left.unionByName(folded.select(F.col("a").alias("contig"), F.col("room").alias("n"))).groupBy("contig").agg(F.sum("n").alias("n")), "room")
+
+
+def _unfolded(parts: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each node leads to the sink (contig, n) with the folded ones, and folded arcs (a, b, capacity, n) with the flow n that each got of its beginning's."""
+    rows = parts.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    have = held.select(F.col("contig").alias("a"), F.greatest(F.lit(0).cast("long"), F.col("n")).alias("n_held"))
+    share = _dealt(rows.groupBy("a", "salt").agg(F.sum("room").alias("room")).join(have, "a"), ["a"], "salt").select("a", "salt", F.col("n").alias("n_held"))
+    before = F.coalesce(F.sum("room").over(Window.partitionBy("a", "salt").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    got = F.greatest(F.lit(0).cast("long"), F.least(F.col("room"), F.coalesce("n_held", F.lit(0)) - before))
+    rows = rows.join(share, ["a", "salt"], "left").withColumn("n", got).select("a", "b", "capacity", "n")
+    change = share.select(F.col("a").alias("contig"), (-F.col("n_held")).alias("n"))
+    held = held.unionByName(change).groupBy("contig").agg(F.sum("n").alias("n")).unionByName(rows.select(F.col("b").alias("contig"), "n"))
+    return held, rows
+
+
+def _phases(rows: DataFrame, source: str, sink: str) -> DataFrame:
+    """residual() of arcs that can carry something, by phases."""
     ways = rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).cast("long").alias("capacity")))
     net = ways.groupBy("a", "b").agg(F.sum("capacity").alias("capacity"))
     net = written(net.withColumn("room", F.col("capacity")), "net")

@@ -72,3 +72,23 @@ def test_nothing_to_carry(spark):
     same = flow.residual(spark.createDataFrame([("s", "a", 3), ("a", "s", 2)], SCHEMA), "s", "s")
     assert flow.flow_value(flow.max_flow(same), "s").first()["value"] == 0
     assert flow.min_cut(same, "s", "s").count() == 0
+
+
+def test_trees_are_folded_before_phases(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [("s", "x", 9), ("x", "y", 7), ("y", "x", 2), ("y", "t", 1), ("t", "y", 2), ("t", "lone", 3), ("lone", "t", 2), ("s", "y", 4)]
+    for i, up in enumerate("xyx"):
+        rows += [(up, f"c{i}", rng.randint(1, 6)), (f"c{i}", "t", 1)] + [e for j in range(2) for e in ((f"c{i}", f"o{i}{j}", rng.randint(1, 3)), (f"o{i}{j}", "t", rng.randint(1, 3)))]
+    seen, plain = [], flow._phases
+    monkeypatch.setattr(flow, "_phases", lambda rows, source, sink: seen.append(rows.count()) or plain(rows, source, sink))
+    check(spark, rows)
+    # arcs between s, x, y, t and lone are left
+    assert seen and seen[0] <= 9
+
+
+def test_tables_as_trees_take_no_phase_over_orders(spark, sf, monkeypatch):
+    seen, plain = [], flow._phases
+    monkeypatch.setattr(flow, "_phases", lambda rows, source, sink: seen.append(rows.count()) or plain(rows, source, sink))
+    from strandloom.plans import registry
+    assert registry.QUERIES["x15_max_flow"](spark, sf).count() > 0
+    assert seen == [1]
