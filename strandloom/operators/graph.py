@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandloom.shared import written
+from strandloom.shared import spread as written
 
 #: Edges that a task contracts at once; links of contracted parts are settled in one task once they are so few.
 AT_ONCE = 500_000

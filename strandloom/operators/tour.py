@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from strandloom.operators import graph
 from strandloom.operators.extras import simple
 from strandloom.operators.graph import components, nodes
-from strandloom.shared import written
+from strandloom.shared import spread as written
 
 #: Places that lie in one block, whose extremes a task tables at once.
 BLOCK = 1 << 16

@@ -29,6 +29,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, label: str) -> DataFrame:
+    """written(), for tables that grow with the input and are joined many times: no join sends them to the driver to be broadcast."""
+    return written(df, label).hint("merge")
+
+
 def stage(spark: SparkSession, folder: str | None, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table of that name in folder, made only if no whole one is there; without a folder, a new table in the shared one.
 

@@ -2,6 +2,7 @@
 
 import random
 
+from strandloom import shared
 from strandloom.operators import tour
 
 
@@ -49,3 +50,13 @@ def test_random_graphs(spark):
 def test_no_cycle(spark):
     assert tour.fundamental_cycles(spark.createDataFrame([], "a string, b string")).count() == 0
     assert tour.fundamental_cycles(spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "b"), ("c", "b")], "a string, b string")).count() == 0
+
+
+def test_no_table_is_broadcast(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "c")], "a string, b string")
+    plans, plain = [], shared.written
+    monkeypatch.setattr(shared, "written", lambda df, label: plans.append(df._jdf.queryExecution().toString()) or plain(df, label))
+    plans.append(tour.fundamental_cycles(edges)._jdf.queryExecution().toString())
+    joins = [line for p in plans for line in p.split("== Physical Plan ==")[1].splitlines() if "Join" in line]
+    # but the counts of ranges
+    assert joins and not [j for j in joins if "BroadcastHashJoin" in j and "__part" not in j]
