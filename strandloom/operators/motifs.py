@@ -9,9 +9,9 @@ from strandloom.functions.links import bubble_class
 from strandloom.operators.graph import components, in_out_degrees
 
 
-def plasmids(edges: DataFrame) -> DataFrame:
-    """component and size of weak components in which each node has one edge in and one out: single directed rings."""
-    rows = components(edges).join(in_out_degrees(edges), "contig")
+def plasmids(edges: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """component and size of weak components in which each node has one edge in and one out: single directed rings. parts are components(), if they are there already."""
+    rows = (components(edges) if parts is None else parts).join(in_out_degrees(edges), "contig")
     sums = rows.groupBy("component").agg(F.count("*").alias("n"), F.min(F.least("n_in", "n_out")).alias("least"), F.max(F.greatest("n_in", "n_out")).alias("most"))
     return sums.filter("least = 1 and most = 1").select("component", "n")
 

@@ -87,13 +87,19 @@ def listed(names: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(names, lambda n: F.concat(F.lit("'"), F.regexp_replace(n, r"([\\'])", r"\\$1"), F.lit("'"))), ", "), F.lit("]"))
 
 
+def plasmid_rows(edges: DataFrame) -> DataFrame:
+    """value: the names of each single directed ring as a list, in order of component."""
+    parts = components(edges)
+    rings = parts.join(motifs.plasmids(edges, parts).select("component"), "component", "left_semi")
+    rings = rings.groupBy("component").agg(F.sort_array(F.collect_list("contig")).alias("names")).orderBy("component")
+    return rings.select(listed(F.col("names")).alias("value"))
+
+
 def motif_files(edges: DataFrame, bubbles: DataFrame) -> dict[str, DataFrame]:
     """The rows of each motif file by its name: plasmids, bubbles of three, of four and of more members, and cycles."""
-    rings = components(edges).join(motifs.plasmids(edges).select("component"), "component", "left_semi")
-    rings = rings.groupBy("component").agg(F.sort_array(F.collect_list("contig")).alias("names")).orderBy("component")
     kinds = bubbles.withColumn("kind", bubble_class(F.col("members")))
     files = {f"{kind}_bubbles": bubble_rows(kinds.filter(F.col("kind") == kind)) for kind in ("three", "four", "complex")}
-    return {"plasmids": rings.select(listed(F.col("names")).alias("value")), **files, "cycles": motifs.cycle_basis(edges).select(listed(F.col("cycle")).alias("value"))}
+    return {"plasmids": plasmid_rows(edges), **files, "cycles": motifs.cycle_basis(edges).select(listed(F.col("cycle")).alias("value"))}
 
 
 def gfa_rows(contigs: DataFrame, links: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """How often queries go over their tables."""
 
-from strandloom.operators import extras
+from strandloom.operators import extras, graph
 from strandloom.plans import derived, registry
 
 
@@ -24,3 +24,10 @@ def test_sources_and_sinks_need_no_join(spark):
     assert [r["contig"] for r in extras.sources(edges).collect()] == ["a"]
     assert [r["contig"] for r in extras.sinks(edges).collect()] == ["c"]
     assert "Join" not in extras.sources(edges)._jdf.queryExecution().toString()
+
+
+def test_plasmids_take_components_once(spark, sf, monkeypatch):
+    calls, plain = [], graph._stars
+    monkeypatch.setattr(graph, "_stars", lambda *a, **k: calls.append(a) or plain(*a, **k))
+    assert registry.QUERIES["k17_plasmid_rows"](spark, sf).columns == ["value"]
+    assert len(calls) == 1
