@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandloom.operators import tour
+from strandloom.operators import graph, tour
 from strandloom.operators.graph import component_edges
 from strandloom.schemas import BLOCKS
 from strandloom.shared import written
@@ -88,7 +88,18 @@ def blocks(edges: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def large_blocks(parts: DataFrame) -> DataFrame:
-    """The same of edges (component, a, b) of components of any size."""
+    """The same of edges (component, a, b) of components of any size.
+
+    Tours of components of at most graph.AT_ONCE edges are gone through in lots, in one pass; those of larger ones take rounds of joins.
+    """
+    counts = parts.groupBy("component").agg(F.count("*").alias("n"))
+    beyond = written(counts.filter(F.col("n") > graph.AT_ONCE).select("component"), "beyond")
+    if beyond.isEmpty():
+        return tour.blocks_in_lots(parts)
+    return tour.blocks_in_lots(parts.join(beyond, "component", "left_anti")).unionByName(_blocks_in_rounds(parts.join(beyond, "component", "left_semi")))
+
+
+def _blocks_in_rounds(parts: DataFrame) -> DataFrame:
     found = tour.block_members(parts.filter("a != b"))
     found = found.groupBy("component", "key").agg(F.sort_array(F.collect_list("node")).alias("members")).drop("key")
     order = written(tour.numbered(found, ["component", "members"], "place"), "order")
@@ -99,9 +110,13 @@ def large_blocks(parts: DataFrame) -> DataFrame:
 def parted(edges: DataFrame, most: int | None = None, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame | None]:
     """(component, a, b), and what else they carry, of edges of the components that a task may hold, and of those of more than most edges, or None if there are none."""
     parts, counts = component_edges(edges, carried)
-    large = written(counts.filter(F.col("n") > (MOST_IN_TASK if most is None else most)).select("component"), "large")
+    most = MOST_IN_TASK if most is None else most
+    counts = written(counts, "counts")
+    large = counts.filter(F.col("n") > most).select("component")
     if large.isEmpty():
         return parts, None
+    if counts.filter(F.col("n") <= most).isEmpty():
+        return parts.filter(F.lit(False)), parts
     return parts.join(large, "component", "left_anti"), written(parts.join(large, "component", "left_semi"), "large")
 
 

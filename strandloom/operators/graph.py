@@ -10,10 +10,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from strandloom import shared
 from strandloom.shared import spread as written
 
 #: Edges that a task contracts at once; links of contracted parts are settled in one task once they are so few.
 AT_ONCE = 500_000
+#: Stars that meet others, of which a table may be sent to all tasks; where there are more, edges and stars are merged.
+FEW_STARS = 100_000
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -58,20 +61,29 @@ def components(edges: DataFrame) -> DataFrame:
     share a node, a small part of the edges wherever edges that belong together lie together.
     """
     _, meet, part = _stars(edges, with_edges=False)
+    if part is None:
+        return meet.select(F.col("node").alias("contig"), F.col("name").alias("component"))
     return meet.filter("star = at").drop("star").join(part.withColumnRenamed("star", "at"), "at", "left").select(F.col("node").alias("contig"), F.coalesce("component", "name").alias("component"))
 
 
 def component_edges(edges: DataFrame, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(component, a, b) of the edges (a, b) with the columns they carry, loops and repeated ones too, and (component, n): how many each component has. No edge is joined by name."""
+    """(component, a, b) of the edges (a, b) with the columns they carry, loops and repeated ones too, and (component, n): how many each component has. No edge is joined by name.
+
+    Where few stars meet others, as when edges that belong together lie together, no edge is shuffled.
+    """
     stars, _, part = _stars(edges, with_edges=True, carried=carried)
     rows = stars.filter("other is not null")
+    ends = [F.col("node").alias("a"), F.col("other").alias("b"), *carried]
+    sizes = rows.groupBy("star", "name").agg(F.count("*").alias("n"))
+    if part is None:
+        return rows.select(F.col("name").alias("component"), *ends), sizes.select(F.col("name").alias("component"), "n")
     named = F.coalesce("component", "name").alias("component")
-    counts = rows.groupBy("star", "name").agg(F.count("*").alias("n")).join(part, "star", "left").select(named, "n").groupBy("component").agg(F.sum("n").alias("n"))
-    return rows.join(part, "star", "left").select(named, F.col("node").alias("a"), F.col("other").alias("b"), *carried), counts
+    counts = sizes.join(part, "star", "left").select(named, "n").groupBy("component").agg(F.sum("n").alias("n"))
+    return rows.join(part, "star", "left").select(named, *ends), counts
 
 
-def _stars(edges: DataFrame, with_edges: bool, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stars, where stars meet, and (star, component) of stars that meet others.
+def _stars(edges: DataFrame, with_edges: bool, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Stars, where stars meet, and (star, component) of stars that meet others, or None if none do.
 
     A row of stars is (node, star, name of its smallest node, null) for each node of a star, and with edges (a, star, name, b) for each edge, with what it carries. A node is once in a
     star, so it has a row for each lot of edges that a task contracted at most, however many edges it has.
@@ -98,13 +110,16 @@ def _stars(edges: DataFrame, with_edges: bool, carried: tuple[str, ...] = ()) ->
     types = "".join(f", {c} {edges.schema[c].dataType.simpleString()}" for c in carried)
     stars = written(edges.select("a", F.col("b").cast(kind).alias("b"), *carried).mapInArrow(contract, f"node {kind}, star long, name {kind}, other {kind}{types}"), "stars")
     own = stars.filter("other is null").drop("other", *carried)
-    meet = written(own.withColumn("at", F.min("star").over(Window.partitionBy("node"))), "meet")
+    # edges have their stars already, so that only links are asked of their nodes
+    meet = (own.drop("name") if with_edges else own).withColumn("at", F.min("star").over(Window.partitionBy("node")))
+    meet = meet if with_edges else written(meet, "meet")
     settled = written(_settled(written(meet.filter("star != at").select(F.col("star").alias("a"), F.col("at").alias("b")).distinct(), "links")), "settled")
     if settled.isEmpty():
-        return stars, meet, settled.select("star", F.lit(None).cast(kind).alias("component"))
+        return stars, meet, None
     named = written(settled.join(own.filter("node = name").select("star", "name"), "star"), "named")
     part = named.select("star", "root").join(named.groupBy("root").agg(F.min("name").alias("component")), "root").select("star", "component")
-    return stars, meet, written(part, "parts")
+    part = shared.written(part, "parts")
+    return stars, meet, F.broadcast(part) if part.count() <= FEW_STARS else part.hint("merge")
 
 
 def _lots(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:

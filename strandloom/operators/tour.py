@@ -1,6 +1,6 @@
 """Rooted spanning forests by Euler tours, and what follows from them: subtrees' minima, blocks, lowest common ancestors.
 
-No task holds a component: tasks go through lots of bounded size, dealt out by component, and what runs on beyond a lot is left to rounds of joins. Tours are
+No task holds a component beyond a lot: tasks go through lots of bounded size, dealt out by component, and what runs on beyond a lot is left to rounds of joins. Tours are
 ranked by pointer doubling, nodes are numbered range by range, and minima over subtrees come from tables of ranges whose length doubles.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from strandloom.operators import graph
 from strandloom.operators.extras import simple
 from strandloom.operators.graph import components, nodes
+from strandloom.schemas import BLOCKS
 from strandloom.shared import spread as written
 
 #: Places that lie in one block, whose extremes a task tables at once.
@@ -278,6 +279,92 @@ def block_members(edges: DataFrame) -> DataFrame:
     return member.distinct()
 
 
+def blocks_in_lots(parts: DataFrame) -> DataFrame:
+    """component, block (numbered by smallest members) and members of edges (component, a, b) of components of at most graph.AT_ONCE edges.
+
+    The method is that of block_members(); a task goes through lots of whole components, whose forests, tours and extremes are columns of numbers.
+    """
+    most = graph.AT_ONCE
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in _lots(batches, most):
+            yield from _blocks_of_lot(lot).to_batches(max_chunksize=20_000)
+
+    return written(_dealt(parts.select(F.col("component").alias("part"), "a", "b")).mapInArrow(within, BLOCKS), "ranks")
+
+
+def _blocks_of_lot(lot: pa.Table) -> pa.Table:
+    """The blocks of a lot of whole components, whose nodes are numbers in order of name."""
+    a, b, names = graph._coded(lot)
+    n = len(names)
+    plain = np.unique((np.minimum(a, b) * n + np.maximum(a, b))[a != b])
+    a, b = plain // n, plain % n
+    root = graph._roots(n, a, b)
+    taken = _forest(n, a, b)
+    parent, pre, size = _toured(root, a[taken], b[taken])
+    a, b = a[~taken], b[~taken]
+    low, high = np.arange(n), np.arange(n)
+    for x, y in ((pre[a], pre[b]), (pre[b], pre[a])):
+        np.minimum.at(low, x, y)
+        np.maximum.at(high, x, y)
+    lower = np.flatnonzero(parent >= 0)
+    up = parent[lower]
+    least, greatest = _extremes_below(low, high, pre[lower], size[lower])
+    out = (least < pre[up]) | (greatest >= pre[up] + size[up])
+    aside = (pre[a] + size[a] <= pre[b]) | (pre[b] + size[b] <= pre[a])
+    key = graph._roots(n, np.concatenate([lower[out], a[aside]]), np.concatenate([up[out], b[aside]]))
+    member = np.unique(np.concatenate([key[lower] * n + lower, key[lower] * n + up]))
+    key, node = member // n, member % n
+    begin = np.flatnonzero(np.diff(key, prepend=-1))
+    count = np.diff(begin, append=len(key))
+    # blocks of a component share one node at most, so their first two members give their order
+    own = root[node[begin]]
+    order = np.lexsort((node[begin + 1], node[begin], own))
+    begin, count, own = begin[order], count[order], own[order]
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    number = np.arange(len(own)) - np.repeat(first, np.diff(first, append=len(own)))
+    offsets = np.concatenate([[0], np.cumsum(count)])
+    at = np.arange(len(node)) + np.repeat(begin - offsets[:-1], count)
+    members = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), names.take(pa.array(node[at])))
+    return pa.table([names.take(pa.array(own)), pa.array(number, pa.int32()), members], ["component", "block", "members"])
+
+
+def _toured(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """parent (-1 for roots), pre and size as in rooted_forest(), of the edges of a spanning forest."""
+    n, x, y = len(root), np.concatenate([a, b]), np.concatenate([b, a])
+    way = np.sort(x * n + y)
+    x, y = way // n, way % n
+    back = np.searchsorted(way, y * n + x)
+    # a tour goes on from an arc along the next arc out of its end
+    on = back + 1
+    around = x[np.minimum(on, len(x) - 1)] != y if len(x) else on > 0
+    around |= on == len(x)
+    final = around & (root[y] == y)
+    hop = np.where(final, np.arange(len(x)), np.where(around, np.searchsorted(x, y), on))
+    steps = (~final).astype(np.int64)
+    while (hop[hop] != hop).any():
+        steps, hop = steps + steps[hop], hop[hop]
+    down = np.flatnonzero(steps > steps[back])
+    parent, size, at = np.full(n, -1), np.bincount(root, minlength=n), np.full(n, np.iinfo(np.int64).min)
+    parent[y[down]], at[y[down]], size[y[down]] = x[down], -steps[down], (steps[down] - steps[back[down]] + 1) // 2
+    pre = np.empty(n, dtype=np.int64)
+    pre[np.lexsort((at, root))] = np.arange(n)
+    return parent, pre, size
+
+
+def _extremes_below(low: np.ndarray, high: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least low and the greatest high of the count values from each begin on, one width of the doubling tables at a time."""
+    level = np.frexp(count.astype(float))[1] - 1
+    least, greatest, width = np.empty_like(begin), np.empty_like(begin), 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        on = level == k
+        x, y = begin[on], begin[on] + count[on] - width
+        least[on], greatest[on] = np.minimum(low[x], low[y]), np.maximum(high[x], high[y])
+        low, high = np.minimum(low[:-width], low[width:]), np.maximum(high[:-width], high[width:])
+        width *= 2
+    return least, greatest
+
+
 def cut_nodes(members: DataFrame) -> DataFrame:
     """contig: nodes of more than one block."""
     return members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("node").alias("contig"))

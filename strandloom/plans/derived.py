@@ -123,16 +123,20 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a, oa, b, ob, bsize: each order leads from its beginning through its items to its end, and on to the customer's next order.
 
-    An order of several items is a bubble; a customer's orders are a path.
+    An order of several items is a bubble; a customer's orders are a path. A customer's edges lie together.
     """
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").join(items.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
-    name = lambda c: F.concat(F.lit("o"), F.lpad(F.col(c).cast("string"), 9, "0"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    item = items.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    item = item.select(name("l_orderkey").alias("o"), F.col("l_quantity").cast("int").alias("bsize"), F.lpad(F.row_number().over(order).cast("string"), 2, "0").alias("rn"))
-    mid = F.concat("o", F.lit(":1"), "rn")
-    steps = item.select(F.explode(F.array(F.struct(F.concat("o", F.lit(":0")).alias("a"), mid.alias("b"), "bsize"), F.struct(mid.alias("a"), F.concat("o", F.lit(":2")).alias("b"), "bsize"))).alias("e")).select("e.*")
-    before = F.lag(name("o_orderkey")).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    on = orders.select(before.alias("before"), name("o_orderkey").alias("o")).filter("before is not null").select(F.concat("before", F.lit(":2")).alias("a"), F.concat("o", F.lit(":0")).alias("b"), F.lit(5).alias("bsize"))
-    return steps.unionByName(on).select("a", F.lit("E").alias("oa"), "b", F.lit("B").alias("ob"), "bsize")
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.col("l_quantity").cast("int").alias("bsize"), F.row_number().over(order).alias("rn"))
+    # an order that stands twice is twice on its way and has its items once
+    again = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("o_custkey", "o_orderdate"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", again.alias("again"))
+    rows = items.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey", "again", "rn"))
+    rows = rows.withColumn("before", F.when(F.col("rn") == 1, before))
+    name = lambda c: F.concat(F.lit("o"), F.lpad(F.col(c).cast("string"), 9, "0"))
+    edge = lambda a, b, size: F.struct(a.alias("a"), b.alias("b"), size.alias("bsize"))
+    begin, end = F.concat(name("o_orderkey"), F.lit(":0")), F.concat(name("o_orderkey"), F.lit(":2"))
+    mid = F.concat(name("o_orderkey"), F.lit(":1"), F.lpad(F.col("rn").cast("string"), 2, "0"))
+    item = F.when(F.col("again") == 1, F.array(edge(begin, mid, F.col("bsize")), edge(mid, end, F.col("bsize")))).otherwise(F.array())
+    on = F.when(F.col("before").isNotNull(), F.array(edge(F.concat(name("before"), F.lit(":2")), begin, F.lit(5)))).otherwise(F.array())
+    return rows.select(F.explode(F.concat(item, on)).alias("e")).select("e.a", F.lit("E").alias("oa"), "e.b", F.lit("B").alias("ob"), "e.bsize")
