@@ -13,6 +13,7 @@ from strandloom.shared import written
 
 KEY = ["component", "block"]
 CLASSES = "component string, block int, class int, kind string, place long, node string, virtual boolean, sides int"
+CLASS_LISTS = "component string, block int, class int, kind string, nodes array<string>, virtual array<boolean>, sides int"
 
 
 def _spliced(one: deque, two: deque, x: str) -> deque:
@@ -190,8 +191,26 @@ def split_classes(edges: DataFrame, of: DataFrame | None = None, most: int | Non
     return _turned(found.drop("chain"))
 
 
+def split_class_lists(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """component, block, class, kind, nodes, virtual, sides: split_classes() with a row for each class, whose nodes and flags are lists in order of place.
+
+    Classes of components of at most most edges come whole from the task that finds them.
+    """
+    small, large = parted(edges, most)
+    found = by_component(small, _class_lists_within, CLASS_LISTS)
+    if large is None:
+        return found
+    rows = split_classes(large, written(large_blocks(large), "blocks"), most).groupBy(*KEY, "class", "kind", "sides").agg(F.sort_array(F.collect_list(F.struct("place", "node", "virtual"))).alias("r"))
+    return found.unionByName(rows.select(*KEY, "class", "kind", F.col("r.node").alias("nodes"), F.col("r.virtual").alias("virtual"), "sides"))
+
+
 def _classes_within(component: str, a: list[str], b: list[str]) -> list[tuple]:
-    """split_classes() of one component, its rings turned as _turned() does."""
+    """split_classes() of one component."""
+    return [(*own, place, node, virtual, sides) for *own, nodes, flags, sides in _class_lists_within(component, a, b) for place, (node, virtual) in enumerate(zip(nodes, flags))]
+
+
+def _class_lists_within(component: str, a: list[str], b: list[str]) -> list[tuple]:
+    """split_class_lists() of one component, its rings turned as _turned() does."""
     out = []
     for block, (_, own) in enumerate(blocks_of(a, b)):
         if len(own) < 3:
@@ -203,7 +222,7 @@ def _classes_within(component: str, a: list[str], b: list[str]) -> list[tuple]:
                 at = [(first + way * i) % n for i in range(n)]
                 # an edge belongs to that of its two nodes which now comes first
                 items = [(items[i][0], items[i if way == 1 else i - 1][1]) for i in at]
-            out += [(component, block, number, kind, place, node, None if then is None else then == "virtual", sides) for place, (node, then) in enumerate(items)]
+            out.append((component, block, number, kind, [node for node, _ in items], [None if then is None else then == "virtual" for _, then in items], sides))
     return out
 
 
