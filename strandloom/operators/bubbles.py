@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.operators.blocks import by_component, large_blocks, parted
+from strandloom.operators.blocks import by_component, by_key, large_blocks, parted
 from strandloom.operators.splits import pairs_by_block, split_pairs
 from strandloom.schemas import BUBBLES
 from strandloom.shared import written
@@ -41,11 +42,19 @@ def find_bubbles(edges: DataFrame, pairs: DataFrame | None = None, most: int | N
         return _claimed(edges, pairs.groupBy("component", "block").agg(F.sort_array(F.collect_list(F.struct("pair", "u", "v"))).alias("pairs"), F.first("members").alias("members")))
     small, large = parted(edges, most)
     found = by_component(small, _bubbles_within, BUBBLES)
-    if large is None:
-        return found
-    of = written(large_blocks(large), "blocks")
-    own = split_pairs(large, of).groupBy("component", "block").agg(F.sort_array(F.collect_list(F.struct("pair", "u", "v"))).alias("pairs")).join(of, ["component", "block"])
-    return found.unionByName(_claimed(large, own))
+    return found if large is None else found.unionByName(large_bubbles(large))
+
+
+def large_bubbles(parts: DataFrame) -> DataFrame:
+    """The same of edges (component, a, b) of components of any size."""
+    of = written(large_blocks(parts), "blocks")
+    own = split_pairs(parts, of).groupBy("component", "block").agg(F.sort_array(F.collect_list(F.struct("pair", "u", "v"))).alias("pairs")).join(of, ["component", "block"])
+    return _claimed(parts, own)
+
+
+def by_bubbles(parts: DataFrame, carried: tuple[str, ...], found: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """Rows that a function makes of each component's bubbles (component, source, sink, members) and of its edges, column by column: nothing is joined to edges again."""
+    return by_key(parts, ["component"], ["a", "b", *carried], lambda key, a, b, *more: found(_bubbles_within(key[0], a, b), a, b, *more), schema)
 
 
 def _bubbles_within(component: str, a: list[str], b: list[str]) -> list[tuple]:
@@ -137,3 +146,48 @@ def collapse(edges: DataFrame, bubbles: DataFrame) -> DataFrame:
         every = every.unionByName(k)
     every = every.withColumn("order", order)
     return every.groupBy("x", "y").agg(F.max_by(F.struct("ends", "bsize"), "order").alias("d")).select(F.col("x").alias("a"), F.col("y").alias("b"), "d.ends", "d.bsize")
+
+
+def collapsed(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """collapse() of the graph with its own bubbles, an edge without both ends being none. Components of at most most edges go from edges to collapsed ones in one pass of a task.
+
+    Of edges that stand several times between the same nodes with the same ends the largest is taken.
+    """
+    small, large = parted(edges, most, carried=("oa", "ob", "bsize"))
+    size = "long" if (kind := edges.schema["bsize"].dataType.simpleString()) == "bigint" else kind
+    rows = by_bubbles(small, ("oa", "ob", "bsize"), lambda *found: [(*x, *y, ends, n) for x, y, ends, n in collapsed_within(*found)], f"x boolean, a string, y boolean, b string, ends string, bsize {size}")
+    node = lambda bubble, name: F.struct(F.col(bubble).alias("bubble"), F.col(name).alias("name")).alias(name)
+    rows = rows.select(node("x", "a"), node("y", "b"), "ends", "bsize")
+    return rows if large is None else rows.unionByName(collapse(large, written(large_bubbles(large), "bubbles")))
+
+
+def collapsed_within(found: list[tuple], a: list[str], b: list[str], oa: list[str], ob: list[str], bsize: list) -> list[tuple]:
+    """((bubble, name), (bubble, name), ends, bsize) of one component's edges and bubbles, as in collapse()."""
+    of = {v: ((True, source), v == source, v == sink) for _, source, sink, members in found for v in members}
+    best: dict[tuple, tuple] = {}
+    for u, v, one, two, size in zip(a, b, oa, ob, bsize):
+        size = None if size != size else size
+        into_u, source_u, sink_u = of.get(u, (None, False, False))
+        into_v, source_v, sink_v = of.get(v, (None, False, False))
+        apart = into_u is not None and into_v is not None and into_u != into_v
+        enters, leaves = source_v and not (source_u or sink_u), sink_u and not (source_v or sink_v)
+        if apart and (source_u and sink_v or sink_u and source_v):
+            ends = "BE" if source_u and sink_v else "EB"
+        elif one is None or two is None:
+            ends = None
+        else:
+            ends = ("E" if leaves else (one + two)[:1]) + ("B" if enters else (one + two)[1:2])
+        ways = []
+        if into_u is None or into_v is None:
+            ways.append((into_u or (False, u), into_v or (False, v), 0))
+        if enters:
+            ways.append(((False, u), into_v, 1))
+        if leaves:
+            ways.append((into_u, (False, v), 1))
+        if apart and (source_u and sink_v or sink_u and source_v):
+            ways.append((into_u, into_v, 2))
+        for x, y, kind in ways:
+            rank = kind, u, v, ends or "", size is not None, size or 0
+            if (x, y) not in best or rank > best[x, y][0]:
+                best[x, y] = rank, ends, size
+    return [(x, y, ends, size) for (x, y), (_, ends, size) in best.items()]

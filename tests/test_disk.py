@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import blocks, graph, splits, tour
+from strandloom.operators import blocks, bubbles, graph, layout, splits, tour
 from strandloom.plans import derived
 
 
@@ -53,3 +53,10 @@ def test_class_lists(tangle):
     want = rows_of(lists.select("component", "block", "class", "kind", F.col("r.node").alias("nodes"), F.col("r.virtual").alias("virtual"), "sides"))
     assert rows_of(splits.split_class_lists(tangle)) == want
     assert rows_of(splits.split_class_lists(tangle, most=2).drop("class")) == rows_of(splits.split_class_lists(tangle).drop("class"))
+
+
+def test_collapsed_in_one_pass(tangle):
+    found = bubbles.find_bubbles(tangle)
+    assert found.count() > 15
+    want = rows_of(bubbles.collapse(tangle, found))
+    assert rows_of(bubbles.collapsed(tangle)) == want == rows_of(bubbles.collapsed(tangle, most=2))
