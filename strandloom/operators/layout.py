@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandloom.functions.sequences import gap_join, reverse_complement
 from strandloom.operators.blocks import by_key, parted
+from strandloom.operators.bubbles import by_bubbles, collapse, collapsed_within, large_bubbles
 from strandloom.shared import written
 
 NODE = "struct<bubble:boolean,name:string>"
+PATHS = "path string, end string, place long, node string, entry string, exit string"
+WAYS = "source string, heaviest array<string>, others array<array<string>>"
 
 
 def end_edges(collapsed: DataFrame) -> DataFrame:
@@ -28,15 +31,38 @@ def scaffold_paths(edges: DataFrame, most: int | None = None) -> DataFrame:
     name = lambda c: F.concat(F.col(f"{c}.node.bubble").cast("int").cast("string"), F.col(f"{c}.node.name"))
     named = edges.select(name("p").alias("a"), F.col("p.end").alias("x"), name("q").alias("b"), F.col("q.end").alias("y"), "bsize")
     small, large = parted(named, most, carried=("x", "y", "bsize"))
-    node = lambda c: F.struct((F.col(c).substr(1, 1) == "1").alias("bubble"), F.expr(f"substr({c}, 2)").alias("name"))
-    found = by_key(small, ["component"], ["a", "x", "b", "y"], _paths_within, "path string, end string, place long, node string, entry string, exit string", [F.desc_nulls_first("bsize"), "a", "x", "b", "y"])
-    found = found.select(F.struct(node("path").alias("node"), "end").alias("path"), "place", node("node").alias("node"), "entry", "exit")
+    found = _with_nodes(by_key(small, ["component"], ["a", "x", "b", "y"], _paths_within, PATHS, [F.desc_nulls_first("bsize"), "a", "x", "b", "y"]))
     if large is None:
         return found
-    end = lambda c, e: F.struct(node(c).alias("node"), F.col(e).alias("end"))
+    end = lambda c, e: F.struct(_node(c).alias("node"), F.col(e).alias("end"))
     return found.unionByName(trace_paths(match_ends(large.select(end("a", "x").alias("p"), end("b", "y").alias("q"), "bsize"))))
 
 
+def _node(c: str) -> Column:
+    return F.struct((F.col(c).substr(1, 1) == "1").alias("bubble"), F.expr(f"substr({c}, 2)").alias("name"))
+
+
+def _with_nodes(found: DataFrame) -> DataFrame:
+    return found.select(F.struct(_node("path").alias("node"), "end").alias("path"), "place", _node("node").alias("node"), "entry", "exit")
+
+
+def bubble_scaffolds(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """scaffold_paths() of a graph's own edges with its bubbles collapsed. Components of at most most edges go from edges to paths in one pass of a task."""
+    small, large = parted(edges, most, carried=("oa", "ob", "bsize"))
+    found = _with_nodes(by_bubbles(small, ("oa", "ob", "bsize"), _scaffolds_within, PATHS))
+    return found if large is None else found.unionByName(scaffold_paths(end_edges(collapse(large, written(large_bubbles(large), "bubbles")))))
+
+
+def _scaffolds_within(*found: list) -> list[tuple]:
+    """bubble_scaffolds() of one component."""
+    rows = []
+    for (x, p), (y, q), ends, size in collapsed_within(*found):
+        one, two = (None, None) if ends is None else (ends[:1], ends[1:2])
+        rows.append((size is not None, -(size or 0), f"{x:d}{p}", one or "", f"{y:d}{q}", two or "", one, two))
+    rows.sort(key=lambda r: r[:6])
+    return _paths_within((), [r[2] for r in rows], [r[6] for r in rows], [r[4] for r in rows], [r[7] for r in rows])
+
+
 def _paths_within(_: tuple, *columns: list[str]) -> list[tuple]:
     """scaffold_paths() of one component's edges, largest first."""
     mate: dict[tuple[str, str], tuple[str, str]] = {}
@@ -207,7 +233,31 @@ def bubble_paths(edges: DataFrame, bubbles: DataFrame) -> DataFrame:
         best = heaviest_path(inside, key[0], sink[0])
         return [(*key, best, other_paths(inside, sorted(set(a)), best))] if best else []
 
-    return by_key(rows, ["source"], ["sink", "a", "b", "bsize"], found, "source string, heaviest array<string>, others array<array<string>>")
+    return by_key(rows, ["source"], ["sink", "a", "b", "bsize"], found, WAYS)
+
+
+def own_bubble_paths(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """bubble_paths() of a graph's own bubbles. Components of at most most edges go from edges to paths in one pass of a task."""
+    small, large = parted(edges, most, carried=("bsize",))
+    found = by_bubbles(small, ("bsize",), _ways_within, WAYS)
+    return found if large is None else found.unionByName(bubble_paths(large, written(large_bubbles(large), "bubbles")))
+
+
+def _ways_within(found: list[tuple], a: list[str], b: list[str], bsize: list) -> list[tuple]:
+    """bubble_paths() of one component's edges and bubbles."""
+    of = {v: source for _, source, _, members in found for v in members}
+    inside: dict[str, dict[tuple[str, str], int]] = {source: {} for _, source, _, _ in found}
+    for u, v, size in zip(a, b, bsize):
+        if u in of and of[u] == of.get(v):
+            own, size = inside[of[u]], 0 if size is None or size != size else size
+            own[u, v] = max(size, own.get((u, v), size))
+    rows = []
+    for _, source, sink, members in found:
+        edges = [(u, v, size) for (u, v), size in inside[source].items()]
+        best = heaviest_path(edges, source, sink)
+        if best:
+            rows.append((source, best, other_paths(edges, members, best)))
+    return rows
 
 
 def scaffold_parts(edges: DataFrame, orientation: DataFrame, bubbles: DataFrame, paths: DataFrame) -> DataFrame:

@@ -60,3 +60,9 @@ def test_collapsed_in_one_pass(tangle):
     assert found.count() > 15
     want = rows_of(bubbles.collapse(tangle, found))
     assert rows_of(bubbles.collapsed(tangle)) == want == rows_of(bubbles.collapsed(tangle, most=2))
+
+
+def test_scaffolds_in_one_pass(tangle):
+    want = rows_of(layout.scaffold_paths(layout.end_edges(bubbles.collapse(tangle, bubbles.find_bubbles(tangle)))))
+    assert len(want) > 20
+    assert rows_of(layout.bubble_scaffolds(tangle)) == want == rows_of(layout.bubble_scaffolds(tangle, most=2))
