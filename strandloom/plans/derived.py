@@ -120,23 +120,28 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(before.alias("a"), F.col("node").alias("b")).filter("a is not null").distinct()
 
 
-def order_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_flow(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """a, oa, b, ob, bsize: each order leads from its beginning through its items to its end, and on to the customer's next order.
 
-    An order of several items is a bubble; a customer's orders are a path. A customer's edges lie together.
+    An order of several items is a bubble; a customer's orders are a path. A customer's edges lie together. The whole flow has also orders
+    without items, which lead straight to their end, and items without an order.
     """
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.col("l_quantity").cast("int").alias("bsize"), F.row_number().over(order).alias("rn"))
     # an order that stands twice is twice on its way and has its items once
     again = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("o_custkey", "o_orderdate"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", again.alias("again"))
-    rows = items.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey")
-    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey", "again", "rn"))
-    rows = rows.withColumn("before", F.when(F.col("rn") == 1, before))
+    rows = items.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"), "full" if whole else "inner")
+    # items without an order have no customer, whose orders they would follow
+    rows = rows.withColumn("stray", F.when(F.col("o_orderkey").isNull(), F.col("l_orderkey")) if whole else F.lit(None).cast("long"))
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey", *["stray"] * whole).orderBy("o_orderdate", "o_orderkey", "again", "rn"))
+    rows = rows.withColumn("before", F.when(F.coalesce("rn", F.lit(1)) == 1, before))
+    rows = rows.withColumn("o_orderkey", F.coalesce("o_orderkey", "stray")).filter("o_orderkey is not null")
     name = lambda c: F.concat(F.lit("o"), F.lpad(F.col(c).cast("string"), 9, "0"))
     edge = lambda a, b, size: F.struct(a.alias("a"), b.alias("b"), size.alias("bsize"))
     begin, end = F.concat(name("o_orderkey"), F.lit(":0")), F.concat(name("o_orderkey"), F.lit(":2"))
     mid = F.concat(name("o_orderkey"), F.lit(":1"), F.lpad(F.col("rn").cast("string"), 2, "0"))
-    item = F.when(F.col("again") == 1, F.array(edge(begin, mid, F.col("bsize")), edge(mid, end, F.col("bsize")))).otherwise(F.array())
+    item = F.when(F.col("rn").isNull(), F.array(edge(begin, end, F.lit(5)))).otherwise(F.array(edge(begin, mid, F.col("bsize")), edge(mid, end, F.col("bsize"))))
+    item = F.when(F.coalesce("again", F.lit(1)) == 1, item).otherwise(F.array())
     on = F.when(F.col("before").isNotNull(), F.array(edge(F.concat(name("before"), F.lit(":2")), begin, F.lit(5)))).otherwise(F.array())
     return rows.select(F.explode(F.concat(item, on)).alias("e")).select("e.a", F.lit("E").alias("oa"), "e.b", F.lit("B").alias("ob"), "e.bsize")
